@@ -35,15 +35,17 @@ def _extreme(keep: str):
     return F.max if keep == "max" else F.min
 
 
-def flush_runs(ledger: DataFrame, p: LsmParams) -> str:
+def flush_runs(ledger: DataFrame, rows: int, p: LsmParams) -> str:
     """Write level 0: for each run the digests in order, with the kept row and the count. Returns the folder."""
     import uuid
 
     path = f"{shared_root(ledger.sparkSession)}/quillspark/lsm-{uuid.uuid4().hex}"
+    parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_file = max(1000, 2 * rows // (p.runs * parts))  # sizes the filter of a file by the digests it holds
     run = F.pmod(F.xxhash64("uid"), F.lit(p.runs)).cast("int")
     (ledger.groupBy(run.alias("run"), "digest").agg(_extreme(p.keep)(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("n"))
      .sortWithinPartitions("run", "digest").write.partitionBy("run")
-     .option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "1000000").parquet(path))
+     .option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(per_file)).parquet(path))
     return path
 
 
@@ -85,7 +87,8 @@ def dedup(docs: DataFrame, p: LsmParams | None = None, columns: tuple[str, ...]
     else:
         ledger = base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", digest.alias("digest"))
     ledger = materialize(ledger, "exact-ledger")
-    index = compact(spark, flush_runs(ledger, p), p)
+    rows = ledger.count()
+    index = compact(spark, flush_runs(ledger, rows, p), p)
     multi = index.where("n > 1")
 
     # byte verification of the hits: a group is one text if its smallest and largest bytes are the same
@@ -109,7 +112,6 @@ def dedup(docs: DataFrame, p: LsmParams | None = None, columns: tuple[str, ...]
         again = exact.groupBy("digest", "sub").agg(_extreme(p.keep)(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("n"))
         found = multi.join(clash, "digest", "left_anti").withColumn("sub", F.lit(None).cast("string")).unionByName(again.where("n > 1").select("digest", "keep", "n", "sub"))
     found = found.select(F.col("digest").alias("f_digest"), F.col("sub").alias("f_sub"), "keep", "n")
-    rows = ledger.count()
     limit = max(1, rows // p.hot_share)
     hot = F.broadcast(found.where(F.col("n") > limit))  # at most hot_share rows
     key = lambda side: (F.col("digest") == F.col("f_digest")) & F.col("sub").eqNullSafe(F.col("f_sub"))
