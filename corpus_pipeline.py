@@ -1,29 +1,51 @@
-"""Corpus pipeline: quality rules, language ID, exact dedup, near-duplicate removal, packing."""
+"""Corpus pipeline: quality rules, language ID, exact dedup, near-duplicate removal, best-fit packing.
+
+Near duplicates are judged on shingles of five words at a similarity of 0.8; of exact copies the largest doc_id stays,
+of near copies the smallest.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact, quality
-from quillspark.llm.common import DOC_COLUMNS
+from quillspark.llm import exact, langid, minhash, packing, quality
+from quillspark.llm.common import DOC_COLUMNS, materialize
 
 
-def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, DOC_COLUMNS)
 
 
-def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, DOC_COLUMNS)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs, DOC_COLUMNS, exact.LsmParams(keep="max"))
 
 
-STAGES = [("quality_rules", quality_stage), ("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, DOC_COLUMNS, minhash.MinHashParams(words=5, percent=80))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Quantile sketches, mixture inference, sketching and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each stage's rows are written to the shared folder before the next one reads them."""
-    from quillspark.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
