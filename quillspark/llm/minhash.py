@@ -35,7 +35,7 @@ class MinHashParams:
     band_size: int = 8
     filter_bits: int = 1 << 24  # of the fixed-size filters
     block: int = 2048  # members of a bucket compared at once
-    cache: int = 300_000
+    cache: int = 100_000  # words whose hashes a task remembers
 
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +151,7 @@ def sketched(rows: DataFrame, p: MinHashParams) -> DataFrame:
 
 def _bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
     """Filter of fixed size over the values of a long column, gathered from at most bits / 32768 rows of 4 KB."""
-    v = F.pmod(F.xxhash64(key), F.lit(bits))
+    v = F.pmod(F.col(key), F.lit(bits))  # the key is a hash
     rows = df.select((v + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("b"))
     out = np.zeros((bits // 32768 + 2) * 32768, np.uint8)
     for k, b in rows.toLocalIterator():
@@ -161,40 +161,34 @@ def _bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
 
 def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     """(cid, n, s): the shingle sets of classes (cid, set_key, text_key), made again from the texts that may hold them."""
-    position = F.pmod(F.xxhash64("text_key"), F.lit(p.filter_bits))
-    sent = rows.sparkSession.sparkContext.broadcast(_bitmap(classes, "text_key", p.filter_bits))
-
-    def keys(batches):
-        for b in batches:
-            k = np.array([_text_key(x or b"") for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), b.column(2)], names=["text_key", "text"])
+    sent, size = rows.sparkSession.sparkContext.broadcast(_bitmap(classes, "text_key", p.filter_bits)), p.filter_bits
 
     def run(batches):
         import hashlib
 
         bits, shingler, done = sent.value, Shingler(p.words, p.cache), set()
         for b in batches:
-            pos = b.column(0).to_numpy()
+            column = b.column(2)
+            keys = np.fromiter((_text_key(x.as_py() or b"") for x in column), np.uint64, len(column))
+            pos = (keys % np.uint64(size)).astype(np.int64)
             hit = np.flatnonzero((bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1)
             if not len(hit):
                 continue
-            part = b.take(pa.array(hit))
             if len(done) > 200_000:
                 done.clear()
-            out = []
             text = []
-            for k, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for i in hit.tolist():
+                k = int(keys[i])
                 if k not in done:  # copies of a text in a task go once
                     done.add(k)
-                    text.append(x or b"")
+                    text.append(column[i].as_py() or b"")
             for at in range(0, len(text), 400):
                 out = [s for s in shingler.sets(text[at : at + 400]) if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in out], pa.binary()),
                     pa.array([s.view(np.int64) for s in out], pa.list_(pa.int64()))], names=["set_key", "s"])
 
-    keyed = rows.mapInArrow(keys, "text_key long, text binary").select(position.alias("pos"), "text_key", "text")
-    found = keyed.mapInArrow(run, "set_key binary, s array<long>").groupBy("set_key").agg(F.first("s").alias("s"))
+    found = rows.mapInArrow(run, "set_key binary, s array<long>").groupBy("set_key").agg(F.first("s").alias("s"))
     return classes.select("cid", "set_key").join(found, "set_key").select("cid", F.size("s").alias("n"), "s")
 
 
