@@ -1,15 +1,270 @@
-"""Registry of the library's queries and of the SQL that checks them."""
+"""Registry of the library's queries and of the DuckDB SQL that checks them.
+
+The tables hold no Arabic, ligatures or broken characters, so the text queries put them in, alike on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import evaluation, layout
+from .plans.convert import convert
+from .sources import pdf
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def put(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir, text):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+
+
+def _n(pattern: str) -> str:
+    """Characters of a class in DuckDB: all matches, listed and counted."""
+    return f"len(regexp_extract_all(t, '[{pattern}]'))"
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return convert(pdf.synthesize(_t(spark, sf_dir, "documents")))
+
+
+@_query()
+def convert_pdf(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query()
+def parse_spans(spark, sf_dir):
+    return pdf.read_spans(pdf.synthesize(_t(spark, sf_dir, "documents")))
+
+
+BROKEN = "translate(text, 'qzk', '�\x02')"
+QUALITY = f"""
+WITH d AS (SELECT doc_id, {BROKEN.replace(chr(2), "' || chr(2) || '")} AS t FROM documents),
+c AS (SELECT doc_id, t, length(t)::DOUBLE AS n, {_n('�')} AS bad, {_n(chr(0xE000) + '-' + chr(0xF8FF))} AS pua,
+      {_n(r'\x{0001}-\x{001F}\x{007F}-\x{009F}')} AS every, {_n(r'\n\r\t')} AS white FROM d),
+r AS (SELECT *, (n - bad - pua - every) / n AS ratio FROM c)
+SELECT doc_id, round(greatest(0.0, least(1.0, ratio - (bad * 0.05::DOUBLE + pua * 0.02::DOUBLE + (every - white) * 0.05::DOUBLE))), 6) AS quality_score,
+       (bad / n > 0.05 OR pua / n > 0.10 OR ratio < 0.70) AS is_corrupted, round(ratio, 6) AS printable_ratio,
+       bad::BIGINT AS replacement_chars, pua::BIGINT AS pua_chars FROM r
+"""
+
+
+@_query(QUALITY)
+def text_quality(spark, sf_dir):
+    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\x02"))
+    q = T.text_quality(F.col("t"))
+    for k in ("quality_score", "printable_ratio"):
+        q[k] = F.round(q[k], 6)
+    return d.select("doc_id", *[v.alias(k) for k, v in q.items()])
+
+
+MIXED = ("bcdfgh", "ابتцчα")
+_COUNTS = ", ".join(f"{_n(r)}::BIGINT AS n_{s.lower()}" for s, r in T.SCRIPTS.items())
+
+
+@_query(f"WITH d AS (SELECT doc_id, translate(text, '{MIXED[0]}', '{MIXED[1]}') AS t FROM documents) SELECT doc_id, {_COUNTS} FROM d")
+def script_distribution(spark, sf_dir):
+    d = _docs(spark, sf_dir, F.translate("text", *MIXED))
+    return d.select("doc_id", *T.script_counts(F.col("t")))
+
+
+@_query()
+def script_dominant(spark, sf_dir):
+    d = script_distribution(spark, sf_dir)
+    return d.select("doc_id", T.dominant_script({s: F.col(f"n_{s.lower()}") for s in T.SCRIPTS}).alias("script"))
+
+
+@_query("""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[A-Za-z\\x{00C0}-\\x{024F}]') THEN 'Unknown'
+ WHEN regexp_matches(text, '[ğışĞİŞ]') THEN 'Turkish' WHEN regexp_matches(text, '[äÄß]') THEN 'German'
+ WHEN regexp_matches(text, '[éèêëàâùûôîïœæ]') THEN 'French' WHEN regexp_matches(text, '[ñÑ¿¡]') THEN 'Spanish' ELSE 'English' END AS language FROM documents""")
+def language_classify(spark, sf_dir):
+    d = _docs(spark, sf_dir, F.col("text"))
+    d = d.select("doc_id", "t", *T.script_counts(F.col("t")))  # columns of their own: each class is counted once
+    d = d.withColumn("script", T.dominant_script({s: F.col(f"n_{s.lower()}") for s in T.SCRIPTS}))
+    return d.select("doc_id", T.language(F.col("script"), F.col("t"))[0].alias("language"))
+
+
+def _same(name: str, inject: tuple[str, str] | None, func, sql: str):
+    """A query that maps documents.text, with letters put in, by one column function."""
+    src = f"translate(text, '{inject[0]}', '{inject[1]}')" if inject else "text"
+
+    def run(spark, sf_dir):
+        c = F.translate("text", *inject) if inject else F.col("text")
+        return _docs(spark, sf_dir, c).select("doc_id", func(F.col("t")).alias("result"))
+
+    run.__name__ = name
+    _query(f"WITH d AS (SELECT doc_id, {src} AS t FROM documents) SELECT doc_id, {sql} AS result FROM d")(run)
+
+
+def _nest(pairs) -> str:
+    out = "t"
+    for a, b in pairs:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+_same("ligature_unfold", ("qzkx", "ﬁﬄæ "), T.unfold_ligatures, f"regexp_replace(regexp_replace({_nest(T.LIGATURES)}, '{T.WIDE_SPACES}', ' ', 'g'), '{T.DROPPED}', '', 'g')")
+_same("soft_hyphens", ("qz", "­­"), T.clean_soft_hyphens, "replace(t, '­', '')")
+_same("strip_diacritics", ("aei", "ًَْ"), T.strip_diacritics, "regexp_replace(t, '[\\x{064B}-\\x{065F}\\x{0670}]', '', 'g')")
+_same("collapse_whitespace", ("qz", "\t "), T.collapse_whitespace, "regexp_replace(t, '[\\t \\x{00A0}]+', ' ', 'g')")
+_same("normalize_alif", ("abc", "أإآ"), T.normalize_alif, "translate(t, 'أإآٱ', 'اااا')")
+_same("normalize_orthography", ("abc", "ةىئ"), T.normalize_orthography, "translate(t, 'ةىئ', 'هيي')")
+_same("numerals_western", ("abcde", "٠٣۷٫٪"), T.to_western, "translate(t, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬٪', '01234567890123456789.,%')")
+_same("numerals_eastern", ("abc", "059"), T.to_eastern_indic, "translate(t, '0123456789.,%', '٠١٢٣٤٥٦٧٨٩٫٬٪')")
+_same("numerals_persian", ("abc", "059"), T.to_perso_arabic, "translate(t, '0123456789', '۰۱۲۳۴۵۶۷۸۹')")
+_same("numeral_system", ("abc", "٠5۷"), T.numeral_system, f"CASE WHEN {_n('٠-٩')} > {_n('0-9')} AND {_n('٠-٩')} > {_n('۰-۹')} THEN 'EasternArabicIndic' WHEN {_n('0-9')} > {_n('٠-٩')} AND {_n('0-9')} > {_n('۰-۹')} THEN 'WesternArabic' WHEN {_n('۰-۹')} > 0 THEN 'PersoArabic' ELSE 'WesternArabic' END")
+_same("paragraph_direction", ("abcdefghio", "ابتثجحخدذر"), T.paragraph_direction, f"CASE WHEN {_n(T.RTL)} > 0 AND ({_n(T.RTL)} >= {_n('A-Za-z')} OR regexp_matches(regexp_extract(t, '[{T.RTL}A-Za-z]'), '[{T.RTL}]')) THEN 'RightToLeft' ELSE 'LeftToRight' END")
+_same("escape_xml", ("qzk", "<&>"), T.escape_xml, "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')")
+_same("escape_yaml", ("qz", '"\\'), T.escape_yaml, "replace(replace(t, '\\', '\\\\'), '\"', '\\\"')")
+_same("escape_gfm_cell", ("qz", "|\n"), T.escape_gfm_cell, "regexp_replace(replace(replace(replace(t, '|', '\\|'), chr(10), '<br>'), chr(13), ''), '^\\s+|\\s+$', '', 'g')")
+_same("nfc_normalize", None, lambda c: T.nfc(F.replace(c, F.lit("é"), F.lit("é"))), "nfc_normalize(replace(t, 'é', 'e' || chr(769)))")
+
+LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx, unnest(string_split(text, chr(10))) AS text FROM documents"
+KINDS = ("''", "'Page '", "'- '", "'3. '", "'(b) '", "'Figure 2 '", "'Table 1 '", "'• '")
+PREFIXED = f"WITH l AS ({LINES}) SELECT doc_id, line_idx, (CASE (doc_id + line_idx) % 8 {' '.join(f'WHEN {i} THEN {k}' for i, k in enumerate(KINDS))} END) || text AS t FROM l"
+
+
+def _lines(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text")).withColumn("line_idx", F.col("line_idx").cast("long"))
+
+
+def _prefixed(spark, sf_dir):
+    kinds = " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(KINDS))
+    return _lines(spark, sf_dir).select("doc_id", "line_idx", F.expr(f"concat(CASE (doc_id + line_idx) % 8 {kinds} END, text)").alias("t"))
+
+
+@_query(f"WITH p AS ({PREFIXED}) SELECT doc_id, line_idx, regexp_matches(lower(t), '^(page |p\\. |- )') OR regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '^[0-9]+ (of|/) [0-9]+$') AS hit FROM p")
+def page_number_predicate(spark, sf_dir):
+    return _prefixed(spark, sf_dir).select("doc_id", "line_idx", T.is_page_number(F.col("t")).alias("hit"))
+
+
+@_query(f"""WITH p AS ({PREFIXED}) SELECT doc_id, line_idx, CASE WHEN regexp_matches(lower(t), '^(figure|fig\\.|fig|illustration) ') THEN 'Figure' WHEN regexp_matches(lower(t), '^(table|tab\\.|tab) ') THEN 'Table'
+ WHEN regexp_matches(lower(t), '^(listing|algorithm|code) ') THEN 'Code' WHEN regexp_matches(lower(t), '^(equation|eq\\.|eq) ') THEN 'Equation' END AS target FROM p""")
+def captions(spark, sf_dir):
+    return _prefixed(spark, sf_dir).select("doc_id", "line_idx", T.caption_target(F.col("t")).alias("target"))
+
+
+@_query(f"WITH p AS ({PREFIXED}) SELECT doc_id, line_idx, CASE WHEN (doc_id + line_idx) % 8 IN (2, 7) THEN false ELSE true END AS ordered, CASE (doc_id + line_idx) % 8 WHEN 2 THEN '-' WHEN 7 THEN '•' WHEN 3 THEN '3' ELSE 'b' END AS marker FROM p WHERE (doc_id + line_idx) % 8 IN (2, 3, 4, 7)")
+def list_items(spark, sf_dir):
+    i = T.list_item(F.col("t"))
+    return _prefixed(spark, sf_dir).where("(doc_id + line_idx) % 8 IN (2, 3, 4, 7)").select("doc_id", "line_idx", i["ordered"].alias("ordered"), i["marker"].alias("marker"))
+
+
+SPANS = f"""SELECT doc_id, 1 + line_idx // 60 AS page_number, line_idx % 60 AS span_idx, text, 72.0::DOUBLE + 264 * ((line_idx % 60) % 2) AS x,
+ 64.0::DOUBLE + 16 * ((line_idx % 60) // 2) + 32 * ((line_idx % 60) // 10) AS y, 8.0::DOUBLE * least(length(text), 24) AS w, 12.0::DOUBLE AS h,
+ (CASE (line_idx % 60) % 7 WHEN 0 THEN 18 WHEN 1 THEN 14 ELSE 11 END)::DOUBLE AS font_size FROM ({LINES})"""
+
+
+def spans(spark, sf_dir):
+    e = F.expr
+    return _lines(spark, sf_dir).select(
+        "doc_id", e("1 + line_idx DIV 60").alias("page_number"), e("line_idx % 60").alias("span_idx"), "text", e("cast(72 + 264 * ((line_idx % 60) % 2) AS double)").alias("x"),
+        e("cast(64 + 16 * ((line_idx % 60) DIV 2) + 32 * ((line_idx % 60) DIV 10) AS double)").alias("y"), e("8.0D * least(length(text), 24)").alias("w"), F.lit(12.0).alias("h"),
+        e("cast(CASE (line_idx % 60) % 7 WHEN 0 THEN 18 WHEN 1 THEN 14 ELSE 11 END AS double)").alias("font_size"))
+
+
+@_query(f"WITH s AS ({SPANS}) SELECT doc_id, page_number, span_idx, (y <= 77 OR y + h >= 715) AND strlen(text) < 40 AS margin, CASE WHEN y <= 45 THEN 'Header' WHEN y + h >= 747 THEN 'Footer' WHEN (x + w / 2 < 171.36 OR x + w / 2 > 440.64) AND w < 153 THEN 'Sidebar' ELSE 'Body' END AS region FROM s")
+def regions(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    shifted = (F.col("y") <= 77) | (F.col("y") + F.col("h") >= 715)  # margins moved so that derived spans reach them
+    return s.select("doc_id", "page_number", "span_idx", (shifted & (F.octet_length("text") < 40)).alias("margin"), layout.region(*map(F.col, "xywh")).alias("region"))
+
+
+@_query(f"WITH s AS ({SPANS}) SELECT doc_id, page_number, round(font_size * 10)::INT AS size10, sum(strlen(text))::BIGINT AS weight FROM s GROUP BY ALL")
+def font_histogram(spark, sf_dir):
+    return layout.font_histogram(spans(spark, sf_dir))
+
+
+@_query(f"""WITH s AS ({SPANS}), f AS (SELECT doc_id, page_number, round(font_size * 10)::INT AS size10, sum(strlen(text)) AS weight FROM s GROUP BY ALL),
+ b AS (SELECT doc_id, page_number, size10 AS body10 FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY weight DESC, size10) = 1)
+ SELECT doc_id, page_number, body10, count(*) FILTER (size10 > 1.08 * body10)::INT AS n_levels FROM f JOIN b USING (doc_id, page_number) GROUP BY ALL""")
+def font_levels(spark, sf_dir):
+    return layout.font_levels(layout.font_histogram(spans(spark, sf_dir))).select("doc_id", "page_number", "body10", F.size("levels").alias("n_levels"))
+
+
+@_query(f"WITH s AS ({SPANS}), b AS (SELECT doc_id, page_number, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT)) AS bin FROM s WHERE w > 0) SELECT doc_id, page_number, bin::INT AS bin, count(*) AS n FROM b GROUP BY ALL")
+def projection_profile(spark, sf_dir):
+    return layout.projection_profile(spans(spark, sf_dir))
+
+
+@_query(f"""WITH s AS ({SPANS}), m AS (SELECT *, coalesce((y - lag(y + h) OVER o > 17.5)::INT, 0) AS st FROM s WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y, span_idx)),
+ k AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page_number ORDER BY y, span_idx ROWS UNBOUNDED PRECEDING)::INT AS block FROM m)
+ SELECT doc_id, page_number, block, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM k GROUP BY doc_id, page_number, block""")
+def block_segmentation(spark, sf_dir):
+    return layout.blocks(spans(spark, sf_dir))
+
+
+@_query(f"""WITH s AS ({SPANS}), g AS (SELECT doc_id, page_number, y - lag(y + h) OVER (PARTITION BY doc_id, page_number ORDER BY y, span_idx) AS gap FROM s)
+ SELECT doc_id, page_number, count(*) AS n, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS sd, list_sort(list(gap))[1 + count(*) // 2] AS median FROM g WHERE gap IS NOT NULL GROUP BY doc_id, page_number""")
+def line_gap_stats(spark, sf_dir):
+    g = layout.gap_stats(spans(spark, sf_dir))
+    return g.select("doc_id", "page_number", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "median")
+
+
+@_query()
+def coordinate_clusters(spark, sf_dir):
+    s = spans(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.collect_set("y").alias("ys"))
+    return s.select("doc_id", "page_number", F.size(layout.cluster_coordinates(F.col("ys"), 20.0)).alias("n_clusters"))
+
+
+@_query(r"""WITH c AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_idx, n_nationkey, n_name FROM nation)
+ SELECT r_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY row_idx) AS markdown
+ FROM c JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def gfm_table(spark, sf_dir):
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    body = n.selectExpr("n_regionkey AS region", "row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_idx", "cast(n_nationkey AS string) AS a", "n_name AS b")
+    head = r.selectExpr("r_regionkey AS region", "0 AS row_idx", "'key' AS a", "'name' AS b")
+    cells = head.unionByName(body).selectExpr("region", "row_idx", "posexplode(array(a, b)) AS (col_idx, text)")
+    return layout.gfm_table(cells, "region")
+
+
+ASCII = "regexp_replace(substring(text, 1, 200), '[^\\x00-\\x7F]', '?', 'g')"
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {ASCII} AS a FROM documents), b AS (SELECT item_id, {ASCII} AS b FROM benchmark)
+ SELECT doc_id, levenshtein(a, b)::INT AS errors, round(levenshtein(a, b) / length(b)::DOUBLE, 6) AS cer FROM d JOIN b ON doc_id % 40 = item_id WHERE length(b) > 0""")
+def character_error_rate(spark, sf_dir):
+    cut = lambda: F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]", "?")
+    d = _t(spark, sf_dir, "documents").select("doc_id", cut().alias("a"))
+    b = _t(spark, sf_dir, "benchmark").select("item_id", cut().alias("b")).where("length(b) > 0")
+    e = evaluation.character_errors(F.col("a"), F.col("b"))
+    return d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", e.alias("errors"), F.round(evaluation.error_rate(e, F.length("b"), F.length("a")), 6).alias("cer"))
+
+
+@_query()
+def word_error_edits(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("b"))
+    return d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", evaluation.word_edits("b", "a").alias("e")).select("doc_id", "e.*")
+
+
+@_query("SELECT doc_id, quality, toxic, round(" + " + ".join(f"{w}::DOUBLE * {'quality' if i % 2 else '(1 - toxic)'}" for i, w in enumerate(evaluation.WEIGHTS.values())) + ", 3) AS score FROM labels")
+def release_gate(spark, sf_dir):
+    d = _t(spark, sf_dir, "labels")
+    scores = {k: F.col("quality") if i % 2 else 1 - F.col("toxic") for i, k in enumerate(evaluation.WEIGHTS)}
+    return d.select("doc_id", "quality", "toxic", evaluation.composite(scores).alias("score"))
 
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Fixed weights of the twelve sub-scores.
 WEIGHTS = {"unicode": 0.10, "char": 0.10, "word": 0.10, "paragraph": 0.08, "reading_order": 0.10, "rtl": 0.08, "heading": 0.08, "list": 0.06, "table": 0.08, "ocr": 0.08, "mixed_script": 0.07, "markdown": 0.07}
@@ -19,7 +20,10 @@ def error_rate(errors: Column, reference_count: Column, hypothesis_count: Column
     return F.when(reference_count == 0, F.when(hypothesis_count == 0, 0.0).otherwise(1.0)).otherwise(errors / reference_count)
 
 
-@F.pandas_udf("errors int, substitutions int, deletions int, insertions int")
+EDITS = StructType([StructField(n, IntegerType()) for n in ("errors", "substitutions", "deletions", "insertions")])
+
+
+@F.pandas_udf(EDITS)
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Word edits; of equal cost a substitution is taken before a deletion before an insertion."""
 
