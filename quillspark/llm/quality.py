@@ -92,7 +92,7 @@ def thresholds(measured: DataFrame, p: QualityParams) -> DataFrame:
     leaf = materialize(leaf, "quality-sketches")
     merged = [F.kll_merge_agg_double(r.name).alias(r.name) for r in RATIOS]
     by_lang = leaf.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    whole = leaf.agg(F.sum("n").alias("n"), *merged)
+    whole = leaf.agg(F.sum("n").alias("n"), *merged).where("n IS NOT NULL")  # an empty table has no sketch
 
     def fences(df: DataFrame, tag: str) -> list:
         out = []

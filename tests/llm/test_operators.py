@@ -1,0 +1,159 @@
+"""Edge rows through every operator, and each operator against a brute-force version or a public library."""
+
+import base64
+import collections
+import hashlib
+import math
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from quillspark.llm import bpe, exact, html_extract, langid, licenses, lm, minhash, packing, quality, queries, sharding
+
+SF = "/root/testdata/sf0.001"
+EDGE = "doc_id long, TEXT string, text string, lang string, source string, n_chars long, kept boolean, shard int, uid long"
+LONG = "word " * 60_000
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rows = [(1, "x", None, None, None, None, None, None, None), (2, "x", "", "en", "a", 0, True, 1, 1), (3, "x", "same text here", "en", None, 1, None, None, None),
+            (3, "x", "same text here", "en", None, 1, None, None, None), (None, "x", "same text here", None, "a", 1, None, None, None), (4, "x", LONG, "en", "a", 1, None, None, None),
+            (5, "x", "é\U0001f600 MIT License\n\nwords", "fr", "b", 1, None, None, None), (6, "x", " \t\n", "fr", "b", 1, None, None, None)]
+    return spark.createDataFrame(rows, EDGE)
+
+
+OPERATORS = {"quality": quality.judge, "shard": sharding.shard, "pack": packing.pack, "lm": lm.lm_scores, "near": minhash.near_duplicates, "exact": exact.exact_dedup, "bpe": bpe.encode, "lang": langid.identify, "license": licenses.scan}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_edges_and_empty_table(spark, edge, name):
+    # the session ignores case, so the clashing TEXT column would break a plain select of text
+    got = OPERATORS[name](edge).collect()
+    assert len(got) >= 8
+    assert OPERATORS[name](edge.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_quality_base_counts(docs):
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for r in docs.collect():
+        w = [x.decode() for x in r.text.encode().split()]
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in r.text.split("\n") if x.encode().split()]
+        g = got[r.doc_id]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), sum(r.text.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit))
+        assert g.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (g.base_failed and g.kept)
+
+
+def test_near_duplicates_against_all_pairs(docs):
+    sets, par = {}, {}
+    for r in docs.collect():
+        w = r.text.encode().lower().split()
+        sets[r.doc_id] = frozenset(zip(*[w[i:] for i in range(min(2, len(w)))])) if w else frozenset()
+        par[r.doc_id] = r.doc_id
+
+    def root(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((root(a), root(b)))
+                par[y] = x
+    got = minhash.near_duplicates(docs, minhash.MinHashParams(words=2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
+
+
+def test_exact_dedup_separates_colliding_digests(spark, docs, monkeypatch):
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs).collect()}
+    by = collections.defaultdict(list)
+    for r in docs.collect():
+        by[r.text].append(r.doc_id)
+    assert got == {d: (max(v), len(v), d == max(v)) for v in by.values() for d in v}
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: exact.F.lit("00" * 32), raising=True)  # all digests collide
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs.limit(40)).collect()}
+    part = collections.defaultdict(list)
+    for r in docs.limit(40).collect():
+        part[r.text].append(r.doc_id)
+    assert {d: x[1:] for d, x in again.items()} == {d: (len(v), d == max(v)) for v in part.values() for d in v}
+
+
+def test_bpe_equals_library(docs):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.encode(docs).collect()}
+    for r in docs.collect():
+        ids = tk.encode_ordinary(r.text)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())
+
+
+def test_packing_covers_all_within_capacity(docs):
+    got = packing.pack(docs).toPandas().sort_values(["sequence_id", "offset"])
+    assert ((got.offset + got.length).groupby(got.sequence_id).shift(fill_value=0) == got.offset).all()
+    assert got.groupby("sequence_id").length.sum().max() <= 4096
+    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096 * 1.03) + 1
+    assert set(got.doc_id) == {r.doc_id for r in docs.collect()}
+
+
+def test_sharding_balances(docs):
+    got = sharding.shard(docs).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 24 and (got.groupby("shard").slot.max() + 1 == got.groupby("shard").size()).all()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(s == len(text[d].encode()) + 8 and c == zlib.crc32(text[d].encode()) for d, s, c in zip(got.doc_id, got["size"], got.text_crc32))
+
+
+def test_lm_base_and_gain(docs):
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    c = collections.Counter()
+    rows = docs.collect()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            c.update(r.text.encode().lower().split() + [b""])
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        w, g = r.text.encode().lower().split() + [b""], got[r.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w), sum(x in c for x in w), n)
+        assert abs(g.base_score - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
+    held = [g for g in got.values() if g.held_out]
+    assert sum(g.score for g in held) > sum(g.base_score for g in held)
+
+
+def test_language_held_out_accuracy(docs):
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_license_rules(spark):
+    rows = [(1, "See the MIT License. Also the Apache  license"), (2, "SPDX-License-Identifier: MPL-2.0"), (3, "nothing"), (4, "Licensed under the Apache License, Version 2.0")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (2, 2, 6, "apache,mit")
+    assert (got[2].labels, got[2].score) == ("mpl", 1.0) and got[3].labels == "" and got[3].n_base == 0
+    assert got[4].labels == "apache" and len(licenses.rules()) > 200
+
+
+def test_html(spark):
+    page = "<div id=nav>Menu</div><article><h1>A &amp; B</h1><p>Long   text of it<p>x<br></article><div class=comments>nice</div><footer>f"
+    assert html_extract.extract(page) == "A & B\nLong text of it\nx"
+    rows = spark.createDataFrame([(1, "u", None), (2, None, page)], "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_chars) for r in html_extract.main_text(rows).collect()} == {1: ("", 0), 2: ("A & B\nLong text of it\nx", 23)}
+
+
+def test_pipeline_keeps_whole_documents(spark):
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert 0 < got.doc_id.nunique() <= 200 and len(corpus_pipeline.STAGES) == 5
+    assert set(queries.queries()) == {k for k in queries.queries() if k.startswith("op")}
