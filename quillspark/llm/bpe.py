@@ -1,9 +1,11 @@
 """Operator 8: byte-level BPE encoding and decoding with numpy matrices.
 
-A text is split by the pattern. Distinct matches that a task doesn't remember are put into padded matrices by length;
+A text is split by the pattern. Distinct matches that a worker doesn't remember are put into padded matrices by length;
 each round every row looks up the ranks of its adjacent pairs in a hash table, merges its leftmost pair of minimum rank
 and is compacted; rows without a pair leave. Matches longer than LONG bytes are merged by the same rule one by one with
-a heap, as a matrix row would take a round for each merge.
+a heap, as a matrix row would take a round for each merge. The public
+pattern is matched by the standard library, with its classes written out as ranges, in texts without characters beyond
+the basic plane; others, and other patterns, take the regex library.
 
 Edge cases: null text counts as empty (no ids); any Unicode text is encoded, so decoding gives its bytes back; very long
 texts and matches are encoded whole; repeated rows are encoded alike; an empty table gives an empty result.
@@ -12,8 +14,11 @@ texts and matches are encoded whole; repeated rows are encoded alike; an empty t
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +30,14 @@ from .common import pick
 
 LONG = 96
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, LONG)
+WIDTH = [BUCKETS[bisect_left(BUCKETS, n)] for n in range(LONG + 1)]
 
 
 @dataclass(frozen=True)
 class BpeParams:
     ranks: str = ""  # path of the rank file; empty: the public byte BPE
     pattern: str = ""  # empty: the public pattern
-    cache: int = 250_000  # matches whose ids a task remembers
+    cache: int = 400_000  # matches whose ids a worker remembers
 
 
 class ByteBpe:
@@ -107,13 +113,18 @@ class ByteBpe:
                 if not len(rows):
                     break
             # the merged token takes the place of the first of its pair; what follows moves up by one
-            col = np.arange(m.shape[1] - 1)
-            shifted = np.where(col > best[:, None], m[:, 1:], m[:, :-1])
-            shifted[np.arange(len(rows)), best] = low
-            m = shifted
-            if m.shape[1] > 1 and (m[:, -1] < 0).all():
-                m = m[:, : max(1, int((m >= 0).sum(axis=1).max()))]
-            ranks = self.pairs(m[:, :-1], m[:, 1:])
+            every, after = np.arange(len(rows)), np.arange(m.shape[1] - 1) > best[:, None]
+            ranks = ranks[live] if len(ranks) > len(rows) else ranks
+            m = np.where(after, m[:, 1:], m[:, :-1])
+            m[every, best] = low
+            ranks = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            # only the pairs on both sides of the merged token are new
+            left, right = np.flatnonzero(best > 0), np.flatnonzero(best < ranks.shape[1])
+            at = np.concatenate([left, right])
+            first = np.concatenate([best[left] - 1, best[right]])
+            ranks[at, first] = self.pairs(m[at, first], m[at, first + 1])
+            while m.shape[1] > 1 and (m[:, -1] < 0).all():
+                m, ranks = m[:, :-1], ranks[:, :-1]
         return done
 
     def heap(self, piece: bytes) -> list[int]:
@@ -152,7 +163,7 @@ class ByteBpe:
             if x in self.rank:
                 out[i] = [self.rank[x]]
             else:
-                groups.setdefault(next((w for w in BUCKETS if len(x) <= w), 0), []).append(i)
+                groups.setdefault(WIDTH[len(x)] if len(x) <= LONG else 0, []).append(i)
         for w, idx in groups.items():
             if not w:
                 for i in idx:
@@ -171,6 +182,65 @@ def _bpe(p: BpeParams) -> tuple[str, str]:
     return p.ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), p.pattern or public_tokenizers.PATTERN
 
 
+def _ranges(kind: str) -> str:
+    """The characters of the basic plane that match, as ranges for a class of the standard library."""
+    import regex
+
+    code = np.array([ord(c) for c in regex.findall(kind, "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000)))))])
+    cut = np.flatnonzero(np.diff(code) > 1)
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(code[np.append(0, cut + 1)], code[np.append(cut, len(code) - 1)]))
+
+
+def splitter(pattern: str):
+    """A function that gives the matches of the pattern in a text."""
+    import public_tokenizers
+    import regex
+
+    general = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return general
+    letter, number, space = map(_ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    # the public pattern; a contraction begins with what letters and numbers don't, so it can come after them
+    plain = re.compile(rf" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    return lambda text: plain(text) if text.isascii() or max(text) <= "\uffff" else general(text)
+
+
+class TextEncoder:
+    """Tokens of whole texts by way of their matches; remembers up to ``most`` matches and a batch more."""
+
+    def __init__(self, path: str, pattern: str, most: int):
+        self.bpe, self.most, self.split = ByteBpe(path, pattern), most, splitter(pattern)
+        self.word = {i: b"%d" % i for i in self.bpe.token}
+        self.ids: dict[str, bytes] = {}  # match -> its ids as text
+        self.back: dict[str, bytes] = {}  # match -> what its ids decode to
+
+    def learn(self, new: list[str]) -> None:
+        word, token = self.word.__getitem__, self.bpe.token.__getitem__
+        for x, got in zip(new, self.bpe.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new])):
+            self.ids[x], self.back[x] = b" ".join(map(word, got)), b"".join(map(token, got))
+
+    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+        """For each text: number of ids, sha256 of the ids as text, sha256 of the decoded bytes."""
+        parts = [self.split(t) if t else [] for t in texts]
+        if len(self.ids) > self.most:
+            self.ids.clear()
+            self.back.clear()
+        self.learn(list(set().union(*parts).difference(self.ids)))
+        ids, back = self.ids.__getitem__, self.back.__getitem__
+        out: tuple[list, list, list] = ([], [], [])
+        for xs in parts:
+            text = b" ".join(map(ids, xs))
+            for o, v in zip(out, (text.count(b" ") + 1 if xs else 0, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join(map(back, xs))).hexdigest())):
+                o.append(v)
+        return out
+
+
+@functools.lru_cache(1)
+def encoder(path: str, pattern: str, most: int) -> TextEncoder:
+    """One encoder for the tasks that a Python worker runs one after the other."""
+    return TextEncoder(path, pattern, most)
+
+
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -180,25 +250,12 @@ def encode(docs: DataFrame, p: BpeParams | None = None) -> DataFrame:
     path, pattern, most = *_bpe(p), p.cache
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
-        cache: dict[str, tuple] = {}  # match -> (ids, ids as text); a piece of text -> its tokens
-        word = {i: b"%d" % i for i in bpe.token}
+        enc = encoder(path, pattern, most)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                doc, text = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = [bpe.find(t) if t else [] for t in text]
-                if len(cache) > most:
-                    cache.clear()
-                new = list({x for f in found for x in f if x not in cache})
-                if new:
-                    cache.update(zip(new, ((len(ids), b" ".join([word[i] for i in ids]), b"".join([bpe.token[i] for i in ids])) for ids in bpe.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new]))))
-                out = [[], [], [], []]
-                for d, f in zip(doc, found):
-                    got = [cache[x] for x in f]
-                    for o, v in zip(out, (d, sum(g[0] for g in got), hashlib.sha256(b" ".join([g[1] for g in got])).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())):
-                        o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, ids, decoded = enc.digests(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, OUT)
 
