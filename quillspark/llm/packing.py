@@ -13,8 +13,11 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -32,7 +35,7 @@ class PackParams:
     capacity: int = 4096
     end_id: int = 1
     grid: int = 128  # grid lengths in a sequence
-    cache_words: int = 300_000  # words whose ids a task remembers
+    cache_words: int = 300_000  # words whose ids a worker remembers
     rows_a_run: int = 500  # rows ranked together, unless that makes more than max_runs runs
     max_runs: int = 100_000
 
@@ -45,6 +48,11 @@ def _tokenizer_path(p: PackParams) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The end of a word behind which the marks below are always tokens of their own: Latin or Cyrillic letters and digits.
+_LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xd0\xd1][\x80-\xbf])\Z")
+_MARKS = b",.;:!?"
+
+
 class WordEncoder:
     """ids of a text as little-endian uint32 bytes. White space always ends a token, so words are encoded once."""
 
@@ -53,21 +61,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
+        self.stems: dict[bytes, bytes] = {}
+        plain = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Word, 7.", "word , 7 .")]
+        self.plain = plain[0] == plain[1]  # the vocabulary is lower case and marks are apart
+
+    def cut(self, word: bytes) -> tuple[bytes, ...]:
+        """The word as its stem and closing marks, encoded apart; what may hold special tokens keeps its capitals."""
+        if not self.plain or b"<|" in word:
+            return (word,)
+        word = word.lower()
+        stem = word.rstrip(_MARKS)
+        return (stem, word[len(stem) :]) if len(stem) < len(word) and _LETTER.search(stem[-2:]) else (word,)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         if len(self.cache) > self.most:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
+            self.stems.clear()
+        cache, stems = self.cache, self.stems
+        cuts = {w: self.cut(w) for w in set().union(*words).difference(cache)}
+        new = list({x for c in cuts.values() for x in c if x not in stems})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            got = self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got)))
+            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            stems.update(zip(part, (array("I", e.ids).tobytes() for e in got)))
+        cache.update((w, b"".join([stems[x] for x in c])) for w, c in cuts.items())
         get = cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+@functools.lru_cache(1)
+def word_encoder(path: str, cache_words: int) -> WordEncoder:
+    """One encoder for the tasks that a Python worker runs one after the other."""
+    return WordEncoder(path, cache_words)
+
+
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -77,7 +105,7 @@ def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        enc = WordEncoder(path, cache)
+        enc = word_encoder(path, cache)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
