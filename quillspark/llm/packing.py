@@ -54,38 +54,88 @@ _MARKS = b",.;:!?"
 
 
 class WordEncoder:
-    """ids of a text as little-endian uint32 bytes. White space always ends a token, so words are encoded once."""
+    """ids of a text as little-endian uint32 bytes. White space always ends a token, so words are encoded once.
+
+    New words go to the library as one text, a separator of one id between them. A full cache becomes the old one, from
+    which words still in use are taken over.
+    """
+
+    SEPARATOR = "\u00a9"
 
     def __init__(self, path: str, cache_words: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
-        self.stems: dict[bytes, bytes] = {}
-        plain = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Word, 7.", "word , 7 .")]
-        self.plain = plain[0] == plain[1]  # the vocabulary is lower case and marks are apart
-
-    def cut(self, word: bytes) -> tuple[bytes, ...]:
-        """The word as its stem and closing marks, encoded apart; what may hold special tokens keeps its capitals."""
-        if not self.plain or b"<|" in word:
-            return (word,)
-        word = word.lower()
-        stem = word.rstrip(_MARKS)
-        return (stem, word[len(stem) :]) if len(stem) < len(word) and _LETTER.search(stem[-2:]) else (word,)
+        self.old: dict[bytes, bytes] = {}
+        ids = lambda t, x: t.encode(x, add_special_tokens=False).ids
+        self.plain = ids(self.tok, "Word, 7.") == ids(self.tok, "word , 7 .")  # the vocabulary is lower case and marks are apart
+        one, sep = ids(self.tok, self.SEPARATOR), f"a {self.SEPARATOR} b"
+        self.sep = one[0] if len(one) == 1 and ids(self.tok, sep) == ids(self.tok, "a") + one + ids(self.tok, "b") else None
+        # for words of a-z alone normalising and splitting change nothing, so white space is all that has to be looked for
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        probe = " ".join("abcdefghijklmnopqrstuvwxyz"[i:j] for i in range(26) for j in range(i + 1, 27))
+        same = self.plain and ids(self.bare, probe) == ids(self.tok, probe)
+        one = ids(self.bare, "0")
+        self.bare_sep = one[0] if same and len(one) == 1 else None
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Words, lower case where the vocabulary is; what may hold special tokens keeps its capitals."""
+        if not self.plain:
+            return text.split()
+        if b"<|" in text:
+            return [w if b"<|" in w else w.lower() for w in text.split()]
+        return text.lower().split()
+
+    def _joined(self, tok, sep: int, mark: str, words: list[bytes]) -> None:
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            text = f" {mark} ".join([w.decode("utf-8", "replace") for w in part])
+            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == sep), len(ids)) * 4
+            if len(ends) != len(part):
+                raise ValueError("a word holds the separator")
+            raw = ids.tobytes()
+            self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Put the ids of new words into the cache."""
+        rest = new
+        if self.bare_sep is not None:
+            bare = [w for w in new if w.isalpha()]  # of bytes: a-z, as words are lower case
+            rest = new.difference(bare)
+            self._joined(self.bare, self.bare_sep, "0", bare)
+        mark, alone = self.SEPARATOR.encode(), rest
+        if self.sep is not None:
+            alone = [w for w in rest if mark in w]
+            self._joined(self.tok, self.sep, self.SEPARATOR, list(rest.difference(alone)))
+        for w, e in zip(alone, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)):
+            self.cache[w] = array("I", e.ids).tobytes()
+
+    def _missing(self, words: set[bytes]) -> set[bytes]:
+        """Words that neither cache has; those in the old one are taken over."""
+        new = words.difference(self.cache)
+        known = new.intersection(self.old)
+        self.cache.update([(w, self.old[w]) for w in known])
+        return new.difference(known)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [self.split(t) for t in texts]
         if len(self.cache) > self.most:
-            self.cache.clear()
-            self.stems.clear()
-        cache, stems = self.cache, self.stems
-        cuts = {w: self.cut(w) for w in set().union(*words).difference(cache)}
-        new = list({x for c in cuts.values() for x in c if x not in stems})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            stems.update(zip(part, (array("I", e.ids).tobytes() for e in got)))
-        cache.update((w, b"".join([stems[x] for x in c])) for w, c in cuts.items())
+            self.old, self.cache = self.cache, {}
+        new = self._missing(set().union(*words))
+        cuts = []
+        if self.plain:  # closing marks behind a letter are encoded apart
+            for w in [w for w in new if w[-1] in _MARKS]:
+                stem = w.rstrip(_MARKS)
+                if _LETTER.search(stem[-2:]):
+                    cuts.append((w, stem, w[len(stem) :]))
+            new.difference_update([c[0] for c in cuts])
+            new |= self._missing({x for c in cuts for x in c[1:]})
+        self.learn(new)
+        cache = self.cache
+        cache.update([(w, cache[a] + cache[b]) for w, a, b in cuts])
         get = cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
