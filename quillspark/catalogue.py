@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import evaluation, layout
+from .operators import evaluation, layout, ocr, render
 from .plans.convert import convert
 from .sources import pdf
 
@@ -135,6 +135,17 @@ _same("escape_yaml", ("qz", '"\\'), T.escape_yaml, "replace(replace(t, '\\', '\\
 _same("escape_gfm_cell", ("qz", "|\n"), T.escape_gfm_cell, "regexp_replace(replace(replace(replace(t, '|', '\\|'), chr(10), '<br>'), chr(13), ''), '^\\s+|\\s+$', '', 'g')")
 _same("nfc_normalize", None, lambda c: T.nfc(F.replace(c, F.lit("é"), F.lit("é"))), "nfc_normalize(replace(t, 'é', 'e' || chr(769)))")
 
+_same("presentation_forms", ("abcdefg", "ﺏﺘﻼﻻﭖﯶﻶ"), T.presentation_forms, f"translate({_nest(T.FORM_PAIRS)}, '{T.FORMS[0]}', '{T.FORMS[1]}')")
+_same("lam_alef_repair", ("eatn", "لاأـ"), T.repair_lam_alef, _nest(T.LAM_ALEF))
+_same("isolated_letters", ("eat,", "لاأ "), T.join_isolated_letters, f"CASE WHEN contains(t, '  ') THEN array_to_string(list_transform(string_split(t, '  '), lambda w: {_nest(T.LAM_ALEF).replace('(t,', '(w,').replace('t, ', 'w, ')}), ' ') ELSE {_nest(T.LAM_ALEF)} END".replace("(w, 'ل ا'", "(regexp_replace(w, '\\s+', '', 'g'), 'ل ا'", 1))
+_same("floating_diacritics", ("aei", "ًَۖ"), T.attach_diacritics, f"regexp_replace(t, ' ({T.ATTACHED})', '\\1', 'g')")
+_COMMAS = "regexp_replace(regexp_replace(t, '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+_same("mirror_punctuation", ("abcde", '?;12"'), T.mirror_punctuation, f"replace(regexp_replace(translate({_COMMAS}, '?;,' || chr(1), '؟؛،,'), '\"([^\"]*)\"', '«\\1»', 'g'), '\"', '«')")
+_same("citation", None, lambda c: T.citation(F.concat(F.lit(" ( "), c, F.lit(" ) "))), "'[^' || regexp_replace(t, '^\\s+|\\s+$', '', 'g') || ']'")
+_same("scholarly_heading", None, lambda c: T.scholarly_heading(c, F.length(c) % 9), "repeat('#', greatest(1, least(6, length(t) % 9))::INT) || ' ' || regexp_replace(t, '^\\s+|\\s+$', '', 'g')")
+_same("eval_normalize", None, lambda c: T.eval_normalize(F.concat(F.lit("---\na: b\n---\n# *x* <!-- y -->- "), c), tashkeel=True, lower=True),
+      "trim(regexp_replace(lower(replace(replace(translate(nfc_normalize('# *x*  - ' || t), '#*_`|', '     '), '- ', ' '), '---', ' ')), '\\s+', ' ', 'g'))")
+
 LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx, unnest(string_split(text, chr(10))) AS text FROM documents"
 KINDS = ("''", "'Page '", "'- '", "'3. '", "'(b) '", "'Figure 2 '", "'Table 1 '", "'• '")
 PREFIXED = f"WITH l AS ({LINES}) SELECT doc_id, line_idx, (CASE (doc_id + line_idx) % 8 {' '.join(f'WHEN {i} THEN {k}' for i, k in enumerate(KINDS))} END) || text AS t FROM l"
@@ -262,6 +273,68 @@ def release_gate(spark, sf_dir):
     return d.select("doc_id", "quality", "toxic", evaluation.composite(scores).alias("score"))
 
 
+_CELLS = """c AS (SELECT r_regionkey AS region, 0 AS row_idx, 0 AS col_idx, true AS hd, r_name AS x, 2 AS cs, NULL AS al FROM region
+ UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, false, n_nationkey::VARCHAR, 1, 'right' FROM nation UNION ALL SELECT n_regionkey, n_nationkey + 1, 1, false, n_name, 1, NULL FROM nation)"""
+
+
+def _cells(spark, sf_dir):
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    left = n.selectExpr("n_regionkey AS region", "n_nationkey + 1 AS row_idx", "0 AS col_idx", "false AS is_header", "cast(n_nationkey AS string) AS text", "1 AS colspan", "1 AS rowspan", "'Right' AS align")
+    right = n.selectExpr("n_regionkey AS region", "n_nationkey + 1 AS row_idx", "1 AS col_idx", "false AS is_header", "n_name AS text", "1 AS colspan", "1 AS rowspan", "cast(NULL AS string) AS align")
+    head = r.selectExpr("r_regionkey AS region", "0 AS row_idx", "0 AS col_idx", "true AS is_header", "r_name AS text", "2 AS colspan", "1 AS rowspan", "cast(NULL AS string) AS align")
+    return head.unionByName(left).unionByName(right)
+
+
+def _html_sql(table: str, align: str) -> str:
+    return f"""WITH {_CELLS}, k AS (SELECT *, '      <' || CASE WHEN hd THEN 'th' ELSE 'td' END || CASE WHEN cs > 1 THEN ' colspan="' || cs || '"' ELSE '' END || {align} || '>' || x || '</' || CASE WHEN hd THEN 'th' ELSE 'td' END || '>' || chr(10) AS cell FROM c),
+ l AS (SELECT region, hd, row_idx, '    <tr>' || chr(10) || string_agg(cell, '' ORDER BY col_idx) || '    </tr>' || chr(10) AS line FROM k GROUP BY ALL),
+ p AS (SELECT region, hd, string_agg(line, '' ORDER BY row_idx) AS part FROM l GROUP BY ALL)
+ SELECT region, '{table}' || chr(10) || string_agg(CASE WHEN hd THEN '  <thead>' || chr(10) || part || '  </thead>' ELSE '  <tbody>' || chr(10) || part || '  </tbody>' END || chr(10), '' ORDER BY hd DESC) || '</table>' || chr(10) AS html FROM p GROUP BY region"""
+
+
+@_query(_html_sql("<table>", "CASE WHEN al IS NOT NULL THEN ' align=\"' || al || '\"' ELSE '' END"))
+def html_table(spark, sf_dir):
+    return render.html_table(_cells(spark, sf_dir), "region")
+
+
+@_query(_html_sql('<table dir="rtl">', "''"))
+def rtl_html_table(spark, sf_dir):
+    return render.html_table(_cells(spark, sf_dir), "region", rtl=True)
+
+
+@_query(f"""WITH {_CELLS}, l AS (SELECT region, row_idx, '|' || string_agg(' ' || x || ' |', '' ORDER BY col_idx) || chr(10) || CASE WHEN hd THEN '| ---: |' || chr(10) ELSE '' END AS line FROM c GROUP BY region, row_idx, hd)
+ SELECT region, string_agg(line, '' ORDER BY row_idx) AS markdown FROM l GROUP BY region""")
+def rtl_table(spark, sf_dir):
+    return render.rtl_gfm_table(_cells(spark, sf_dir), "region")
+
+
+@_query("""SELECT doc_id, '---' || chr(10) || 'title: "' || replace(replace(coalesce(source, ''), '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || CASE WHEN lang IS NOT NULL THEN 'keywords: ["' || lang || '", "x"]' || chr(10) ELSE '' END
+ || CASE WHEN doc_id % 5 > 0 THEN 'pages: ' || (doc_id % 5) || chr(10) ELSE '' END || '---' || chr(10) AS front FROM documents""")
+def front_matter(spark, sf_dir):
+    d, none = _t(spark, sf_dir, "documents"), F.lit(None).cast("string")
+    words = F.when(F.col("lang").isNotNull(), F.array("lang", F.lit("x")))
+    return d.select("doc_id", render.front_matter(F.coalesce("source", F.lit("")), none, none, words, F.col("doc_id") % 5).alias("front"))
+
+
+@_query(QUALITY.replace("FROM c)\nSELECT doc_id,", "FROM c), q AS (SELECT doc_id, t, n,").rstrip() + """)
+SELECT doc_id, (img OR few OR bad) AS should_ocr, CASE WHEN img THEN 1.0 WHEN few THEN 0.85 WHEN bad THEN 0.9 ELSE 0.0 END::DOUBLE AS necessity, img AS is_image_only, (NOT img AND NOT few AND bad) AS is_font_corrupted,
+ CASE WHEN img THEN 0 ELSE n END::BIGINT AS native_chars, CASE WHEN img THEN 0.0 WHEN few THEN 0.3 ELSE quality_score END::DOUBLE AS native_quality
+ FROM (SELECT *, doc_id % 7 = 0 AS img, n < 15 AND doc_id % 3 > 0 AS few, is_corrupted OR quality_score < 0.6 AS bad FROM q)""")
+def ocr_necessity(spark, sf_dir):
+    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\x02"))
+    c = ocr.necessity(F.col("t"), F.lit(1), (F.col("doc_id") % 3).cast("int"), F.col("doc_id") % 7 == 0)
+    c["native_quality"] = F.round(c["native_quality"], 6)
+    return d.select("doc_id", *[v.alias(k) for k, v in c.items()])
+
+
+@_query("""SELECT doc_id, CASE WHEN p THEN 'ocr' ELSE 'native' END AS source, CASE WHEN p THEN c ELSE q END AS confidence FROM
+ (SELECT doc_id, q, c, q < 0.85 AND c > q AS p FROM (SELECT doc_id, (doc_id % 8) / 8.0::DOUBLE AS q, (doc_id % 5) / 4.0::DOUBLE AS c FROM documents))""")
+def best_stream(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 8 / 8.0).alias("q"), (F.col("doc_id") % 5 / 4.0).alias("c"))
+    b = ocr.best_stream(F.col("text"), F.col("q"), F.upper("text"), F.col("c"))
+    return d.select("doc_id", b["source"].alias("source"), b["confidence"].alias("confidence"))
+
+
 def queries():
     return dict(_Q)
 

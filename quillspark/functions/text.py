@@ -30,6 +30,10 @@ WIDE_SPACES = r"[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 DROPPED = r"[\x{00AD}\x{200B}\x{FEFF}]"
 DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}]"
 WESTERN, EASTERN, PERSIAN = "0123456789", "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹"
+ATTACHED = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"  # marks that belong to the letter before
+LAM_ALEF = (("ل ا", "لا"), ("ل أ", "لأ"), ("ل إ", "لإ"), ("ل آ", "لآ"), ("لـا", "لا"), ("لـأ", "لأ"), ("لـإ", "لإ"), ("لـآ", "لآ"))
+MORE_FORMS = ((0xFB56, 0xFB59, "پ"), (0xFB7A, 0xFB7D, "چ"), (0xFB8A, 0xFB8B, "ژ"), (0xFB8E, 0xFB91, "ک"), (0xFB92, 0xFB95, "گ"), (0xFBA6, 0xFBA9, "ں"), (0xFBF6, 0xFBF8, "ی"))
+CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
 LANGUAGE_MARKS = {  # script -> letters that decide, in order; then the script's own language and the confidences
     "Arabic": ((r"[ٻٿڀٽڄڃڇڌڍڊڙڪڳڱڦڻڏ]", "Sindhi", 0.96), (r"[ټځڅډړږښګڼېۍۀ]", "Pashto", 0.96), (r"[ڵۆێڕە]", "Kurdish", 0.95),
                (r"[ٹڈڑےںہ]", "Urdu", 0.95), (r"[گچپژ]", "Persian", 0.95), ("", "Arabic", 0.92)),
@@ -190,3 +194,75 @@ def caption_target(c: Column) -> Column:
     t = F.lower(F.regexp_replace(c, r"^\s+", ""))
     return (F.when(t.rlike(r"^(figure|fig\.|fig|illustration) "), "Figure").when(t.rlike(r"^(table|tab\.|tab) "), "Table")
             .when(t.rlike(r"^(listing|algorithm|code) "), "Code").when(t.rlike(r"^(equation|eq\.|eq) "), "Equation"))
+
+
+#: Shaped letters of the block FE80-FEFC and their plain letters by compatibility decomposition; some become two letters.
+_PLAIN = {chr(x): unicodedata.normalize("NFKC", chr(x)) for x in range(0xFE80, 0xFEFD)} | {chr(x): to for a, b, to in MORE_FORMS for x in range(a, b + 1)}
+FORMS = ("".join(a for a, b in _PLAIN.items() if len(b) == 1), "".join(b for b in _PLAIN.values() if len(b) == 1))
+FORM_PAIRS = tuple((a, b) for a, b in _PLAIN.items() if len(b) > 1)
+
+
+def _replaced(c: Column, pairs) -> Column:
+    for a, b in pairs:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def presentation_forms(c: Column) -> Column:
+    """Shaped Arabic letters become plain ones; lam-alef becomes two."""
+    return F.translate(_replaced(c, FORM_PAIRS), *FORMS)
+
+
+def repair_lam_alef(c: Column) -> Column:
+    return _replaced(c, LAM_ALEF)
+
+
+def join_isolated_letters(c: Column) -> Column:
+    """Where words are two spaces apart, single spaces inside them go; lam-alef pairs are repaired."""
+    words = F.transform(F.split(c, "  "), lambda w: repair_lam_alef(F.regexp_replace(w, r"\s+", "")))
+    return F.when(F.contains(c, F.lit("  ")), F.array_join(words, " ")).otherwise(repair_lam_alef(c))
+
+
+def attach_diacritics(c: Column) -> Column:
+    """The space before a mark goes."""
+    return F.regexp_replace(c, f" (?={ATTACHED})", "")
+
+
+def mirror_punctuation(c: Column) -> Column:
+    """Arabic question mark, semicolon and comma (not between digits); quotes open and close in turn."""
+    c = F.translate(F.regexp_replace(c, r"(?<![0-9]),|,(?![0-9])", "،"), "?;", "؟؛")
+    return F.replace(F.regexp_replace(c, '"([^"]*)"', "«$1»"), F.lit('"'), F.lit("«"))
+
+
+def scholarly_heading(c: Column, level: Column) -> Column:
+    return F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), level)).cast("int")), F.lit(" "), strip(c))
+
+
+def citation(c: Column) -> Column:
+    """(x) becomes [^x]; anything else is only trimmed."""
+    t = strip(c)
+    return F.when(t.rlike(r"(?s)\A\(.*\)\z"), F.concat(F.lit("[^"), strip(F.substring(t, F.lit(2), F.length(t) - 2)), F.lit("]"))).otherwise(t)
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def join_line(left: Column, right: Column) -> Column:
+    """Two lines of a paragraph: no space between CJK characters, one space elsewhere; an empty side adds nothing."""
+    a, b = strip(left), strip(right)
+    tight = a.rlike(f"[{CJK}]\\z") & b.rlike(f"\\A[{CJK}]")
+    return F.when(a == "", b).when(b == "", a).when(tight, F.concat(a, b)).otherwise(F.concat_ws(" ", a, b))
+
+
+def eval_normalize(c: Column, tashkeel: bool = False, decorations: bool = True, lower: bool = False) -> Column:
+    """Text as the evaluation compares it: no front matter, comments or Markdown marks, NFC, single spaces."""
+    c = F.regexp_replace(strip(c), r"(?s)\A---.*?---\s*", "")
+    c = nfc(F.regexp_replace(c, r"(?s)<!--(?:>|->|.*?-->)", " "))
+    if tashkeel:
+        c = F.regexp_replace(c, r"[\x{064B}-\x{0652}\x{0670}]", "")
+    if decorations:
+        c = _replaced(F.translate(c, "#*_`|", " " * 5), (("- ", " "), ("---", " ")))
+    if lower:
+        c = F.lower(c)
+    return F.trim(F.regexp_replace(collapse_whitespace(c), r"\s+", " "))
