@@ -259,11 +259,18 @@ def character_error_rate(spark, sf_dir):
     return d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", e.alias("errors"), F.round(evaluation.error_rate(e, F.length("b"), F.length("a")), 6).alias("cer"))
 
 
+@_query()
+def character_error_rate_whole(spark, sf_dir):
+    """Whole texts and all of benchmark; character_error_rate keeps to the prefixes of its SQL."""
+    d = evaluation.with_reference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    d = d.withColumn("errors", evaluation.character_errors(F.col("b"), F.col("a")))
+    return d.select("doc_id", "item_id", "errors", F.round(evaluation.error_rate(F.col("errors"), F.length("b"), F.length("a")), 6).alias("cer"))
+
+
 @_query()
 def word_error_edits(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("b"))
-    return d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", evaluation.word_edits("b", "a").alias("e")).select("doc_id", "e.*")
+    d = evaluation.with_reference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", evaluation.word_edits("b", "a").alias("e")).select("doc_id", "e.*")
 
 
 @_query("SELECT doc_id, quality, toxic, round(" + " + ".join(f"{w}::DOUBLE * {'quality' if i % 2 else '(1 - toxic)'}" for i, w in enumerate(evaluation.WEIGHTS.values())) + ", 3) AS score FROM labels")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -23,25 +24,38 @@ def error_rate(errors: Column, reference_count: Column, hypothesis_count: Column
 EDITS = StructType([StructField(n, IntegerType()) for n in ("errors", "substitutions", "deletions", "insertions")])
 
 
+def count_edits(ref: list, hyp: list) -> tuple[int, int, int, int]:
+    """errors, substitutions, deletions, insertions; of equal cost a substitution is taken before a deletion before an insertion."""
+    number: dict = {}
+    x, y = ([number.setdefault(w, len(number)) for w in words] for words in (ref, hyp))
+    y, at = np.array(y, np.int64), np.arange(len(y) + 1)
+    cost, subs = at.copy(), np.zeros(len(at), np.int64)
+    for w in x:  # a row of the matrix at once
+        miss = (y != w).astype(np.int64)
+        diag, down = cost[:-1] + miss, cost[1:] + 1
+        take = diag <= down
+        own = np.r_[cost[0] + 1, np.where(take, diag, down)] - at
+        s = np.r_[0, np.where(take, subs[:-1] + miss, subs[1:])]
+        least = np.minimum.accumulate(own)  # insertions: from the last cell to the left that is no dearer
+        cost, subs = least + at, s[np.maximum.accumulate(np.where(own == least, at, 0))]
+    errors, s = int(cost[-1]), int(subs[-1])
+    gone = (errors - s + len(x) - len(y)) // 2
+    return errors, s, gone, errors - s - gone
+
+
 @F.pandas_udf(EDITS)
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Word edits; of equal cost a substitution is taken before a deletion before an insertion."""
-
-    def one(a, b):
-        a, b = (a or "").split(), (b or "").split()
-        row = [(j, 0, 0, j) for j in range(len(b) + 1)]
-        for i, x in enumerate(a, 1):
-            prev, row = row, [(i, 0, i, 0)]
-            for j, y in enumerate(b, 1):
-                if x == y:
-                    row.append(prev[j - 1])
-                    continue
-                s, d, n = prev[j - 1], prev[j], row[j - 1]
-                best = min(s[0], d[0], n[0])
-                row.append((s[0] + 1, s[1] + 1, s[2], s[3]) if s[0] == best else (d[0] + 1, d[1], d[2] + 1, d[3]) if d[0] == best else (n[0] + 1, n[1], n[2], n[3] + 1))
-        return row[-1]
-
-    return pd.DataFrame([one(a, b) for a, b in zip(ref, hyp)], columns=["errors", "substitutions", "deletions", "insertions"])
+    """Word edits of whole texts; null counts as empty."""
+    return pd.DataFrame([count_edits((a or "").split(), (b or "").split()) for a, b in zip(ref, hyp)], columns=["errors", "substitutions", "deletions", "insertions"])
+
+
+def with_reference(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, item_id, a, b: whole text and reference, null as empty. Every row of items (item_id, text) serves; no document is left out."""
+    order = Window.orderBy("item_id")
+    refs = items.select(F.row_number().over(order).alias("k"), "item_id", F.coalesce("text", F.lit("")).alias("b"))
+    n = max(items.count(), 1)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("a"), (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n)) + 1).alias("k"))
+    return docs.join(F.broadcast(refs), "k", "left").select("doc_id", "item_id", "a", F.coalesce("b", F.lit("")).alias("b"))
 
 
 def corpus_report(scored: DataFrame, max_cer: float = 0.05) -> DataFrame:
