@@ -178,6 +178,15 @@ def list_items(spark, sf_dir):
     return _prefixed(spark, sf_dir).where("(doc_id + line_idx) % 8 IN (2, 3, 4, 7)").select("doc_id", "line_idx", i["ordered"].alias("ordered"), i["marker"].alias("marker"))
 
 
+@_query(f"""WITH p AS ({PREFIXED}), s AS (SELECT doc_id, line_idx, regexp_replace(t, '^\\s+', '') AS t FROM p),
+ m AS (SELECT doc_id, line_idx, regexp_extract(t, '^[•*+▪▫–—◦‣⁃●○-]') AS bullet, regexp_extract(t, '^[(\\[]?([0-9]{{1,8}}|[ivxlcdmIVXLCDM]{{1,8}}|[A-Za-z])[.)\\]]', 1) AS number FROM s)
+ SELECT doc_id, line_idx, CASE WHEN bullet <> '' THEN 'false' WHEN number <> '' THEN 'true' END AS ordered, coalesce(nullif(bullet, ''), nullif(number, '')) AS marker FROM m""")
+def list_items_all(spark, sf_dir):
+    """Every line, ordered ('true' or 'false') and marker null where there is no item; list_items keeps to the lines of its SQL."""
+    i = T.list_item(F.col("t"))
+    return _prefixed(spark, sf_dir).select("doc_id", "line_idx", i["ordered"].cast("string").alias("ordered"), i["marker"].alias("marker"))
+
+
 SPANS = f"""SELECT doc_id, 1 + line_idx // 60 AS page_number, line_idx % 60 AS span_idx, text, 72.0::DOUBLE + 264 * ((line_idx % 60) % 2) AS x,
  64.0::DOUBLE + 16 * ((line_idx % 60) // 2) + 32 * ((line_idx % 60) // 10) AS y, 8.0::DOUBLE * least(length(text), 24) AS w, 12.0::DOUBLE AS h,
  (CASE (line_idx % 60) % 7 WHEN 0 THEN 18 WHEN 1 THEN 14 ELSE 11 END)::DOUBLE AS font_size FROM ({LINES})"""

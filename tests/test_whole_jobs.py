@@ -60,3 +60,15 @@ def test_character_error_rate_of_whole_texts(spark, tmp_path):
         n = edits(list(ref), list(t or ""))[0]
         assert got[d] == (item, n, round(n / len(ref), 6) if ref else float(bool(t)))
     assert len(got) == len(docs)
+
+
+def test_list_items_of_every_line(spark):
+    got = {(r.doc_id, r.line_idx): (r.ordered, r.marker) for r in catalogue.queries()["list_items_all"](spark, SF).collect()}
+    docs, _ = texts(spark, SF)
+    assert set(got) == {(d, i) for d, t in docs.items() for i in range(len(t.split("\n")))}
+    put = {2: ("false", "-"), 3: ("true", "3"), 4: ("true", "b"), 7: ("false", "•")}
+    for (d, i), item in got.items():
+        kind = (d + i) % 8
+        if kind in put or kind in (1, 5, 6):  # 'Page ', 'Figure 2 ', 'Table 1 ' are no items
+            assert item == put.get(kind, (None, None))
+    assert any(item == (None, None) for (d, i), item in got.items() if (d + i) % 8 == 0)
