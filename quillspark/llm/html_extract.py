@@ -2,9 +2,10 @@
 
 The standard library's HTML parser sends events; blocks (the lines of the page) end at block-level tags. Each line has
 the ratio of its text to its tags; ratios are smoothed by a Gaussian and clustered against a threshold into content
-regions. Lines inside boilerplate elements (by tag, role, or class and id words) never count. If the content lies in an
-article or main element, the regions grow to all lines of that element, so short paragraphs between long ones stay;
-else a region runs from its first to its last line and lines that are mostly links are left out.
+regions, which select the text on every page. Lines inside boilerplate elements (by tag, role, or class and id words)
+never count. An article or main element only extends a region: to the other lines of the same element that are not mostly
+links, so short paragraphs beside long ones stay. Outside such elements the text runs from the first
+to the last line of a region and lines that are mostly links are left out.
 
 Edge cases: null and empty html give an empty text; broken and unclosed tags are closed by what follows; character
 references are decoded, also without a semicolon; very long pages are read whole; repeated rows give the same text; an
@@ -44,7 +45,7 @@ class HtmlParams:
 class _Line:
     __slots__ = ("parts", "tags", "linked", "boiler", "inside")
 
-    def __init__(self, boiler: bool, inside: bool):
+    def __init__(self, boiler: bool, inside: tuple[int, ...]):
         self.parts, self.tags, self.linked, self.boiler, self.inside = [], 1, 0, boiler, inside
 
 
@@ -70,7 +71,8 @@ class Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, boilerplate, article
-        self.silent = self.boiler = self.inside = self.links = 0
+        self.silent = self.boiler = self.links = self.elements = 0
+        self.inside: tuple[int, ...] = ()  # numbers of the open article and main elements
         self.line: _Line | None = None
 
     def _push(self, tag, attrs):
@@ -83,14 +85,17 @@ class Events(HTMLParser):
         self.stack.append((tag, silent, boiler, inside))
         self.silent += silent
         self.boiler += boiler
-        self.inside += inside
+        if inside:
+            self.elements += 1
+            self.inside += (self.elements,)
         self.links += tag == "a"
 
     def _pop(self):
         tag, silent, boiler, inside = self.stack.pop()
         self.silent -= silent
         self.boiler -= boiler
-        self.inside -= inside
+        if inside:
+            self.inside = self.inside[:-1]
         self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
@@ -135,7 +140,7 @@ class Events(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = _Line(self.boiler > 0, self.inside > 0)
+            self.line = _Line(self.boiler > 0, self.inside)
             self.lines.append(self.line)
         self.line.parts.append(data)
         if self.links:
@@ -171,12 +176,15 @@ def extract(html: str | None, p: HtmlParams = HtmlParams()) -> str:
             lines.append((text, x))
     ratio = [0.0 if x.boiler else max(0, len(t) - x.linked) / x.tags for t, x in lines]
     content = _regions(ratio, p)
-    if any(c and x.inside and not x.boiler for c, (_, x) in zip(content, lines)) or any(x.inside and not x.boiler for _, x in lines) and not any(content):
-        return "\n".join(t for t, x in lines if x.inside and not x.boiler)
-    picked = [i for i, (c, (_, x)) in enumerate(zip(content, lines)) if c and not x.boiler]
-    if not picked:
-        return ""
-    return "\n".join(t for i, (t, x) in enumerate(lines[picked[0] : picked[-1] + 1], picked[0]) if not x.boiler and (content[i] or x.linked <= p.max_link_share * len(t)))
+    keep = [c and not x.boiler for c, (_, x) in zip(content, lines)]
+    few_links = [not x.boiler and x.linked <= p.max_link_share * len(t) for t, x in lines]
+    picked = [i for i, k in enumerate(keep) if k]
+    own = {lines[i][1].inside[-1] for i in picked if lines[i][1].inside}  # elements that hold a line of a region
+    keep = [k or f and any(n in own for n in x.inside) for k, f, (_, x) in zip(keep, few_links, lines)]
+    outside = [i for i in picked if not lines[i][1].inside]
+    for i in range(outside[0], outside[-1]) if outside else ():
+        keep[i] = keep[i] or few_links[i] and not lines[i][1].inside
+    return "\n".join(t for (t, _), k in zip(lines, keep) if k)
 
 
 def main_text(pages: DataFrame, p: HtmlParams | None = None) -> DataFrame:

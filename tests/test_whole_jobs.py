@@ -72,3 +72,16 @@ def test_list_items_of_every_line(spark):
         if kind in put or kind in (1, 5, 6):  # 'Page ', 'Figure 2 ', 'Table 1 ' are no items
             assert item == put.get(kind, (None, None))
     assert any(item == (None, None) for (d, i), item in got.items() if (d + i) % 8 == 0)
+
+
+def test_html_regions_select_beside_and_inside_articles():
+    from quillspark.llm.html_extract import extract
+
+    long = "A long line of the main text that goes on for a while, with many words and no tags at all. " * 3
+    teaser = "<article><a href=x>Teaser of another page</a></article>"
+    beside = extract(f"<div><p>{long}<p>{long}<p>Short.<p>{long}</div>" + teaser * 8)
+    assert beside.count("A long line") == 9 and "Short." in beside and "Teaser" not in beside.replace("\n", " ").split("A long line")[-1][300:]
+    partly = extract(f"<p>Before {long}<p>{long}<main><p>{long}<p>Tiny.<p>{long}</main><p>After {long}")
+    assert all(w in partly for w in ("Before", "Tiny.", "After"))
+    links = extract(f"<article><p>{long}<p>{long}<p>{long}" + "<p><a href=x>see this other page</a>" * 12 + "</article>")
+    assert links.count("see this other page") < 12 and links.count("A long line") == 9
