@@ -3,7 +3,7 @@
 A rule is (name, label, priority, confidence, keywords joined by |, regular expression). Rules are written by hand for each license
 family: its name in running text, its SPDX identifier, its address and a grant sentence; further rules cover the
 sentences of license texts. A document is looked at only if it holds a gate word; a rule runs only if the document
-holds one of its keywords. Detections are intervals; one that lies within another of the same or a stronger priority is
+holds one of its keywords; both are looked for with white space squeezed, as wrapped texts break phrases. Detections are intervals; one that lies within another of the same or a stronger priority is
 suppressed, and the labels of the rest are reported. Beside them stand the base phrases, which always count.
 
 Edge cases: null text counts as empty (no words, no labels, score 0); very long texts are scanned whole; repeated rows
@@ -94,9 +94,9 @@ SENTENCES = (
     ("apache-grant", "apache", 1, 0.95, "licensed under the apache", r"licensed\s+under\s+the\s+apache\s+license,?\s+version\s+2\.0"),
     ("apache-comply", "apache", 2, 0.8, "compliance with the license", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license"),
     ("bsd-grant", "bsd", 1, 0.95, "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,?\s+with\s+or\s+without\s+modification"),
-    ("bsd-names", "bsd", 2, 0.8, "specific prior written permission", r"neither\s+the\s+names?\s+of\s+[^.]{1,120}\s+specific\s+prior\s+written\s+permission"),
+    ("bsd-names", "bsd", 2, 0.8, "specific prior written permission", r"neither\s+the\s+names?\s+of\s+[^.]+(?:\.(?=[\w,]|\s+(?:nor|and|or)\s)[^.]+)*\s+specific\s+prior\s+written\s+permission"),
     ("gpl-grant", "gpl", 1, 0.95, "redistribute it and/or modify", r"you\s+can\s+redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+general\s+public\s+license"),
-    ("gpl-share", "gpl", 2, 0.8, "change all versions", r"freedom\s+to\s+share\s+and\s+change\s+all\s+versions\s+of\s+a\s+program.{0,200}licen[cs]e"),
+    ("gpl-share", "gpl", 2, 0.8, "change all versions", r"freedom\s+to\s+share\s+and\s+change\s+all\s+versions\s+of\s+a\s+program(?s:.{0,400}?)licen[cs]e"),
     ("gpl-warranty", "gpl", 3, 0.6, "implied warranty", r"without\s+even\s+the\s+implied\s+warranty\s+of\s+merchantability"),
     ("mpl-form", "mpl", 1, 0.95, "source code form is subject", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+license"),
     ("unlicense-text", "unlicense", 1, 0.95, "released into the public domain", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
@@ -136,18 +136,19 @@ def scan(docs: DataFrame) -> DataFrame:
     gates = sorted({*GATES, *EXTRA_GATES})
     lit = F.array(*[F.struct(F.lit(r[1]).alias("label"), F.lit(r[2]).alias("prio"), F.lit(r[3]).alias("conf"), F.array(*[F.lit(k) for k in r[4].split("|")]).alias("kw"), F.lit(r[5]).alias("re")) for r in table])
     step = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    step = step.withColumn("__near", F.lower("text"))  # its own column: lower-cased once for all gates
+    step = step.withColumn("__near", F.regexp_replace(F.lower("text"), r"\s+", " "))  # its own column: made once for all gates
     gated = F.lit(False)
     for g in gates:
         gated = gated | F.contains("__near", F.lit(g))
     step = step.withColumn("__gated", gated).drop("__near")
     step = step.withColumn("__t", F.when(F.col("__gated"), F.translate("text", UPPER, LOWER)))
+    step = step.withColumn("__s", F.regexp_replace("__t", r"\s+", " "))
     step = step.withColumn("n_words", F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), "")).cast("long"))
     step = step.withColumn("__w", F.when(F.contains("__t", F.lit("license")), F.array_remove(F.split("__t", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), "")))
     cases = " ".join(f"WHEN i >= {len(words) - 1} AND " + " AND ".join(f"__w[i - {len(words) - 1 - k}] = '{w}'" for k, w in enumerate(words)) + f" THEN named_struct('p', i - {len(words) - 1}, 'l', '{label}')" for words, label in PHRASES)
     ends = ", ".join(sorted({f"'{words[-1]}'" for words, _ in PHRASES}))
     step = step.withColumn("__b", F.expr(f"CASE WHEN __w IS NOT NULL THEN filter(transform(__w, (x, i) -> CASE WHEN x NOT IN ({ends}) THEN NULL {cases} END), x -> x IS NOT NULL) END"))
-    step = step.withColumn("__r", F.when(F.col("__gated"), F.filter(lit, lambda r: F.exists(r["kw"], lambda k: F.contains(F.col("__t"), k)))))
+    step = step.withColumn("__r", F.when(F.col("__gated"), F.filter(lit, lambda r: F.exists(r["kw"], lambda k: F.contains(F.col("__s"), k)))))
     step = step.withColumn("__m", F.expr("filter(transform(__r, r -> named_struct('r', r, 'm', regexp_extract_all(__t, r.re, 0))), x -> size(x.m) > 0)"))
     # place of the k-th match of a rule: what was split off before it plus the matches before it
     step = step.withColumn("__h", F.expr(

@@ -85,3 +85,14 @@ def test_html_regions_select_beside_and_inside_articles():
     assert all(w in partly for w in ("Before", "Tiny.", "After"))
     links = extract(f"<article><p>{long}<p>{long}<p>{long}" + "<p><a href=x>see this other page</a>" * 12 + "</article>")
     assert links.count("see this other page") < 12 and links.count("A long line") == 9
+
+
+def test_license_phrases_over_line_breaks(spark):
+    from quillspark.llm import licenses
+
+    bsd = "Neither the name of the copyright holder, Example Systems Research Institute Inc., nor\n    the names of its contributors may be used to endorse or promote products\n    derived from this software without specific\n    prior written\n    permission."
+    rows = [(1, "All rights\nreserved."), (2, "Permission is hereby\ngranted, free of  charge, to any person obtaining a copy"), (3, bsd), (4, "dedicated to the public\n\n domain"),
+            (5, "you can redistribute it\nand/or modify it under the terms of the GNU\nGeneral Public License"), (6, "freedom to share and change\nall versions of a program--to make sure it remains free\nsoftware for all its users. We use the GNU\nLicense"),
+            (7, "Neither the name of one. A sentence. Another without specific prior written permission.")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(1, 5)] == ["proprietary", "mit", "bsd", "public-domain"] and "gpl" in got[5] and "gpl" in got[6] and got[7] == ""
