@@ -10,17 +10,24 @@ from ..operators import layout
 from ..sources import pdf
 
 
+#: Sizes are in tenths. Body size: the one of most bytes in the document (smallest on ties), or of a page's own lines if all have one size.
+BODY = "-array_max(transform(sizes, z -> struct(aggregate(filter(spans, s -> s.size10 = z), 0L, (a, s) -> a + octet_length(s.text)) AS n, -z AS z))).z"
+PAGE_BODY = "IF(size(p.spans) > 1 AND size(array_distinct(p.spans.size10)) = 1, p.spans[0].size10, body10)"
+#: Level: place among the sizes over 1.08 times the body size, largest first, sizes within 0.8 points alike; 0 for text and for lines over 160 bytes.
+LEVEL = f"IF(s.size10 * 100 > 108 * {PAGE_BODY} AND octet_length(trim(s.text)) <= 160, least(6, 1 + size(filter(sizes, z -> z > s.size10 + 8))), 0)"
+LINES = f"transform(filter(p.spans, s -> s.kept), s -> IF({LEVEL} > 0, concat(repeat('#', {LEVEL}), ' ', s.text), s.line))"
+
+
 def convert(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, content) -> doc_id, total_pages, n_spans, error, markdown. One shuffle, by page."""
+    """docs (doc_id, content) -> doc_id, total_pages, n_spans, error, markdown. Shuffles by page and by document."""
     spans = pdf.read_spans(docs)
-    hist = F.col("font_size")
-    body = F.coalesce(~layout.header_footer(F.col("y"), F.col("h"), F.col("text"), T.is_page_number(F.col("text"))), F.lit(True))
+    kept = F.coalesce(~layout.header_footer(F.col("y"), F.col("h"), F.col("text"), T.is_page_number(F.col("text"))), F.lit(True))
     item = T.list_item(F.col("text"))
-    line = (F.when(hist >= 17, F.concat(F.lit("# "), F.col("text"))).when(item["ordered"], F.concat(F.lit("1. "), item["content"]))
-            .when(~item["ordered"], F.concat(F.lit("- "), item["content"])).otherwise(F.col("text")))
-    kept = spans.where(body).select("doc_id", "page_number", "span_idx", "error", line.alias("line"))
-    pages = kept.groupBy("doc_id", "page_number").agg(F.max("error").alias("error"), F.count("line").alias("n"), F.expr("array_join(transform(array_sort(collect_list(struct(span_idx, line))), s -> s.line), '\n')").alias("md"))
-    marked = F.when(F.col("page_number") > 1, F.concat(F.lit("\n<!-- pagebreak: page "), F.col("page_number"), F.lit(" -->\n"), F.col("md"))).otherwise(F.col("md"))
-    return pages.withColumn("md", marked).groupBy("doc_id").agg(
-        F.coalesce(F.max("page_number"), F.lit(0)).alias("total_pages"), F.sum("n").cast("long").alias("n_spans"), F.max("error").alias("error"),
-        F.expr("array_join(transform(array_sort(collect_list(struct(page_number, md))), s -> s.md), '\n')").alias("markdown"))
+    line = F.when(item["ordered"], F.concat(F.lit("1. "), item["content"])).when(~item["ordered"], F.concat(F.lit("- "), item["content"])).otherwise(F.col("text"))
+    spans = spans.select("doc_id", "page_number", "span_idx", "error", "text", F.round(F.col("font_size") * 10).cast("int").alias("size10"), kept.alias("kept"), line.alias("line"))
+    pages = spans.groupBy("doc_id", "page_number").agg(F.max("error").alias("error"), F.count_if(F.col("kept") & F.col("text").isNotNull()).alias("n"), F.expr("array_sort(collect_list(struct(span_idx, text, size10, kept, line)))").alias("spans"))
+    whole = pages.groupBy("doc_id").agg(F.coalesce(F.max("page_number"), F.lit(0)).alias("total_pages"), F.sum("n").cast("long").alias("n_spans"), F.max("error").alias("error"), F.expr("array_sort(collect_list(struct(page_number, spans)))").alias("pages"))
+    whole = whole.withColumn("spans", F.flatten("pages.spans")).withColumn("sizes", F.expr("array_distinct(spans.size10)"))
+    whole = whole.withColumn("body10", F.expr(BODY))
+    mark = f"concat(IF(p.page_number > 1, concat('\\n<!-- pagebreak: page ', p.page_number, ' -->\\n'), ''), array_join({LINES}, '\\n'))"
+    return whole.select("doc_id", "total_pages", "n_spans", "error", F.expr(f"array_join(transform(pages, p -> {mark}), '\\n')").alias("markdown"))

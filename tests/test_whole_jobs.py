@@ -96,3 +96,15 @@ def test_license_phrases_over_line_breaks(spark):
             (7, "Neither the name of one. A sentence. Another without specific prior written permission.")]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(1, 5)] == ["proprietary", "mit", "bsd", "public-domain"] and "gpl" in got[5] and "gpl" in got[6] and got[7] == ""
+
+
+def test_pdf_headings_by_the_size_ladder(spark):
+    from quillspark.plans.convert import convert
+    from quillspark.sources import pdf
+
+    text = [(72, 600 - 15 * k, 11, "body text of the page") for k in range(9)]
+    ladder = pdf.write_pdf([[(72, 720, 20, "One"), (72, 690, 16, "Two"), (72, 660, 14, "Three"), *text], [(72, 700 - 20 * k, 18, f"large line {k}") for k in range(4)]])
+    docs = spark.createDataFrame([(1, bytearray(ladder)), (2, bytearray(pdf.write_pdf([[(72, 700 - 20 * k, 18, "all large") for k in range(5)]])))], "doc_id long, content binary")
+    got = {r.doc_id: r.markdown.split("\n") for r in convert(docs).collect()}
+    assert got[1][:4] == ["# One", "### Two", "#### Three", "body text of the page"]  # 18 points, on the second page, are the second size
+    assert "large line 0" in got[1] and got[2] == ["all large"] * 5
