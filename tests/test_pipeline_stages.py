@@ -1,0 +1,25 @@
+"""Kept ids of the two dedup stages, recomputed in plain Python."""
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_dedup_stages_keep_the_right_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    exact = {t: d for d, t in rows}  # the largest id of each text
+    got = corpus_pipeline.exact_stage(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(exact.values())
+    sets, root = {}, {}
+    for d, t in rows:
+        w = t.encode().lower().split()
+        sets[d], root[d] = frozenset(zip(*[w[i:] for i in range(min(5, len(w)))])) if w else frozenset(), d
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[:i]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    got = corpus_pipeline.near_stage(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d in root if root[d] == d)
