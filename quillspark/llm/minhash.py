@@ -5,14 +5,18 @@ round filled; rounds t .. 2t-1 fill bin i-t for certain. So all t coordinates ar
 estimates concentrate. Coordinates are cut into bands; documents with an equal band are candidates, and links are
 confirmed on the full shingle sets (64-bit hashes of shingles).
 
-Documents with equal sets are one class, and a class is handled once. No bucket is expanded into its pairs: each bucket
-picks a hub and compares its members with that; components are found. In buckets that still hold several components,
-members of different components are compared completely, block by block, so no link between candidates that would join
-two components is lost; a task holds two blocks and gives back links alone.
+Documents with equal sets are one class, and a class is handled once. No bucket is expanded into its pairs. One order
+over all bands, that of class ids, makes the first member of a bucket its hub. In the first round every class is compared
+with one hub only, the one it shares most bands with; components are found. In the second round the hubs of other
+components follow. In buckets that still hold several components, members of different components are compared
+completely, block by block, so no link between candidates that would join two components is lost; a task holds two
+blocks and gives back a spanning forest of the links it found. Keys that many rows share are dealt to several tasks.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is one shingle; very long texts are used whole; repeated rows are one class; a null id is kept (and is
-its component only if no row of the group has an id); an empty table gives an empty result; extra columns are ignored.
+its component only if no row of the group has an id); ties (rows of a group with the same smallest id) all count as
+kept in near_duplicates, and the one read first stays in keep_one; an empty table gives an empty result; extra columns,
+also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import drop_rows, join_hot, materialize, pick, release, slices
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,7 @@ class MinHashParams:
     band_size: int = 8
     filter_bits: int = 1 << 24  # of the fixed-size filters
     block: int = 2048  # members of a bucket compared at once
+    block_shingles: int = 2_000_000  # shingles of a block, unless one member has more
     cache: int = 100_000  # words whose hashes a task remembers
 
 
@@ -132,8 +137,7 @@ def sketched(rows: DataFrame, p: MinHashParams) -> DataFrame:
 
         shingler = Shingler(p.words, p.cache)
         for b in batches:
-            for at in range(0, b.num_rows, 400):
-                part = b.slice(at, 400)
+            for part in slices(b, 2, 400):
                 text = [x or b"" for x in part.column(2).to_pylist()]
                 sets = shingler.sets(text)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -182,8 +186,8 @@ def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFra
                 if k not in done:  # copies of a text in a task go once
                     done.add(k)
                     text.append(column[i].as_py() or b"")
-            for at in range(0, len(text), 400):
-                out = [s for s in shingler.sets(text[at : at + 400]) if len(s)]
+            for part in slices(pa.record_batch([pa.array(text, pa.binary())], ["t"]), 0, 400):
+                out = [s for s in shingler.sets(part.column(0).to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in out], pa.binary()),
                     pa.array([s.view(np.int64) for s in out], pa.list_(pa.int64()))], names=["set_key", "s"])
@@ -193,19 +197,36 @@ def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity. Sizes are compared before sets are fetched."""
-    size = sets.select("cid", "n")
-    left, right = size.withColumnsRenamed({"cid": "a", "n": "na"}), size.withColumnsRenamed({"cid": "b", "n": "nb"})
-    near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    sa, sb = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
-    both = near.join(sa, "a").join(sb, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("c", common).where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    """The pairs (cid, n, hub, hub_n) whose sets reach the similarity, as (cid, hub). A hub may have many pairs."""
+    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
+    hubs = materialize(hubs.join(sets.select(F.col("cid").alias("hub"), F.col("s").alias("t")), "hub"), "near-hubs")
+    total = hubs.agg(F.sum("pairs")).first()[0] or 0
+    both = join_hot(pairs.join(sets.select("cid", "s"), "cid"), hubs, "hub", "pairs", total, "cid")
+    both = both.withColumn("c", F.size(F.array_intersect("s", "t")))
+    return both.where(100 * F.col("c") >= percent * (F.col("n") + F.col("hub_n") - F.col("c"))).select("cid", "hub")
+
+
+def _forest(near: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows and columns of a spanning forest, over the labels, of the links in the symmetric matrix near: 2 x links."""
+    i, j = np.nonzero(np.triu(near, 1))
+    names, of = np.unique(label, return_inverse=True)
+    link = np.full((len(names), len(names)), -1, np.int32)
+    link[of[i], of[j]] = link[of[j], of[i]] = np.arange(len(i))
+    out, open_ = [], np.ones(len(names), bool)
+    for start in range(len(names)):
+        todo = [start] if open_[start] else []
+        open_[start] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero((link[x] >= 0) & open_)
+            open_[new] = False
+            out += link[x, new].tolist()
+            todo += new.tolist()
+    return np.stack([i[out], j[out]]) if out else np.empty((2, 0), np.int64)
 
 
 def _block_links(cid: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, same: bool) -> np.ndarray:
-    """Pairs of one block (or of two) in different components whose sets may reach the similarity. Exact but for
-    collisions of 32-bit shingle keys, which only add pairs."""
+    """Links within one block (or between two) of members in different components: exact, reduced to a spanning forest."""
     n = len(cid)
     size = np.fromiter(map(len, sets), np.int64, n)
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -227,45 +248,55 @@ def _block_links(cid: np.ndarray, label: np.ndarray, side: np.ndarray, sets: lis
     near &= label[:, None] != label[None, :]
     if not same:
         near &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(near, 1))
-    return np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])])
+    i, j = _forest(near, label)
+    return np.stack([np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j])])
 
 
 def _blocks(rest: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs (a, b) from buckets (band, cid, label, k) with several components. Buckets are cut into blocks of about
-    p.block members; a task holds two blocks at most and gives back only pairs that may be links."""
-    blocks = F.ceil(F.col("k") / p.block).cast("long")
-    key32 = F.transform("s", lambda x: F.shiftright(x, 32).cast("int"))
-    m = rest.join(sets.select("cid", key32.alias("s")), "cid").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    one = m.where("nb = 1").select("band", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "own", "cid", "label", "s")
-    many = m.where("nb > 1").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    many = many.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "cid", "label", "s")
+    """Links (cid, hub) in buckets (band, cid, label, k, shingles) with several components. Buckets are cut into blocks
+    of about p.block members and p.block_shingles shingles; a task holds two blocks at most."""
+    blocks = F.greatest(F.ceil(F.col("k") / p.block), F.ceil(F.col("shingles") / p.block_shingles), F.lit(1)).cast("long")
+    m = rest.join(sets.select("cid", "s"), "cid").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    m = m.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "cid", "label", "s")
     percent = p.percent
 
     def run(key, t):
-        got = _block_links(t.column("cid").to_numpy(), t.column("label").to_numpy(), t.column("own").to_numpy(), [np.asarray(x.values, np.int32) for x in t.column("s")], percent, key[1].as_py() == key[2].as_py())
-        return pa.table({"a": got[0], "b": got[1]})
+        got = _block_links(t.column("cid").to_numpy(), t.column("label").to_numpy(), t.column("own").to_numpy(), [np.asarray(x.values, np.int64) for x in t.column("s")], percent, key[1].as_py() == key[2].as_py())
+        return pa.table({"cid": got[0], "hub": got[1]})
 
-    return one.unionByName(many).groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return m.groupBy("band", "i", "j").applyInArrow(run, "cid long, hub long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, label): label is the smallest cid of the component, for every cid that has a link. Star contraction."""
-    e = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    """(cid, label): label is the smallest cid of the component, for every cid that has a link (cid, hub). Star contraction."""
+
+    def stamp(e):
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = materialize(links.select(F.greatest("cid", "hub").alias("u"), F.least("cid", "hub").alias("v")).where("u <> v").distinct(), "near-edges")
+    before = stamp(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m2.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")), "near-least")
+        large = join_hot(both.where("v > u"), least, "u", "degree", 2 * before[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "near-large")
+        least2 = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "near-least")
+        small = join_hot(large, least2, "u", "degree", before[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = materialize(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "near-edges")
+        release(e, least, large, least2)
+        e, now = after, stamp(after)
         if now == before:
             return e.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
         before = now
 
 
+def _labelled(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
+    """df with the label of the class in column key; classes without a link are their own."""
+    names = labels.select(F.col("cid").alias("__c"), F.col("label").alias(out))
+    return df.join(names, F.col(key) == F.col("__c"), "left").drop("__c").withColumn(out, F.coalesce(out, key))
+
+
 def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(verdicts, base). verdicts: uid, doc_id, n_shingles, component_id, stays. base: materialised uid and ``columns``."""
     base = pick(docs, *dict.fromkeys(("doc_id", "text", *columns)))
@@ -274,41 +305,54 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
         rows = base.select("uid", "doc_id", F.col("text").cast("binary").alias("text"))
     else:
         rows = base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("binary").alias("text"))
-    all_rows = materialize(sketched(rows, p), "near-sketches")
+    wide = materialize(sketched(rows, p), "near-bands")
+    sketches = materialize(wide.select("uid", "doc_id", "n_shingles", "set_key"), "near-sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    classes = all_rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("uid").alias("cid"), F.min(first).alias("rep"), F.first("text_key").alias("text_key"), F.first("bands").alias("bands"))
+    full = sketches.where("n_shingles > 0")
+    classes = wide.where("n_shingles > 0").groupBy("set_key").agg(F.min("uid").alias("cid"), F.min(first).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("text_key").alias("text_key"), F.first("bands").alias("bands"))
     classes = materialize(classes, "near-classes")
-    member = classes.select("cid", F.explode("bands").alias("band"))
-    hub = lambda seed: F.min_by("cid", F.xxhash64("cid", "band", F.lit(seed)))
-    buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), hub(1).alias("hub")).where("k > 1")
-    buckets = materialize(buckets, "near-buckets")
-    twos = buckets.where("k = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = materialize(member.join(buckets.where("k > 2").select("band", "hub"), "band"), "near-members")
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = materialize(twos.unionByName(more.where("cid <> hub").select(*order("cid", "hub"))).distinct(), "near-pairs")
-    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    release(wide)
+    total, kinds = classes.agg(F.sum("copies"), F.count(F.lit(1))).first()
+
+    # buckets of classes with an equal band; the smallest class id of a bucket is its hub
+    member = classes.select("cid", "n", F.explode("bands").alias("band"))
+    buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.min("cid").alias("hub"), F.min_by("n", "cid").alias("hub_n")).where("k > 1")
+    buckets = materialize(buckets.withColumn("weight", F.col("k")), "near-buckets")
+    more = materialize(join_hot(member, buckets, "band", "weight", p.bands * (kinds or 0), "cid"), "near-members")
+    sizes = 100 * F.least("n", "hub_n") >= p.percent * F.greatest("n", "hub_n")
+    candidates = more.where("cid <> hub").where(sizes).groupBy("cid", "n", "hub", "hub_n").agg(F.count(F.lit(1)).alias("shared"))
+    candidates = materialize(candidates, "near-candidates")
+    involved = more.select("cid").distinct()
     sets = materialize(_full_sets(rows, classes.join(involved, "cid").select("cid", "set_key", "text_key"), p), "near-sets")
-    links = materialize(verified(pairs, sets, p.percent), "near-links")
-    labels = components(links)
-
-    def torn(labels: DataFrame) -> DataFrame:
-        """Members of buckets that still hold several components."""
-        m = more.select("band", "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        m = materialize(m, "near-labelled")
-        open_ = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("band", "k")
-        return materialize(m.join(open_, "band"), "near-torn")
 
-    rest = torn(labels)
+    # one hub for each class, then the other hubs where they lie in another component
+    best = candidates.groupBy("cid", "n").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"), "hub_n")).alias("best"))
+    links = materialize(verified(best.select("cid", "n", (-F.col("best.hub")).alias("hub"), "best.hub_n"), sets, p.percent), "near-links")
+    labels = materialize(components(links), "near-labels")
+    left = _labelled(_labelled(candidates, labels, "cid", "x"), labels, "hub", "y").where("x <> y").select("cid", "n", "hub", "hub_n")
+    left = materialize(left, "near-second")
+    if not left.isEmpty():
+        links = materialize(links.unionByName(verified(left, sets, p.percent)), "near-links")
+        labels = materialize(components(links), "near-labels")
+
+    # buckets that still hold several components; of two members the hub was compared with the other
+    m = materialize(_labelled(more.where("k > 2").select("band", "cid", "k", "shingles"), labels, "cid", "label"), "near-labelled")
+    torn = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", F.col("band").alias("torn"))
+    rest = materialize(m.join(torn, "band", "left_semi"), "near-torn")
     if not rest.isEmpty():
-        links = links.unionByName(verified(_blocks(rest, sets, p), sets, p.percent))
-        labels = components(links)
-    labels = materialize(labels, "near-labels")
-    named = classes.select("set_key", "cid", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    reps = named.groupBy("label").agg(F.min("rep").alias("best"))
-    found = materialize(named.join(reps, "label").select("set_key", "best"), "near-components")
-    out = all_rows.where("n_shingles > 0").select("uid", "doc_id", "n_shingles", "set_key").join(found, "set_key")
+        links = links.unionByName(materialize(_blocks(rest, sets, p), "near-blocks"))
+        labels = materialize(components(links), "near-labels")
+
+    # the first row of each component; classes without a link keep their own
+    reps = labels.join(classes.select("cid", "rep"), "cid").groupBy("label").agg(F.min("rep").alias("best"), F.count(F.lit(1)).alias("size"))
+    reps = materialize(reps, "near-reps")
+    named = join_hot(labels, reps, "label", "size", kinds or 0, "cid").select("cid", "best")
+    found = classes.select("set_key", "cid", "rep", "copies").join(named, "cid", "left").select("set_key", F.coalesce("best", "rep").alias("best"), "copies")
+    found = materialize(found, "near-components")
+    out = join_hot(full.select("uid", "doc_id", "n_shingles", "set_key"), found, "set_key", "copies", total or 0, "uid")
     out = out.select("uid", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.uid") == F.col("uid")).alias("stays"))
-    alone = all_rows.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    alone = sketches.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    release(classes, buckets, more, candidates, sets, left, m, rest)
     return out.unionByName(alone), base
 
 
@@ -321,4 +365,5 @@ def near_duplicates(docs: DataFrame, p: MinHashParams | None = None) -> DataFram
 def keep_one(docs: DataFrame, columns: tuple[str, ...], p: MinHashParams | None = None) -> DataFrame:
     """One row of each group, with ``columns``."""
     verdicts, base = group(docs, p or MinHashParams(), columns)
-    return base.join(verdicts.where(~F.col("stays")).select("uid"), "uid", "left_anti").select(*columns)
+    gone = materialize(verdicts.where(~F.col("stays")).select("uid"), "near-gone")
+    return drop_rows(base, gone).select(*columns)
