@@ -1,19 +1,27 @@
 """Operator 1: quality rules with adaptive thresholds (native: DataFrame functions only).
 
-Every document gets a handful of ratios. Per (lang, source) a mergeable KLL quantile sketch of each ratio is built
-with map-side partial sketches; sketches of small groups are merged upwards (language, then everything), so a group
-with few rows borrows the thresholds of its language. A ratio outside the fences ``q25 - m .. q75 + m`` with
-``m = max(fence * (q75 - q25), floor)`` rejects the document. The thresholds are a small table that is joined back.
-
-Edge cases: null text has no words (base_failed); null lang or source is a group of its own; an empty table gives an
-empty result; repeated rows are judged alike; very long texts are processed whole (n log n in their words).
+Every document gets a handful of ratios of a count to a size. Per (lang, source) a mergeable quantile sketch of each
+ratio counts its values in cells that grow by the factor ``gamma``: partial counts are made map-side, cells of the same
+place add up when sketches are merged, and a quantile is right within the factor gamma. Sketches
+hold the documents that pass the base rules. Sketches of small groups are merged upwards (language, then everything), so
+a group of under ``min_group`` such documents takes the thresholds of its language. A threshold lies ``reach`` times the
+distance from the median to the quantile ``body`` beyond that quantile; there are no fixed ratios. A count rejects a
+document if it exceeds what the threshold's rate gives for the document's size by more than ``sigmas`` standard
+deviations of a Poisson count, so a few events in a short text are no evidence. The thresholds are a small table that is
+joined back. Counts and integer cells add up alike in any order: every run keeps the same rows.
+
+Edge cases: null text has no words (base_failed); null lang or source is a group of its own; where no document passes
+the base rules there are no thresholds and nothing to keep; values equal to a threshold (ties) are kept; an empty table
+gives an empty result; repeated rows are judged alike; very long texts are processed whole (n log n in their words);
+extra columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, pick, small
@@ -22,32 +30,39 @@ from .common import SPACE, materialize, pick, small
 FEW = 32
 SYMBOLS = r"[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The cell of a ratio of zero, below all others.
+ZERO = -1_000_000
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """name, SQL over the counts, floors of the margin above and below the quartiles (None: side not used)."""
+    """A count by a size. A count of events is weighed against chance; a mean is compared as it is, on both sides."""
 
     name: str
-    sql: str
-    above: float | None
-    below: float | None = None
+    count: str
+    size: str
+    events: bool = True
+
+    def column(self) -> Column:
+        return (F.col(self.count) / F.greatest(F.col(self.size), F.lit(1))).cast("double")
 
 
 RATIOS = (
-    Ratio("symbol_ratio", "n_symbols / greatest(word_chars, 1)", 0.06),
-    Ratio("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", 0.5),
-    Ratio("repeat_ratio", "n_repeat_words / greatest(n_words, 1)", 0.25),
-    Ratio("upper_ratio", "n_upper / greatest(word_chars, 1)", 0.3),
-    Ratio("word_length", "word_chars / greatest(n_words, 1)", 6.0, 2.5),
+    Ratio("symbol_ratio", "n_symbols", "word_chars"),
+    Ratio("dup_line_ratio", "n_dup_lines", "n_lines"),
+    Ratio("repeat_ratio", "n_repeat_words", "n_words"),
+    Ratio("upper_ratio", "n_upper", "word_chars"),
+    Ratio("word_length", "word_chars", "n_words", events=False),
 )
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    fence: float = 3.0
-    sketch_k: int = 400
-    min_group: int = 25
+    gamma: float = 1.02
+    body: float = 0.9  # and 1 - body on the lower side
+    reach: float = 4.0
+    sigmas: float = 3.0
+    min_group: int = 500
     min_words: int = 50
     max_repeat_percent: int = 50
     broadcast_rows: int = 100_000
@@ -84,37 +99,49 @@ def measure(docs: DataFrame) -> DataFrame:
             .drop("__w", "__l", "__g", "__s", "__d", "__t", "__p"))
 
 
+def sketch(measured: DataFrame, p: QualityParams) -> DataFrame:
+    """(lang, source, ratio, cell, n): rows of a group in each cell of each ratio. Cells of merged groups are summed."""
+    def cell(r: Ratio) -> Column:
+        v = r.column()
+        return F.when(v > 0, F.ceil(F.ln(v) / math.log(p.gamma))).otherwise(ZERO).cast("int")
+
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), cell(r).alias("cell")) for i, r in enumerate(RATIOS)]))
+    rows = measured.select("lang", "source", cells.alias("c")).select("lang", "source", "c.ratio", "c.cell")
+    return rows.groupBy("lang", "source", "ratio", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bounds(cells: DataFrame, keys: tuple[str, ...], p: QualityParams) -> DataFrame:
+    """(keys, rows, and hi and lo of each ratio) from sketches. A partition holds the cells of one sketch: a few thousand."""
+    own = Window.partitionBy(*keys, "ratio")
+    upto = own.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    c = cells.withColumn("cum", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(own))
+
+    def quantile(q: float) -> Column:
+        return F.min(F.when(F.col("cum") >= F.ceil(F.lit(q) * F.col("rows")), F.col("cell")))
+
+    def edge(cell: str, up: int) -> Column:
+        return F.when(F.col(cell) == ZERO, 0.0).otherwise(F.pow(F.lit(p.gamma), F.col(cell) + up))
+
+    per = c.groupBy(*keys, "ratio").agg(F.max("rows").alias("rows"), quantile(1 - p.body).alias("low"), quantile(0.5).alias("mid"), quantile(p.body).alias("high"))
+    # upper edges of the cells above and lower edges below, so that a threshold never cuts through the cell it comes from
+    hi = edge("high", 0) + p.reach * (edge("high", 0) - edge("mid", 0))
+    lo = edge("low", -1) - p.reach * (edge("mid", -1) - edge("low", -1))
+    per = per.withColumn("hi", hi).withColumn("lo", lo)
+    return per.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("ratio") == i, F.col(side))).alias(f"{side}_{r.name}") for i, r in enumerate(RATIOS) for side in ("hi", "lo")])
+
+
 def thresholds(measured: DataFrame, p: QualityParams) -> DataFrame:
-    """(lang, source) -> lower and upper bound of each ratio, from merged sketches. One row for each group."""
-    with_ratio = measured.select("lang", "source", *[F.expr(r.sql).cast("double").alias(r.name) for r in RATIOS])
-    leaf = with_ratio.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r.name, F.lit(p.sketch_k)).alias(r.name) for r in RATIOS])
-    leaf = materialize(leaf, "quality-sketches")
-    merged = [F.kll_merge_agg_double(r.name).alias(r.name) for r in RATIOS]
-    by_lang = leaf.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    whole = leaf.agg(F.sum("n").alias("n"), *merged).where("n IS NOT NULL")  # an empty table has no sketch
-
-    def fences(df: DataFrame, tag: str) -> list:
-        out = []
-        for r in RATIOS:
-            q1 = F.kll_sketch_get_quantile_double(r.name, F.lit(0.25))
-            q3 = F.kll_sketch_get_quantile_double(r.name, F.lit(0.75))
-            hi = q3 + F.greatest(p.fence * (q3 - q1), F.lit(r.above)) if r.above is not None else F.lit(None).cast("double")
-            lo = q1 - F.greatest(p.fence * (q3 - q1), F.lit(r.below)) if r.below is not None else F.lit(None).cast("double")
-            out += [hi.alias(f"{tag}hi_{r.name}"), lo.alias(f"{tag}lo_{r.name}")]
-        return out
-
-    a = leaf.select("lang", "source", F.col("n").alias("n0"), *fences(leaf, "a_"))
-    b = by_lang.select(F.col("lang").alias("lang_b"), F.col("n").alias("n1"), *fences(by_lang, "b_"))
-    c = whole.select(*fences(whole, "c_"))
-    # the whole-table row is one row by construction, the language rows one for each language
+    """(lang, source) -> hi and lo of each ratio. One row for each group; measured: the rows that pass the base rules."""
+    leaf = materialize(sketch(measured, p), "quality-sketches")
+    names = [f"{side}_{r.name}" for r in RATIOS for side in ("hi", "lo")]
+    a = bounds(leaf, ("lang", "source"), p)
+    b = bounds(leaf.groupBy("lang", "ratio", "cell").agg(F.sum("n").alias("n")), ("lang",), p)
+    c = bounds(leaf.groupBy("ratio", "cell").agg(F.sum("n").alias("n")), (), p)
+    b = b.select(F.col("lang").alias("lang_b"), F.col("rows").alias("rows_b"), *[F.col(n).alias("b_" + n) for n in names])
+    c = c.select(*[F.col(n).alias("c_" + n) for n in names])
+    # the whole table has one row by construction
     out = a.join(b, a.lang.eqNullSafe(b.lang_b), "left").join(F.broadcast(c), F.lit(True), "left")
-    cols = []
-    for r in RATIOS:
-        for side in ("hi", "lo"):
-            n = f"{side}_{r.name}"
-            cols.append(F.when(F.col("n0") >= p.min_group, F.col("a_" + n)).when(F.col("n1") >= p.min_group, F.col("b_" + n)).otherwise(F.col("c_" + n)).alias(n))
-    return out.select("lang", "source", *cols)
+    return out.select("lang", "source", *[F.when(F.col("rows") >= p.min_group, F.col(n)).when(F.col("rows_b") >= p.min_group, F.col("b_" + n)).otherwise(F.col("c_" + n)).alias(n) for n in names])
 
 
 def judge(docs: DataFrame, p: QualityParams | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -126,24 +153,30 @@ def judge(docs: DataFrame, p: QualityParams | None = None, carry: tuple[str, ...
     carry = tuple(dict.fromkeys(carry))
     need = tuple(dict.fromkeys((*carry, "text", "lang", "source")))
     extra = tuple(c for c in ("lang", "source") if c not in carry)
-    measured = measure(pick(docs, *need)).select(*carry, *extra, *COUNTS, "n_upper", "n_lines")
+    base = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
+    measured = measure(pick(docs, *need)).select(*carry, *extra, *COUNTS, "n_upper", "n_lines", base.alias("base_failed"))
     measured = materialize(measured, "quality-counts")
-    limits = materialize(thresholds(measured, p), "quality-thresholds").withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    limits = materialize(thresholds(measured.where("NOT base_failed"), p), "quality-thresholds").withColumnsRenamed({"lang": "__lang", "source": "__source"})
     if small(limits, p.broadcast_rows):
         joined = measured.join(F.broadcast(limits), measured.lang.eqNullSafe(limits["__lang"]) & measured.source.eqNullSafe(limits["__source"]), "left")
     else:  # many sources: both sides salted, so that a source with a third of all rows is dealt to 64 tasks
         left = measured.withColumn("__salt", F.pmod(F.xxhash64(*COUNTS, carry[0]), F.lit(64)))
         right = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("__salt", F.col("__salt").cast("long"))
         joined = left.join(right, (left["__salt"] == right["__salt"]) & left.lang.eqNullSafe(right["__lang"]) & left.source.eqNullSafe(right["__source"]), "left")
-    base = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
+    return joined.select(*carry, *COUNTS, "base_failed", (~F.col("base_failed") & ~outside(p)).alias("kept"))
+
+
+def outside(p: QualityParams) -> Column:
+    """A ratio lies beyond its threshold; without thresholds none does."""
     bad = F.lit(False)
     for r in RATIOS:
-        v = F.expr(r.sql).cast("double")
-        if r.above is not None:
-            bad = bad | F.coalesce(v > F.col("hi_" + r.name), F.lit(False))
-        if r.below is not None:
-            bad = bad | F.coalesce(v < F.col("lo_" + r.name), F.lit(False))
-    return joined.select(*carry, *COUNTS, base.alias("base_failed"), (~base & ~bad).alias("kept"))
+        hi, lo, n = F.col("hi_" + r.name), F.col("lo_" + r.name), F.col(r.count)
+        if r.events:
+            beyond = n - hi * F.greatest(F.col(r.size), F.lit(1)) > p.sigmas * F.sqrt(n.cast("double"))
+        else:
+            beyond = (r.column() > hi) | (r.column() < lo)
+        bad = bad | F.coalesce(beyond, F.lit(False))
+    return bad
 
 
 def quality_filter(docs: DataFrame, columns: tuple[str, ...], p: QualityParams | None = None) -> DataFrame:
