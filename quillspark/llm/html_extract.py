@@ -1,15 +1,17 @@
 """Operator 4: main text of a web page from streaming parser events and text-to-tag ratios.
 
 The standard library's HTML parser sends events; blocks (the lines of the page) end at block-level tags. Each line has
-the ratio of its text to its tags; ratios are smoothed by a Gaussian and clustered against a threshold into content
-regions, which select the text on every page. Lines inside boilerplate elements (by tag, role, or class and id words)
-never count. An article or main element only extends a region: to the other lines of the same element that are not mostly
-links, so short paragraphs beside long ones stay. Outside such elements the text runs from the first
-to the last line of a region and lines that are mostly links are left out.
+the ratio of its text outside links to its tags; ratios are smoothed by a Gaussian and clustered against a threshold
+into content regions, and only regions select: a page without one has no text. Structure weighs in on both sides. Lines
+inside boilerplate elements (by tag, role, or class and id words) have a ratio of zero and are never text. A region
+inside an article or main element grows over the lines next to it in the same element, up to one that is mostly links,
+so short paragraphs and headings beside long ones stay. Elsewhere a region takes the heading right above it and what
+lies between two regions of the same element, and lines that are mostly links are left out.
 
 Edge cases: null and empty html give an empty text; broken and unclosed tags are closed by what follows; character
-references are decoded, also without a semicolon; very long pages are read whole; repeated rows give the same text; an
-empty table gives an empty result; extra columns are ignored.
+references are decoded, also without a semicolon; a ratio equal to the threshold (a tie) selects; very long pages are
+read whole; repeated rows give the same text; an empty table gives an empty result; extra columns, also with clashing
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, slices
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td template tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +33,9 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog header search".split(
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of a class or id that mark what isn't the article.
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar widget widgets skip hidden".split())
+#: Elements that hold blocks which belong together.
+HOMES = frozenset("body article main section div center td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_WORDS = frozenset("article post entry content story main".split())
 CLOSES_P = BLOCK - frozenset(["html", "body", "head", "option", "optgroup"])
 
@@ -43,10 +48,10 @@ class HtmlParams:
 
 
 class _Line:
-    __slots__ = ("parts", "tags", "linked", "boiler", "inside")
+    __slots__ = ("parts", "tags", "linked", "boiler", "inside", "home", "heading")
 
-    def __init__(self, boiler: bool, inside: tuple[int, ...]):
-        self.parts, self.tags, self.linked, self.boiler, self.inside = [], 1, 0, boiler, inside
+    def __init__(self, boiler: bool, inside: tuple[int, ...], home: int, heading: bool):
+        self.parts, self.tags, self.linked, self.boiler, self.inside, self.home, self.heading = [], 1, 0, boiler, inside, home, heading
 
 
 def _words(attrs) -> tuple[set[str], str]:
@@ -71,8 +76,9 @@ class Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, boilerplate, article
-        self.silent = self.boiler = self.links = self.elements = 0
+        self.silent = self.boiler = self.links = self.headings = self.elements = 0
         self.inside: tuple[int, ...] = ()  # numbers of the open article and main elements
+        self.homes = [0]  # numbers of the open elements that hold blocks
         self.line: _Line | None = None
 
     def _push(self, tag, attrs):
@@ -85,10 +91,13 @@ class Events(HTMLParser):
         self.stack.append((tag, silent, boiler, inside))
         self.silent += silent
         self.boiler += boiler
+        self.elements += 1
         if inside:
-            self.elements += 1
             self.inside += (self.elements,)
+        if tag in HOMES:
+            self.homes.append(self.elements)
         self.links += tag == "a"
+        self.headings += tag in HEADINGS
 
     def _pop(self):
         tag, silent, boiler, inside = self.stack.pop()
@@ -96,7 +105,10 @@ class Events(HTMLParser):
         self.boiler -= boiler
         if inside:
             self.inside = self.inside[:-1]
+        if tag in HOMES:
+            self.homes.pop()
         self.links -= tag == "a"
+        self.headings -= tag in HEADINGS
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -140,7 +152,7 @@ class Events(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = _Line(self.boiler > 0, self.inside)
+            self.line = _Line(self.boiler > 0, self.inside, self.homes[-1], self.headings > 0)
             self.lines.append(self.line)
         self.line.parts.append(data)
         if self.links:
@@ -176,14 +188,26 @@ def extract(html: str | None, p: HtmlParams = HtmlParams()) -> str:
             lines.append((text, x))
     ratio = [0.0 if x.boiler else max(0, len(t) - x.linked) / x.tags for t, x in lines]
     content = _regions(ratio, p)
-    keep = [c and not x.boiler for c, (_, x) in zip(content, lines)]
     few_links = [not x.boiler and x.linked <= p.max_link_share * len(t) for t, x in lines]
+    own = {x.inside[-1] for c, f, (_, x) in zip(content, few_links, lines) if c and f and x.inside}
+    keep = [c and (f or not x.boiler and bool(x.inside) and x.inside[-1] in own) for c, f, (_, x) in zip(content, few_links, lines)]
     picked = [i for i, k in enumerate(keep) if k]
-    own = {lines[i][1].inside[-1] for i in picked if lines[i][1].inside}  # elements that hold a line of a region
-    keep = [k or f and any(n in own for n in x.inside) for k, f, (_, x) in zip(keep, few_links, lines)]
-    outside = [i for i in picked if not lines[i][1].inside]
-    for i in range(outside[0], outside[-1]) if outside else ():
-        keep[i] = keep[i] or few_links[i] and not lines[i][1].inside
+    last = None
+    for i in picked:
+        here = lines[i][1]
+        if here.inside:
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(lines) and here.inside[-1] in lines[j][1].inside and (lines[j][1].boiler or few_links[j] and not keep[j]):
+                    keep[j] = not lines[j][1].boiler
+                    j += step
+            continue
+        if i and lines[i - 1][1].heading and lines[i - 1][1].home == here.home:
+            keep[i - 1] = keep[i - 1] or few_links[i - 1]
+        for j in range(last + 1, i) if last is not None else ():
+            between = lines[j][1]
+            keep[j] = keep[j] or few_links[j] and not between.inside and between.home == here.home == lines[last][1].home
+        last = i
     return "\n".join(t for (t, _), k in zip(lines, keep) if k)
 
 
@@ -193,7 +217,8 @@ def main_text(pages: DataFrame, p: HtmlParams | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text = [extract(h, p) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in slices(b, 2, 1000, 16 << 20):
+                text = [extract(h, p) for h in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pick(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
