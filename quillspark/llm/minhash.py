@@ -37,7 +37,8 @@ class MinHashParams:
     percent: int = 80
     bands: int = 64
     band_size: int = 8
-    filter_bits: int = 1 << 24  # of the fixed-size filters
+    filter_bits: int = 1 << 24  # of the filter of texts that are read again
+    band_bits: int = 1 << 26  # of the filter of bands that occur twice
     block: int = 2048  # members of a bucket compared at once
     block_shingles: int = 2_000_000  # shingles of a block, unless one member has more
     cache: int = 100_000  # words whose hashes a task remembers
@@ -163,6 +164,22 @@ def _bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
+def _members(classes: DataFrame, p: MinHashParams) -> DataFrame:
+    """(cid, n, band) of the bands that may occur in two classes: those of a fixed-size filter of the repeated ones."""
+    twice = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sent, size = classes.sparkSession.sparkContext.broadcast(_bitmap(twice, "band", p.band_bits)), p.band_bits
+
+    def run(batches):
+        bits = sent.value
+        for b in batches:
+            flat, of = b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+            pos = (flat.view(np.uint64) % np.uint64(size)).astype(np.int64)
+            hit = np.flatnonzero((bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[hit])), b.column(1).take(pa.array(of[hit])), pa.array(flat[hit])], names=["cid", "n", "band"])
+
+    return classes.select("cid", "n", "bands").mapInArrow(run, "cid long, n long, band long")
+
+
 def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     """(cid, n, s): the shingle sets of classes (cid, set_key, text_key), made again from the texts that may hold them."""
     sent, size = rows.sparkSession.sparkContext.broadcast(_bitmap(classes, "text_key", p.filter_bits)), p.filter_bits
@@ -315,7 +332,7 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
     total, kinds = classes.agg(F.sum("copies"), F.count(F.lit(1))).first()
 
     # buckets of classes with an equal band; the smallest class id of a bucket is its hub
-    member = classes.select("cid", "n", F.explode("bands").alias("band"))
+    member = materialize(_members(classes, p), "near-bands")
     buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.min("cid").alias("hub"), F.min_by("n", "cid").alias("hub_n")).where("k > 1")
     buckets = materialize(buckets.withColumn("weight", F.col("k")), "near-buckets")
     more = materialize(join_hot(member, buckets, "band", "weight", p.bands * (kinds or 0), "cid"), "near-members")
@@ -352,7 +369,7 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
     out = join_hot(full.select("uid", "doc_id", "n_shingles", "set_key"), found, "set_key", "copies", total or 0, "uid")
     out = out.select("uid", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.uid") == F.col("uid")).alias("stays"))
     alone = sketches.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
-    release(classes, buckets, more, candidates, sets, left, m, rest)
+    release(classes, member, buckets, more, candidates, sets, left, m, rest)
     return out.unionByName(alone), base
 
 
