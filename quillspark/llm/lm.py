@@ -1,21 +1,26 @@
 """Operator 5: scoring by a Brown class-based bigram model.
 
-P(word | previous) = P(class | previous class) * P(word | class). The most frequent words are put into classes by
-exchange clustering on their bigram counts over all training documents; words of the next ranks join the class that
-explains their neighbours best (one exchange step against fixed classes, distributed); all further words and unseen
-ones go into classes by the ending of the word, which needs no table. Word counts, class transitions and class sizes
-are counted over all training documents. Only tables with a bound that is a parameter are gathered or broadcast:
-``head`` words with count and class, ``cluster``^2 bigrams, classes^2 transitions. Counts of all other words stay in a
-table and are joined to the tokens.
+P(word | previous) = P(class | previous class) * P(word | class). Exchange clustering assigns every training word to a
+class: a word goes where the likelihood of the class bigrams grows most. All words of at least a certain count take part
+in distributed sweeps: each sweep counts, over all training documents, the classes beside every word, and a word's
+counts meet in one task that decides on its class; half of the words move in a sweep, and the classes of the best
+likelihood stay. The count is 2, or the least one that at most ``head`` words reach; these words have a number, and a
+task holds their classes as one array. The ``seed`` most frequent ones start from an exchange word by word on their
+bigrams. The other training words get one exchange step against the final classes, as a table over all of them, joined
+to their places in the texts. A word never seen in training has the class that most words seen once with its ending have.
+
+Word counts, class transitions and class sizes are counted over all training documents. What is gathered or broadcast
+is bounded by parameters: ``head`` words with count and class, ``seed``^2 bigrams, classes^2 transitions, ``endings``.
+Texts are split twice, for the counts and for the numbers; everything else reads the numbers.
 
 Edge cases: null text counts as empty: its one token is the end; a null id counts as empty text in the fold rule; very
-long texts are scored whole; repeated rows are scored alike; without training documents all words are unknown; an empty
-table gives an empty result; extra columns are ignored.
+long texts are scored whole; ties between classes go to the lowest number; repeated rows are scored alike; without
+training documents all words are unknown; an empty table gives an empty result; extra columns, also with clashing names,
+are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,21 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, materialize, pick
+from .common import crc_bucket, materialize, pick, release, slices
 
 
 @dataclass(frozen=True)
 class BrownParams:
     folds: int = 7
     held_fold: int = 2
-    cluster: int = 1000  # words clustered by exchange
-    assign: int = 30_000  # words with a class by their neighbours
-    head: int = 100_000  # words whose counts are broadcast
-    classes: int = 64
-    endings: int = 32  # classes for all other words
-    sweeps: int = 8
-    alpha: float = 5.0
-    flush: int = 250_000
+    head: int = 1 << 18  # words with a number
+    seed: int = 1000  # words clustered one by one at the start
+    classes: int = 64  # at most 254
+    rounds: int = 8  # over the seed
+    sweeps: int = 2  # distributed, of half of the words each
+    buckets: int = 128  # groups of words that sweeps decide on
+    dense: int = 4096  # words whose counts a task holds as an array
+    endings: int = 1024
+    alpha: float = 500.0  # weight of the class frequencies in the transitions
+    flush: int = 500_000  # words that a task counts before it sends them on
+
+
+UNKNOWN = 255
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -46,14 +56,12 @@ def _tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def ending(word: bytes, first: int, n: int) -> int:
-    """Class of a word without a place in the head: by its last two bytes."""
-    return first + zlib.crc32(word[-2:]) % n
-
-
 def word_counts(train: DataFrame, flush: int) -> DataFrame:
     """(word, n) over all training texts; the empty word stands for the end of a document."""
 
+    def batch(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     def run(batches):
         counts: Counter = Counter()
         for b in batches:
@@ -61,9 +69,9 @@ def word_counts(train: DataFrame, flush: int) -> DataFrame:
                 counts.update(_tokens(t))
                 counts[b""] += 1
                 if len(counts) > flush:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                    yield batch(counts)
                     counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        yield batch(counts)
 
     return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -74,13 +82,23 @@ def _sparse(total: np.ndarray):
 
 
 def _gather(df: DataFrame, size: int) -> np.ndarray:
-    """Sums by key, of a table with at most size keys."""
+    """Sums by key, of a table (k, n) with at most size keys."""
     out = np.zeros(size, np.int64)
-    for b in df.groupBy("k").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    got = df.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of class bigram counts, up to a constant."""
+    m = m.astype(float)
+    return float(_f(m).sum() - _f(m.sum(axis=1)).sum() - _f(m.sum(axis=0)).sum())
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Class of each word; word 0 (the end) keeps class 0 alone. Maximises the class bigram likelihood."""
     k = len(bigrams)
@@ -91,8 +109,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     w = bigrams.astype(float)
     right, left = w @ one, w.T @ one  # counts of a word with each class after and before it
     m = one.T @ w @ one
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    n_out, n_in = w.sum(axis=1), w.sum(axis=0)
     for _ in range(sweeps):
         moved = 0
         for i in range(1, k):
@@ -103,12 +119,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             m[old, :] -= r
             m[:, old] -= le
             m[old, old] -= own
-            rows, cols = m.sum(axis=1), m.sum(axis=0)
-            gain = (f(m + r[None, :]) - f(m)).sum(axis=1) + (f(m + le[:, None]) - f(m)).sum(axis=0)
-            d = np.diag(m)
-            gain += f(d + r + le + own) - f(d + r) - f(d + le) + f(d)
-            gain -= f(rows + n_out[i]) - f(rows) + f(cols + n_in[i]) - f(cols)
-            gain[0] = -np.inf
+            gain = gains(r[None], le[None], np.array([own]), m)[0]
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
                 new = old
@@ -127,6 +138,46 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+def gains(r: np.ndarray, le: np.ndarray, own: np.ndarray, m: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
+    """words x classes: likelihood gained by adding a word to a class.
+
+    r, le: counts of each word beside the classes after and before it, without its pairs with itself (own). m: the class
+    bigrams, without the words or, with old, with each word in its class old, which it leaves first.
+    """
+    n, c = r.shape
+    m = m.astype(float)
+    rows, cols, d = m.sum(axis=1), m.sum(axis=0), np.diag(m)
+    out = np.zeros((n, c))
+    for x, table in ((r, m.T), (le, m)):  # table[j]: the cells that a count beside class j adds to, for each class
+        word, slot = np.nonzero(x)
+        for at in range(0, len(word), 50_000):
+            i, j = word[at : at + 50_000], slot[at : at + 50_000]
+            part = _f(table[j] + x[i, j][:, None]) - _f(table)[j]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            out[i[first]] += np.add.reduceat(part, first, axis=0)
+    both = d + r + le + own[:, None]
+    out += _f(both) - _f(d + r) - _f(d + le) + _f(d)[None]
+    n_out, n_in = (r.sum(axis=1) + own)[:, None], (le.sum(axis=1) + own)[:, None]
+    above, below = (rows + le, cols + r) if old is None else (rows, cols)  # what precedes or follows the word stays in its row or column
+    out -= _f(above + n_out) - _f(above) + _f(below + n_in) - _f(below)
+    if old is not None:
+        every = np.arange(n)
+        # beside the class that the word leaves
+        a, b, ro, lo = m.T[old], m[old], r[every, old][:, None], le[every, old][:, None]
+        out += _f(a - le + ro) - _f(a - le) - _f(a + ro) + _f(a)
+        out += _f(b - r + lo) - _f(b - r) - _f(b + lo) + _f(b)
+        # back to the class that it left
+        here = d[old]
+        stay = (_f(b) - _f(b - r)).sum(axis=1) + (_f(a) - _f(a - le)).sum(axis=1)
+        ro, lo = ro[:, 0], lo[:, 0]
+        stay -= _f(here) - _f(here - ro) + _f(here) - _f(here - lo)
+        stay += _f(here) - _f(here - ro - lo - own)
+        stay -= _f(rows[old]) - _f(rows[old] - n_out[:, 0]) + _f(cols[old]) - _f(cols[old] - n_in[:, 0])
+        out[every, old] = stay
+    out[:, 0] = -np.inf
+    return out
+
+
 class _Numbers(dict):
     """Number of a word; -1 for words outside the table."""
 
@@ -134,159 +185,343 @@ class _Numbers(dict):
         return -1
 
 
-def train(docs: DataFrame, p: BrownParams) -> dict:
-    """The model: head words, their counts and classes, transitions, class sizes, totals, and the table of all counts."""
-    spark = docs.sparkSession
-    text = docs.select(F.col("text").cast("binary").alias("text"))
-    vocab = materialize(word_counts(text, p.flush), "lm-words")
-    size, total = vocab.agg(F.count(F.lit(1)), F.sum("n")).first()
-    total = total or 0
-    top = vocab.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(p.head).collect()  # at most head rows
-    ends = vocab.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    words = [b"", *(bytes(r.word) for r in top)]
-    counts = np.array([ends, *(r.n for r in top)], np.int64)
-    c, k = p.classes, min(p.cluster, len(words))
-    all_classes = c + p.endings
-    sent = spark.sparkContext.broadcast(words[: p.assign + 1])
+IDS = "uid long, doc_id long, held boolean, ids binary, tail array<binary>"
 
-    def pairs(batches):
-        number, acc = _Numbers(zip(sent.value[:k], range(k))), np.zeros(k * k, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.array([0, *map(number.__getitem__, _tokens(t)), 0])
-                x, y = ids[:-1], ids[1:]
-                ok = (x >= 0) & (y >= 0)
-                np.add.at(acc, x[ok] * k + y[ok], 1)
-        yield _sparse(acc)
-
-    of = np.zeros(len(words), np.int64)
-    bigrams = _gather(text.mapInArrow(pairs, "k long, n long"), k * k).reshape(k, k)
-    of[:k] = exchange(bigrams, c, p.sweeps)
-    one = np.eye(c)[of[:k]]
-    near, reach = of[:k].copy(), min(p.assign + 1, len(words))
-
-    def neighbours(batches):
-        """For words k .. reach: counts with each class before and after them."""
-        number = _Numbers(zip(sent.value[:reach], range(reach)))
-        acc = np.zeros((reach - k) * 2 * c, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.array([0, *map(number.__getitem__, _tokens(t)), 0])
-                x, y = ids[:-1], ids[1:]
-                ok = (x >= k) & (y >= 0) & (y < k)
-                np.add.at(acc, (x[ok] - k) * 2 * c + near[y[ok]], 1)
-                ok = (y >= k) & (x >= 0) & (x < k)
-                np.add.at(acc, (y[ok] - k) * 2 * c + c + near[x[ok]], 1)
-        yield _sparse(acc)
-
-    def transitions(batches):
-        cls, acc = _classes(words_of.value, of_all.value, c, p.endings), np.zeros(all_classes**2, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.array([0, *map(cls.__getitem__, _tokens(t)), 0])
-                np.add.at(acc, ids[:-1] * all_classes + ids[1:], 1)
-        yield _sparse(acc)
-
-    for i in range(k, len(words)):
-        of[i] = ending(words[i], c, p.endings)
-    if reach > k:
-        grouped = text.mapInArrow(neighbours, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        # one exchange step: the class whose members have the most likely neighbours; a hundredth of the words a task
-        profile = spark.sparkContext.broadcast(_profiles(one.T @ bigrams @ one))
-
-        def choose(key, t):
-            keys, n = t.column("k").to_numpy(), t.column("n").to_numpy()
-            w, f = keys // (2 * c), keys % (2 * c)
-            ids, row = np.unique(w, return_inverse=True)
-            x = np.zeros((len(ids), 2 * c))
-            np.add.at(x, (row, f), n)
-            return pa.table({"w": ids, "c": (x @ profile.value).argmax(axis=1).astype(np.int64)})
-
-        chosen = grouped.withColumn("g", F.pmod(F.xxhash64(F.floor(F.col("k") / (2 * c))), F.lit(96))).groupBy("g").applyInArrow(choose, "w long, c long")
-        for r in chosen.toLocalIterator():  # at most assign rows
-            of[k + r.w] = r.c
-    words_of, of_all = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(of)
-    trans = _gather(text.mapInArrow(transitions, "k long, n long"), all_classes**2).reshape(all_classes, all_classes)
-
-    def sizes(batches):
-        cls, acc = _classes(words_of.value, of_all.value, c, p.endings), np.zeros(2 * all_classes, np.int64)
+
+def numbered(rows: DataFrame, words) -> DataFrame:
+    """rows (uid, doc_id, text as binary, held) -> IDS: the numbers of the words, -1 for those in tail, in order."""
+
+    def run(batches):
+        number = _Numbers(zip(words.value, range(len(words.value))))
         for b in batches:
-            ids = np.array([cls[w] for w in b.column(0).to_pylist()], np.int64)
-            np.add.at(acc, ids, b.column(1).to_numpy())
-            np.add.at(acc, ids + all_classes, 1)
-        yield _sparse(acc)
-
-    per = _gather(vocab.select("word", "n").mapInArrow(sizes, "k long, n long"), 2 * all_classes)
-    unseen = np.r_[np.zeros(c), np.ones(p.endings)]
-    marginal = (per[:all_classes] + 1) / (per[:all_classes].sum() + all_classes)
-    log_trans = np.log10((trans + p.alpha * marginal[None, :]) / (trans.sum(axis=1, keepdims=True) + p.alpha))
-    log_class = np.log10(np.maximum(per[:all_classes] + per[all_classes:] + unseen, 1))
-    return {"words": words_of, "of": of_all, "counts": counts, "log_trans": log_trans, "log_class": log_class, "vocab": vocab, "size": size, "total": total}
+            for part in slices(b, 2, 2000):
+                ids, tail = [], []
+                for t in part.column(2).to_pylist():
+                    ws = _tokens(t)
+                    k = np.fromiter(map(number.__getitem__, ws), "<i4", len(ws))
+                    ids.append(k.tobytes())
+                    tail.append([ws[i] for i in np.flatnonzero(k < 0).tolist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(ids, pa.binary()), pa.array(tail, pa.list_(pa.binary()))], names=["uid", "doc_id", "held", "ids", "tail"])
+
+    return rows.mapInArrow(run, IDS)
+
+
+def _flat(batches, column: int = 0):
+    """The numbers of many documents in a row, with the end (0) before, between and behind them."""
+    end = np.zeros(1, "<i4").tobytes()
+    for b in batches:
+        for part in slices(b, column, 1 << 20, 16 << 20):
+            yield np.frombuffer(end + end.join(part.column(column).to_pylist()) + end, "<i4")
+
 
+def _transitions(train: DataFrame, of: np.ndarray, c: int) -> np.ndarray:
+    """Class bigrams of neighbours that both have a class; of ends in -1 for words without a number."""
+    sent = train.sparkSession.sparkContext.broadcast(of)
 
-def _profiles(m: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the classes after and before each class, (2c) x c, from class bigrams."""
-    m = m + 0.5
-    out = np.concatenate([np.log(m / m.sum(axis=1, keepdims=True)).T, np.log(m / m.sum(axis=0, keepdims=True))])
-    out[:, 0] = -1e9  # the end is alone in its class
+    def run(batches):
+        total = np.zeros(c * c, np.int64)
+        for flat in _flat(batches):
+            k = sent.value[flat].astype(np.int64)
+            ok = (k[:-1] >= 0) & (k[1:] >= 0)
+            total += np.bincount((k[:-1] * c + k[1:])[ok], minlength=c * c)
+        yield _sparse(total)
+
+    return _gather(train.select("ids").mapInArrow(run, "k long, n long"), c * c).reshape(c, c)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """uint32 values, byte by byte place, compressed."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _sweep(train: DataFrame, of: np.ndarray, moving: np.ndarray, p: BrownParams) -> np.ndarray:
+    """of after every word in moving went to the class of the highest gain; words with class -1 get their first one."""
+    c, b, width = p.classes, p.buckets, 2 * p.classes + 1
+    m = _transitions(train, of, c)
+    size = len(of) - 1
+    dense = min(p.dense, size)
+    sent = train.sparkSession.sparkContext.broadcast((of, np.append(moving, False), m))
+
+    def count(batches):
+        """Counts of words beside classes as (bucket, entries, keys, n), keys as differences in order."""
+        of, moving, _ = sent.value
+        top, rest, held = np.zeros(dense * width, np.int64), [], 0
+
+        def flush():
+            keys = np.flatnonzero(top)
+            ns = top[keys]
+            if rest:
+                k, n = np.unique(np.concatenate(rest), return_counts=True)
+                keys, ns = np.append(keys, k), np.append(ns, n)
+            word, slot = keys // width, keys % width
+            bucket, key = word % b, word // b * width + slot
+            order = np.lexsort((key, bucket))
+            bucket, key, ns = bucket[order], key[order], ns[order]
+            cut = np.searchsorted(bucket, np.arange(b + 1))
+            rows = [(i, x, y) for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if x < y]
+            top[:] = 0
+            rest.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int32()), pa.array([y - x for _, x, y in rows], pa.int64()),
+                pa.array([_packed(np.diff(key[x:y], prepend=0)) for _, x, y in rows], pa.binary()), pa.array([_packed(ns[x:y]) for _, x, y in rows], pa.binary())], names=["bucket", "entries", "keys", "n"])
+
+        for flat in _flat(batches):
+            x, y = flat[:-1], flat[1:]
+            k = of[flat].astype(np.int64)
+            for word, slot, ok in ((x, k[1:], moving[x] & (k[1:] >= 0)), (y, c + k[:-1], moving[y] & (k[:-1] >= 0)), (x, np.full(len(x), 2 * c), moving[x] & (x == y))):
+                key = word[ok].astype(np.int64) * width + slot[ok]
+                low = key < dense * width
+                top += np.bincount(key[low], minlength=dense * width)
+                rest.append(key[~low])
+                held += len(rest[-1])
+            if held > 6_000_000:
+                yield flush()
+                held = 0
+        yield flush()
+
+    def decide(batches):
+        """(word, class) of the words whose counts changed it, from all counts of their buckets."""
+        of, _, m = sent.value
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, entries, keys, n in zip(*(col.to_pylist() for col in batch.columns)):
+                if bucket not in sums:
+                    sums[bucket] = np.zeros((size - bucket + b - 1) // b * width, np.int64)
+                sums[bucket][np.cumsum(_unpacked(keys, entries))] += _unpacked(n, entries)
+        for bucket, flat in sums.items():
+            x = flat.reshape(-1, width).astype(float)
+            here = np.flatnonzero(x.any(axis=1))
+            x, word = x[here], here * b + bucket
+            r, le, own, old = x[:, :c], x[:, c : 2 * c], x[:, 2 * c], of[word].astype(np.int64)
+            new = old.copy()
+            for some, at in ((old < 0, None), (old >= 0, old)):
+                i = np.flatnonzero(some)
+                if not len(i):
+                    continue
+                rr, ll, oo = r[i], le[i], own[i]
+                if at is not None:  # pairs with itself were counted beside its own class, too
+                    rr[np.arange(len(i)), old[i]] -= oo
+                    ll[np.arange(len(i)), old[i]] -= oo
+                g = gains(rr, ll, oo, m, None if at is None else old[i])
+                best = g.argmax(axis=1)
+                better = np.ones(len(i), bool) if at is None else g[np.arange(len(i)), best] > g[np.arange(len(i)), old[i]] + 1e-9
+                new[i[better]] = best[better]
+            changed = np.flatnonzero(new != old)
+            yield pa.RecordBatch.from_arrays([pa.array(word[changed], pa.int64()), pa.array(new[changed], pa.int64())], names=["word", "cls"])
+
+    counts = train.select("ids").mapInArrow(count, "bucket int, entries long, keys binary, n binary")
+    got = counts.repartition("bucket").mapInArrow(decide, "word long, cls long").toArrow()  # at most head rows
+    out = of.copy()
+    out[got.column("word").to_numpy()] = got.column("cls").to_numpy()
     return out
 
 
-def _classes(words, of, c, endings):
-    class Classes(dict):
-        def __missing__(self, word):
-            if len(self) > 600_000:
-                self.clear()
-                self.update(zip(words, of.tolist()))
-            v = self[word] = ending(word, c, endings)
-            return v
+def cluster(train: DataFrame, counts: np.ndarray, p: BrownParams) -> np.ndarray:
+    """Classes of the numbered words, and -1 at the end for all others."""
+    size, k = len(counts), min(p.seed, len(counts))
 
-    return Classes(zip(words, of.tolist()))
+    def pairs(batches):
+        total = np.zeros(k * k, np.int64)
+        for flat in _flat(batches):
+            x, y = flat[:-1].astype(np.int64), flat[1:].astype(np.int64)
+            ok = (x >= 0) & (x < k) & (y >= 0) & (y < k)
+            total += np.bincount(x[ok] * k + y[ok], minlength=k * k)
+        yield _sparse(total)
+
+    of = np.full(size + 1, -1, np.int16)
+    of[:k] = exchange(_gather(train.select("ids").mapInArrow(pairs, "k long, n long"), k * k).reshape(k, k), p.classes, p.rounds)
+    word = np.arange(size)
+    if size > k:
+        of = _sweep(train, of, word >= k, p)
+        rest = np.flatnonzero(of[:-1] < 0)  # no neighbour among the first words: the next sweep knows more
+        if len(rest):
+            of = _sweep(train, of, of[:-1] < 0, p)
+            of[:-1][of[:-1] < 0] = 1
+    best, top = of, likelihood(_transitions(train, of, p.classes)) if p.sweeps else 0.0
+    for s in range(p.sweeps):
+        of = _sweep(train, of, (word > 0) & (word % 2 == s % 2), p)
+        now = likelihood(_transitions(train, of, p.classes))
+        if now <= top:
+            of = best
+        best, top = of, max(now, top)
+    return best
+
+
+def tail_words(ids: DataFrame, of: np.ndarray, m: np.ndarray, p: BrownParams) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(places, words, endings). places: uid, k (the k-th such word of the text), word, e. words: word, n, cls of all
+    training words without a number. endings: class of unseen words for each slot e."""
+    c = p.classes
+    sent = ids.sparkSession.sparkContext.broadcast((of, m))
 
+    def run(batches):
+        of, _ = sent.value
+        for b in batches:
+            for part in slices(b, 2, 1 << 20, 16 << 20):
+                out: list[list] = [[] for _ in range(5)]
+                for uid, held, raw, tail in zip(*(col.to_pylist() for col in part.columns)):
+                    if not tail:
+                        continue
+                    k = np.append(np.frombuffer(raw, "<i4"), 0)
+                    at, cls = np.flatnonzero(k < 0), of[k].astype(np.int64)
+                    before = np.where(at > 0, cls[at - 1], 0)
+                    out[0] += [uid] * len(tail)
+                    out[1] += range(len(tail))
+                    out[2] += tail
+                    out[3] += ((before + 1) * (c + 1) + cls[at + 1] + 1).tolist()
+                    out[4] += [held] * len(tail)
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()))], names=["uid", "k", "word", "beside", "held"])
+
+    def choose(batches):
+        _, m = sent.value
+        for b in batches:
+            for part in (b.slice(at, 2000) for at in range(0, b.num_rows, 2000)):
+                sizes = np.diff(part.column(2).offsets.to_numpy())
+                got = part.column(2).flatten()
+                word = np.repeat(np.arange(part.num_rows), sizes)
+                beside, n = got.field("beside").to_numpy().astype(np.int64), got.field("n").to_numpy()
+                r, le = np.zeros((part.num_rows, c)), np.zeros((part.num_rows, c))
+                for x, k in ((r, beside % (c + 1) - 1), (le, beside // (c + 1) - 1)):
+                    np.add.at(x, (word[k >= 0], k[k >= 0]), n[k >= 0])
+                cls = gains(r, le, np.zeros(len(r)), m).argmax(axis=1)
+                known = r.any(axis=1) | le.any(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls.astype(np.int32), pa.int32(), mask=~known)], names=["word", "n", "cls"])
+
+    places = materialize(ids.select("uid", "held", "ids", "tail").mapInArrow(run, "uid long, k int, word binary, beside int, held boolean"), "lm-places")
+    beside = places.where("NOT held").groupBy("word", "beside").agg(F.count(F.lit(1)).alias("n"))
+    per = beside.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("beside", "n")).alias("c"))  # at most (classes + 1)^2 entries
+    e = F.crc32(F.substring(F.col("word").cast("string"), -2, 2).cast("binary")) % p.endings
+    words = materialize(per.mapInArrow(choose, "word binary, n long, cls int").withColumn("e", e.cast("int")), "lm-tail")
+    table = np.zeros((p.endings, c), np.int64)
+    for r in words.where("n = 1 AND cls IS NOT NULL").groupBy("e", "cls").count().toLocalIterator():  # at most endings x classes rows
+        table[r[0], r[1]] = r[2]
+    usual = int(table.sum(axis=0).argmax()) or min(1, c - 1)
+    endings = np.where(table.any(axis=1), table.argmax(axis=1), usual)
+    spark = ids.sparkSession
+    by_end = F.broadcast(spark.createDataFrame([(i, int(k)) for i, k in enumerate(endings)], "e int, end int"))
+    words = words.join(by_end, "e").select("word", "n", F.coalesce("cls", "end").alias("cls"))
+    places = places.withColumn("e", e.cast("int")).join(by_end, "e").select("uid", "k", "word", "end")
+    return places, words, endings
+
+
+FILLED = "uid long, doc_id long, held boolean, cls binary, n_known long, known double"
+
+
+def _filled(ids: DataFrame, places: DataFrame, words: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """FILLED: the class of each token as a byte, known tokens, and the sum of log10(count + 1)."""
+    sent = ids.sparkSession.sparkContext.broadcast((np.where(of < 0, UNKNOWN, of).astype(np.uint8), np.append(np.log10(counts + 1.0), 0.0)))
+    end = int(counts[0] > 0)
+
+    def head(batches):
+        cls, plus = sent.value
+        for b in batches:
+            for part in slices(b, 3, 1 << 20, 16 << 20):
+                ks = [np.frombuffer(x, "<i4") for x in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), part.column(2), pa.array([cls[k].tobytes() for k in ks], pa.binary()),
+                    pa.array([int((k >= 0).sum()) + end for k in ks], pa.int64()), pa.array([float(plus[k].sum() + plus[0]) for k in ks], pa.float64())], names=["uid", "doc_id", "held", "cls", "n_known", "known"])
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>"
+    def tail(batches):
+        for b in batches:
+            at, found = b.column(6).offsets.to_numpy(), b.column(6).flatten()
+            place, new = found.field("k").to_numpy(), found.field("cls").to_numpy().astype(np.uint8)
+            seen = found.field("n").fill_null(0).to_numpy()
+            plus, own = np.append(0.0, np.cumsum(np.log10(seen + 1.0))), np.append(0, np.cumsum(seen > 0))
+            at = at - at[0]
+            cls = []
+            for raw, i, j in zip(b.column(3).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                if i < j:
+                    k = np.frombuffer(raw, np.uint8).copy()
+                    k[np.flatnonzero(k == UNKNOWN)[place[i:j]]] = new[i:j]
+                    raw = k.tobytes()
+                cls.append(raw)
+            known = b.column(4).to_numpy() + own[at[1:]] - own[at[:-1]]
+            total = b.column(5).to_numpy() + plus[at[1:]] - plus[at[:-1]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cls, pa.binary()), pa.array(known, pa.int64()), pa.array(total, pa.float64())], names=["uid", "doc_id", "held", "cls", "n_known", "known"])
+
+    found = places.join(words, "word", "left").groupBy("uid").agg(F.collect_list(F.struct("k", F.coalesce("cls", "end").alias("cls"), "n")).alias("found"))
+    rows = ids.select("uid", "doc_id", "held", "ids").mapInArrow(head, FILLED)
+    return rows.join(found, "uid", "left").mapInArrow(tail, FILLED)
 
 
-def score(docs: DataFrame, model: dict, p: BrownParams) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text, held)."""
+def train(docs: DataFrame, p: BrownParams) -> dict:
+    """The model of the rows (uid, doc_id, text, held) that aren't held: filled (all rows), words with their counts and
+    classes, tail (the words without a number), endings, log_trans, log_class, size, total."""
     spark = docs.sparkSession
-    total, size, c = model["total"], model["size"], p.classes
-    wide = np.log10(total + size + 1)
-    words, of = model["words"], model["of"]
-    tables = spark.sparkContext.broadcast((model["counts"], model["log_trans"], model["log_class"]))
+    rows = docs.select("uid", "doc_id", F.col("text").cast("binary").alias("text"), "held")
+    vocab = materialize(word_counts(rows.where("NOT held").select("text"), p.flush), "lm-words")
+    size, total = vocab.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # the least count that at most head words reach, and 2 at least: words seen once tell what unseen ones are like
+    least, have = 2, 0
+    kinds = vocab.where("n > 1 AND length(word) > 0").groupBy("n").count().collect()  # k different counts need k^2 / 2 tokens
+    for n, words in sorted(map(tuple, kinds), reverse=True):
+        have += words
+        if have > p.head:
+            least = n + 1
+            break
+    top = vocab.where(F.col("n") >= least).where("length(word) > 0").toArrow().to_pylist()  # at most head rows
+    top.sort(key=lambda r: (-r["n"], r["word"]))
+    ends = vocab.where("length(word) = 0").agg(F.sum("n")).first()[0] or 0
+    words = spark.sparkContext.broadcast([b"", *(r["word"] for r in top)])
+    counts = np.array([ends, *(r["n"] for r in top)], np.int64)
+    del top
+    ids = materialize(numbered(rows, words), "lm-ids")
+    known = ids.where("NOT held")
+    of = cluster(known, counts, p)
+    c = p.classes
+    places, tail, endings = tail_words(ids, of, _transitions(known, of, c), p)
+    filled = materialize(_filled(ids, places, tail, of, counts), "lm-classes")
+
+    def pairs(batches):
+        out = np.zeros(c * c, np.int64)
+        for b in batches:
+            for part in slices(b, 0, 1 << 20, 16 << 20):
+                k = np.frombuffer(b"\0" + b"\0".join(part.column(0).to_pylist()) + b"\0", np.uint8).astype(np.int64)
+                out += np.bincount(k[:-1] * c + k[1:], minlength=c * c)
+        yield _sparse(out)
+
+    trans = _gather(filled.where("NOT held").select("cls").mapInArrow(pairs, "k long, n long"), c * c).reshape(c, c)
+    tokens, kinds = np.bincount(of[:-1], counts, c), np.bincount(of[:-1], minlength=c).astype(float)
+    for r in tail.groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).toLocalIterator():  # one row a class
+        tokens[r[0]] += r[1]
+        kinds[r[0]] += r[2]
+    marginal = (tokens + 1) / (tokens.sum() + c)
+    log_trans = np.log10((trans + p.alpha * marginal[None, :]) / (trans.sum(axis=1, keepdims=True) + p.alpha))
+    log_class = np.log10(tokens + kinds + 1)  # one place in each class is for unseen words
+    log_class[0] = 0.0
+    release(ids)
+    return {"filled": filled, "words": words, "of": of[:-1], "counts": counts, "tail": tail, "endings": endings, "trans": trans, "log_trans": log_trans, "log_class": log_class, "size": size, "total": total or 0, "end": float(np.log10(counts[0] + 1.0))}
+
+
+def score(model: dict) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row that the model was made with."""
+    filled = model["filled"]
+    wide, end = float(np.log10(model["total"] + model["size"] + 1)), model["end"]
+    sent = filled.sparkSession.sparkContext.broadcast((model["log_trans"], model["log_class"]))
 
     def run(batches):
-        counts, log_trans, log_class = tables.value
-        own, cls_of = words.value, of.value
-        number, cls = _Numbers(zip(own, range(len(own)))), _classes(own, cls_of, c, p.endings)
-        plus = np.append(np.log10(counts + 1.0), 0.0)  # the last entry is for words outside the head
-        end = int(counts[0] > 0)
+        trans, cls = sent.value
         for b in batches:
-            out = [[] for _ in range(5)]
-            for t in b.column(2).to_pylist():
-                ws = _tokens(t)
-                ids = np.array([*map(number.__getitem__, ws), 0])
-                k = np.array([0, *map(cls.__getitem__, ws), 0])
-                known = plus[ids].sum()
-                rare = np.flatnonzero(ids < 0)
-                vals = (len(ids), len(ids) - len(rare) - 1 + end, known - len(ids) * wide, known + log_trans[k[:-1], k[1:]].sum() - log_class[k[1:]].sum(), [ws[i] for i in rare])
-                for o, v in zip(out, vals):
-                    o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(o, k) for o, k in zip(out, kinds))], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("binary").alias("text"), F.col("held").alias("held_out"))
-    part = materialize(rows.mapInArrow(run, SCORED), "lm-scores")
-    # words outside the head: their counts come by a join; an unseen word adds log10(0 + 1) = 0
-    rare = part.select("uid", F.explode("tail").alias("word")).join(model["vocab"], "word")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("seen"))
-    got = part.drop("tail").join(rare, "uid", "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return got.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+            for part in slices(b, 2, 1 << 20, 16 << 20):
+                n, base, score = [], [], []
+                for raw, known in zip(part.column(2).to_pylist(), part.column(4).to_pylist()):
+                    k = np.frombuffer(b"\0" + raw + b"\0", np.uint8)
+                    n.append(len(raw) + 1)
+                    base.append(known - n[-1] * wide)
+                    # the end is alone in its class, so there the class says it all
+                    score.append(known - end + float(trans[k[:-1], k[1:]].sum() - cls[k[1:]].sum()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), part.column(3), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = filled.select("doc_id", "held", "cls", "n_known", "known").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["total"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def lm_scores(docs: DataFrame, p: BrownParams | None = None) -> DataFrame:
     """Train on the documents outside the held-out fold and score all."""
     p = p or BrownParams()
     rows = pick(docs, "doc_id", "text").withColumn("held", crc_bucket(F.col("doc_id"), p.folds) == p.held_fold)
-    return score(rows, train(rows.where(~F.col("held")), p), p)
+    return score(train(rows.withColumn("uid", F.monotonically_increasing_id()), p))
