@@ -1,14 +1,16 @@
 """Operator 8: byte-level BPE encoding and decoding with numpy matrices.
 
-A text is split by the pattern. Distinct matches that a worker doesn't remember are put into padded matrices by length;
-each round every row looks up the ranks of its adjacent pairs in a hash table, merges its leftmost pair of minimum rank
-and is compacted; rows without a pair leave. Matches longer than LONG bytes are merged by the same rule one by one with
-a heap, as a matrix row would take a round for each merge. The public
-pattern is matched by the standard library, with its classes written out as ranges, in texts without characters beyond
-the basic plane; others, and other patterns, take the regex library.
-
-Edge cases: null text counts as empty (no ids); any Unicode text is encoded, so decoding gives its bytes back; very long
-texts and matches are encoded whole; repeated rows are encoded alike; an empty table gives an empty result.
+A text is split by the pattern. Distinct matches that a worker doesn't remember are put into padded matrices by length,
+whatever their length; each round every row looks up the ranks of its adjacent pairs in a hash table, merges its leftmost
+pair of minimum rank and is compacted; rows without a pair leave. In the same round a row also merges the further places
+of that pair, from left to right: the next rounds would, as a pair with the new token ranks higher than the token. Where
+the ranks say otherwise for a token, only the leftmost place is merged. The public pattern is matched by the standard
+library, with its classes written out as ranges, in texts without characters beyond the basic plane; others, and other
+patterns, take the regex library.
+
+Edge cases: null text counts as empty (no ids); any Unicode text is encoded, so decoding gives its bytes back; ties
+between places of equal rank go to the left; very long texts and matches are encoded whole; repeated rows are encoded
+alike; an empty table gives an empty result; extra columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, slices
 
-LONG = 96
-BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, LONG)
-WIDTH = [BUCKETS[bisect_left(BUCKETS, n)] for n in range(LONG + 1)]
+#: Widths of the matrices in bytes; beyond them each is twice the one before.
+BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
+WIDTH = [BUCKETS[bisect_left(BUCKETS, n)] for n in range(BUCKETS[-1] + 1)]
+CELLS = 800_000  # of a matrix, unless one row has more
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,11 @@ class ByteBpe:
                     keys.append(a * top + b)
                     vals.append(r)
         self.top = top
+        # tokens in a pair that ranks before them
+        self.late = np.zeros(top + 1, bool)
+        for k, r in zip(keys, vals):
+            for part in divmod(k, top):
+                self.late[part] |= part > r
         size = 1 << (2 * len(keys)).bit_length()
         self.mask = size - 1
         self.keys, self.vals = np.full(size, -1, np.int64), np.full(size, top, np.int64)
@@ -94,7 +101,7 @@ class ByteBpe:
         return of.reshape(key.shape)
 
     def matrix(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces of at most LONG bytes and similar length."""
+        """Ids of pieces of similar length."""
         n, width = len(pieces), max(map(len, pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(n, width)
@@ -109,12 +116,16 @@ class ByteBpe:
             if not live.all():
                 for r, ids in zip(rows[~live].tolist(), m[~live].tolist()):
                     done[r] = [x for x in ids if x >= 0]
-                rows, m, best, low = rows[live], m[live], best[live], low[live]
+                rows, m, best, low, ranks = rows[live], m[live], best[live], low[live], ranks[live]
                 if not len(rows):
                     break
+            if m.shape[1] > BUCKETS[0]:
+                hit = (ranks == low[:, None]) & ~self.late[low][:, None]
+                if (hit.sum(axis=1) > 1).any():
+                    m, ranks = self._merge_all(m, ranks, hit, best, low)
+                    continue
             # the merged token takes the place of the first of its pair; what follows moves up by one
             every, after = np.arange(len(rows)), np.arange(m.shape[1] - 1) > best[:, None]
-            ranks = ranks[live] if len(ranks) > len(rows) else ranks
             m = np.where(after, m[:, 1:], m[:, :-1])
             m[every, best] = low
             ranks = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
@@ -127,34 +138,31 @@ class ByteBpe:
                 m, ranks = m[:, :-1], ranks[:, :-1]
         return done
 
-    def heap(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        ids = [int(self.byte[b]) for b in piece]
-        n = len(ids)
-        text = [piece[i : i + 1] for i in range(n)]
-        nxt, prv, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        queue = []
-
-        def push(i):
-            j = nxt[i]
-            if j < n and (r := self.rank.get(text[i] + text[j])) is not None:
-                heapq.heappush(queue, (r, i, text[i], text[j]))
-
-        for i in range(n):
-            push(i)
-        while queue:
-            r, i, a, b = heapq.heappop(queue)
-            j = nxt[i] if live[i] else n
-            if not live[i] or j >= n or text[i] != a or text[j] != b:
-                continue
-            ids[i], text[i], live[j] = r, a + b, False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            push(i)
-            if prv[i] >= 0:
-                push(prv[i])
-        return [x for x, ok in zip(ids, live) if ok]
+    def _merge_all(self, m, ranks, hit, best, low):
+        """One round in which each row merges every place in hit that overlaps no merged one to its left."""
+        every, at = np.arange(len(m)), np.arange(ranks.shape[1])
+        hit[every, best] = True  # the leftmost place always
+        begins = hit.copy()
+        begins[:, 1:] &= ~hit[:, :-1]
+        hit &= (at - np.maximum.accumulate(np.where(begins, at, 0), axis=1)) % 2 == 0  # every other one of a run
+        merged = np.zeros(m.shape, bool)
+        merged[:, :-1] = hit
+        stays = m >= 0
+        stays[:, 1:] &= ~hit
+        size = stays.sum(axis=1)
+        place = np.arange(size.max()) < size[:, None]
+
+        def compact(x, fill):
+            out = np.full(place.shape, fill, x.dtype)
+            out[place] = x[stays]
+            return out
+
+        m = compact(np.where(merged, low[:, None], m), -1)
+        ranks = compact(np.append(ranks, np.full((len(ranks), 1), self.none), axis=1), self.none)[:, :-1]
+        new = compact(merged, False)
+        row, col = np.nonzero(new[:, :-1] | new[:, 1:])
+        ranks[row, col] = self.pairs(m[row, col], m[row, col + 1])
+        return m, ranks
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(pieces)
@@ -163,14 +171,11 @@ class ByteBpe:
             if x in self.rank:
                 out[i] = [self.rank[x]]
             else:
-                groups.setdefault(WIDTH[len(x)] if len(x) <= LONG else 0, []).append(i)
+                groups.setdefault(WIDTH[len(x)] if len(x) < len(WIDTH) else 1 << len(x).bit_length(), []).append(i)
         for w, idx in groups.items():
-            if not w:
-                for i in idx:
-                    out[i] = self.heap(pieces[i])
-                continue
-            for at in range(0, len(idx), 8192):
-                part = idx[at : at + 8192]
+            step = min(8192, max(1, CELLS // w))
+            for at in range(0, len(idx), step):
+                part = idx[at : at + step]
                 for i, ids in zip(part, self.matrix([pieces[i] for i in part])):
                     out[i] = ids
         return out
@@ -219,13 +224,23 @@ class TextEncoder:
         for x, got in zip(new, self.bpe.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new])):
             self.ids[x], self.back[x] = b" ".join(map(word, got)), b"".join(map(token, got))
 
-    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
-        """For each text: number of ids, sha256 of the ids as text, sha256 of the decoded bytes."""
+    def _split(self, texts: list[str | None]) -> list[list[str]]:
+        """The matches of each text; afterwards the ids of all are known."""
         parts = [self.split(t) if t else [] for t in texts]
         if len(self.ids) > self.most:
             self.ids.clear()
             self.back.clear()
         self.learn(list(set().union(*parts).difference(self.ids)))
+        return parts
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, joined by spaces."""
+        ids = self.ids.__getitem__
+        return [b" ".join(map(ids, xs)) for xs in self._split(texts)]
+
+    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+        """For each text: number of ids, sha256 of the ids as text, sha256 of the decoded bytes."""
+        parts = self._split(texts)
         ids, back = self.ids.__getitem__, self.back.__getitem__
         out: tuple[list, list, list] = ([], [], [])
         for xs in parts:
@@ -252,8 +267,7 @@ def encode(docs: DataFrame, p: BpeParams | None = None) -> DataFrame:
     def run(batches):
         enc = encoder(path, pattern, most)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 1, 500):
                 n, ids, decoded = enc.digests(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -263,17 +277,26 @@ def encode(docs: DataFrame, p: BpeParams | None = None) -> DataFrame:
 def ids(docs: DataFrame, p: BpeParams | None = None) -> DataFrame:
     """doc_id and the ids themselves, for training."""
     p = p or BpeParams()
-    path, pattern = _bpe(p)
+    path, pattern, most = *_bpe(p), p.cache
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
+        enc = encoder(path, pattern, most)
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                found = bpe.find(t) if t else []
-                new = list(set(found))
-                got = dict(zip(new, bpe.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new])))
-                rows.append([i for x in found for i in got[x]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+            for part in slices(b, 1, 500):
+                rows = [np.array(x.split(), np.int64) for x in enc.texts(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>")
+
+
+def decode(encoded: DataFrame, p: BpeParams | None = None) -> DataFrame:
+    """(doc_id, ids) -> doc_id, content: the bytes; null ids count as none."""
+    p = p or BpeParams()
+    path, pattern, most = *_bpe(p), p.cache
+
+    def run(batches):
+        token = encoder(path, pattern, most).bpe.token.__getitem__
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(token, x or ())) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
