@@ -1,13 +1,15 @@
 """Operator 10: license scans by ordered signature rules (native: DataFrame functions only).
 
-A rule is (name, label, priority, confidence, keywords joined by |, regular expression). Rules are written by hand for each license
-family: its name in running text, its SPDX identifier, its address and a grant sentence; further rules cover the
-sentences of license texts. A document is looked at only if it holds a gate word; a rule runs only if the document
-holds one of its keywords; both are looked for with white space squeezed, as wrapped texts break phrases. Detections are intervals; one that lies within another of the same or a stronger priority is
-suppressed, and the labels of the rest are reported. Beside them stand the base phrases, which always count.
-
-Edge cases: null text counts as empty (no words, no labels, score 0); very long texts are scanned whole; repeated rows
-are scanned alike; extra columns are ignored; an empty table gives an empty result.
+A rule is (name, label, priority, confidence, keywords joined by |, regular expression). Rules are written by hand: the
+sentences of license texts and notices, and for each license family its name in running text, its SPDX identifier, its
+address and a grant sentence. A document is looked at only if it holds a gate word; a rule runs only if the document
+holds one of its keywords; both are looked for with white space squeezed, as wrapped texts break phrases. Detections are
+intervals; one that lies within a kept one of the same or a stronger priority is suppressed, and the labels of the rest
+are reported. Beside them stand the base phrases, which always count.
+
+Edge cases: null text counts as empty (no words, no labels, score 0); very long texts are scanned whole; of equal
+intervals (ties) the stronger rule, then the more certain one stands; repeated rows are scanned alike; extra columns,
+also with clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, pick
 
-#: What a rule finds holds one of these or of EXTRA_GATES; a document without any of them is not looked at.
+#: What a rule finds holds one of these or else its own keyword (see gates).
 GATES = ("licen", "spdx", "copyright", "public domain", "permission", "warrant", "copyleft", "redistribut", "creativecommons", "all rights reserved")
-#: Beginnings of addresses and sentences without a word of GATES.
-EXTRA_GATES = ("cecill.info", "change all versions", "eclipse.org", "joinup.ec.europa.eu", "latex-project.org", "mariadb.com", "mozilla.org", "scripts.sil.org", "source code form", "w3.org", "wtfpl", "zope.org")
-
 #: label, pattern of the name, SPDX identifiers, address, literals of which the name holds one.
 FAMILIES = (
     ("mit", r"(?:mit|expat|x11)", r"mit(?:-0)?", r"opensource\.org/licenses/mit", "mit|expat|x11"),
@@ -86,6 +85,9 @@ FAMILIES = (
     ("json", r"json", r"json", r"json\.org/license", "json"),
 )
 
+#: Priorities are 0 (strongest) to PRIORITIES - 1.
+PRIORITIES = 5
+
 #: name, label, priority, confidence, keyword, expression: sentences of license texts.
 SENTENCES = (
     ("mit-grant", "mit", 1, 0.95, "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining"),
@@ -107,6 +109,65 @@ SENTENCES = (
     ("all-rights", "proprietary", 3, 0.6, "all rights reserved", r"all\s+rights\s+reserved"),
     ("copyright-notice", "copyright", 4, 0.5, "copyright", r"copyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d"),
     ("copyleft", "copyleft", 4, 0.5, "copyleft", r"copyleft"),
+    ("mit-rights", "mit", 2, 0.8, "without restriction", r"deal\s+in\s+the\s+software\s+without\s+restriction,?\s+including\s+without\s+limitation"),
+    ("mit-as-is", "mit", 3, 0.6, "noninfringement", r"merchantability,?\s+fitness\s+for\s+a\s+particular\s+purpose\s+and\s+noninfringement"),
+    ("mit-zero", "mit", 2, 0.8, "to deal in the software without restriction", r"to\s+deal\s+in\s+the\s+software\s+without\s+restriction"),
+    ("isc-notice", "isc", 2, 0.8, "appear in all copies", r"provided\s+that\s+the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+appear\s+in\s+all\s+copies"),
+    ("isc-disclaims", "isc", 2, 0.75, "disclaims all warranties", r"the\s+author\s+disclaims\s+all\s+warranties\s+with\s+regard\s+to\s+this\s+software"),
+    ("apache-copy", "apache", 2, 0.8, "obtain a copy of the license", r"you\s+may\s+obtain\s+a\s+copy\s+of\s+the\s+license\s+at\s+https?://www\.apache\.org"),
+    ("apache-conditions", "apache", 3, 0.6, "without warranties or conditions", r"without\s+warranties\s+or\s+conditions\s+of\s+any\s+kind,?\s+either\s+express\s+or\s+implied"),
+    ("apache-patent", "apache", 2, 0.8, "patent license", r"grant\s+of\s+patent\s+license\.\s+subject\s+to\s+the\s+terms\s+and\s+conditions"),
+    ("bsd-source", "bsd", 2, 0.8, "redistributions of source code", r"redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright\s+notice"),
+    ("bsd-binary", "bsd", 2, 0.8, "redistributions in binary form", r"redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright\s+notice"),
+    ("bsd-advertising", "bsd", 2, 0.85, "advertising materials", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software"),
+    ("bsd-disclaimer", "bsd", 3, 0.6, "provided by the copyright holders", r"this\s+software\s+is\s+provided\s+by\s+the\s+copyright\s+holders\s+and\s+contributors"),
+    ("bsd-zero", "bsd", 2, 0.7, "with or without fee is hereby granted", r"for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted"),
+    ("gpl-later", "gpl", 1, 0.9, "any later version", r"gnu\s+general\s+public\s+license[^.]{0,80}either\s+version\s+[123](?:\.0)?[^.]{0,60}any\s+later\s+version"),
+    ("gpl-copy", "gpl", 2, 0.8, "copy of the gnu general public license", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+general\s+public\s+license"),
+    ("gpl-preamble", "gpl", 2, 0.8, "take away your freedom", r"licenses\s+for\s+most\s+software[^.]{0,80}designed\s+to\s+take\s+away\s+your\s+freedom"),
+    ("gpl-foundation", "gpl", 3, 0.6, "published by the free software foundation", r"as\s+published\s+by\s+the\s+free\s+software\s+foundation"),
+    ("gpl-classpath", "gpl", 2, 0.8, "classpath exception|linking this library", r"classpath\s+exception|linking\s+this\s+library\s+statically\s+or\s+dynamically"),
+    ("lgpl-redistribute", "lgpl", 1, 0.95, "lesser general public|library general public", r"redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+(?:lesser|library)\s+general\s+public\s+license"),
+    ("lgpl-combined", "lgpl", 2, 0.8, "combined work", r"convey\s+a\s+combined\s+work\s+under\s+terms\s+of\s+your\s+choice"),
+    ("agpl-redistribute", "agpl", 1, 0.95, "affero general public", r"redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+affero\s+general\s+public\s+license"),
+    ("agpl-network", "agpl", 2, 0.85, "remote network interaction|interacting with it remotely", r"remote\s+network\s+interaction|interacting\s+with\s+it\s+remotely\s+through\s+a\s+computer\s+network"),
+    ("gfdl-grant", "gfdl", 1, 0.95, "distribute and/or modify this document", r"copy,\s+distribute\s+and/or\s+modify\s+this\s+document\s+under\s+the\s+terms\s+of\s+the\s+gnu\s+free\s+documentation"),
+    ("gfdl-sections", "gfdl", 2, 0.75, "invariant sections", r"with\s+no\s+invariant\s+sections"),
+    ("mpl-copy", "mpl", 2, 0.85, "copy of the mpl", r"if\s+a\s+copy\s+of\s+the\s+mpl\s+was\s+not\s+distributed\s+with\s+this\s+file"),
+    ("mpl-incompatible", "mpl", 2, 0.8, "incompatible with secondary", r"incompatible\s+with\s+secondary\s+licenses"),
+    ("epl-accompanying", "epl", 1, 0.9, "eclipse public", r"this\s+program\s+and\s+the\s+accompanying\s+materials\s+are\s+made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public"),
+    ("epl-agreement", "epl", 2, 0.75, "recipient's acceptance", r"any\s+use,\s+reproduction\s+or\s+distribution\s+of\s+the\s+program\s+constitutes\s+recipient's\s+acceptance"),
+    ("cddl-contents", "cddl", 1, 0.9, "common development and distribution", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+terms\s+of\s+the\s+common\s+development\s+and\s+distribution"),
+    ("cddl-header", "cddl", 2, 0.75, "cddl header", r"cddl\s+header\s+(?:start|end)"),
+    ("artistic-terms", "artistic", 1, 0.9, "artistic", r"under\s+the\s+terms\s+of\s+(?:either[^.]{0,80})?the\s+artistic\s+license"),
+    ("artistic-package", "artistic", 2, 0.75, "standard version of", r"verbatim\s+copies\s+of\s+the\s+standard\s+version\s+of\s+this\s+package"),
+    ("zlib-origin", "zlib", 2, 0.85, "must not be misrepresented", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented"),
+    ("zlib-altered", "zlib", 2, 0.8, "altered source versions", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such"),
+    ("boost-notices", "boost", 2, 0.8, "copyright notices in the software", r"the\s+copyright\s+notices\s+in\s+the\s+software\s+and\s+this\s+entire\s+statement"),
+    ("unlicense-anyone", "unlicense", 2, 0.8, "anyone is free to copy", r"anyone\s+is\s+free\s+to\s+copy,\s+modify,\s+publish,\s+use,\s+compile,\s+sell"),
+    ("wtfpl-terms", "wtfpl", 1, 0.9, "you just do", r"you\s+just\s+do\s+what\s+the\s+fuck\s+you\s+want\s+to"),
+    ("cc0-waive", "cc0", 1, 0.9, "waived all copyright|waives all copyright", r"waive[sd]\s+all\s+copyright\s+and\s+related\s+or\s+neighboring\s+rights"),
+    ("cc-licensed", "cc-by", 2, 0.7, "creative commons", r"this\s+work\s+is\s+licensed\s+under\s+a\s+creative\s+commons"),
+    ("ofl-names", "ofl", 2, 0.8, "reserved font name", r"with\s+reserved\s+font\s+names?"),
+    ("ofl-licensed", "ofl", 1, 0.95, "sil open font", r"this\s+font\s+software\s+is\s+licensed\s+under\s+the\s+sil\s+open\s+font\s+license"),
+    ("psf-agreement", "psf", 1, 0.9, "python software foundation", r"this\s+license\s+agreement\s+is\s+between\s+the\s+python\s+software\s+foundation"),
+    ("php-redistribution", "php", 1, 0.85, "php license", r"subject\s+to\s+version\s+[0-9.]+\s+of\s+the\s+php\s+license"),
+    ("perl-same", "perl", 1, 0.9, "same terms as perl", r"redistribute\s+it\s+and/or\s+modify\s+it\s+under\s+the\s+same\s+terms\s+as\s+perl"),
+    ("openssl-toolkit", "openssl", 2, 0.85, "openssl toolkit", r"software\s+developed\s+by\s+the\s+openssl\s+project\s+for\s+use\s+in\s+the\s+openssl\s+toolkit"),
+    ("postgresql-regents", "postgresql", 2, 0.7, "university of california", r"in\s+no\s+event\s+shall\s+the\s+university\s+of\s+california\s+be\s+liable"),
+    ("upl-grant", "upl", 2, 0.8, "universal permissive", r"the\s+universal\s+permissive\s+license\s+\(upl\)"),
+    ("eupl-work", "eupl", 1, 0.9, "under the eupl", r"licensed\s+under\s+the\s+eupl"),
+    ("lppl-work", "lppl", 1, 0.9, "latex project public", r"this\s+work\s+may\s+be\s+distributed\s+and/or\s+modified\s+under\s+the\s+conditions\s+of\s+the\s+latex\s+project\s+public"),
+    ("sspl-service", "sspl", 2, 0.8, "service source code", r"make\s+the\s+service\s+source\s+code\s+available"),
+    ("busl-grant", "busl", 2, 0.8, "additional use grant", r"additional\s+use\s+grant\s*:"),
+    ("busl-change", "busl", 2, 0.8, "change license", r"change\s+license\s*:"),
+    ("elastic-service", "elastic", 2, 0.8, "hosted or managed service", r"may\s+not\s+provide\s+the\s+software\s+to\s+third\s+parties\s+as\s+a\s+hosted\s+or\s+managed\s+service"),
+    ("proprietary-confidential", "proprietary", 2, 0.75, "confidential", r"proprietary\s+and\s+confidential"),
+    ("proprietary-copying", "proprietary", 2, 0.75, "unauthorized copying", r"unauthorized\s+copying\s+of\s+this\s+file,?\s+via\s+any\s+medium"),
+    ("proprietary-eula", "proprietary", 3, 0.65, "end user|end-user", r"end[\s-]user\s+licen[cs]e\s+agreement"),
+    ("commercial-only", "non-commercial", 3, 0.6, "commercial", r"(?:for\s+)?non-?commercial\s+(?:use|purposes)\s+only"),
+    ("json-evil", "json", 1, 0.9, "for good, not evil", r"the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil"),
+    ("beerware", "beerware", 2, 0.8, "beer", r"buy\s+me\s+a\s+beer"),
 )
 
 
@@ -120,12 +181,21 @@ def rules() -> list[tuple[str, str, int, float, str, str]]:
     out = list(SENTENCES)
     for label, name, spdx, url, literals in FAMILIES:
         out.append((f"{label}-spdx", label, 0, 1.0, "spdx-license-identifier", rf"spdx-license-identifier:\s*{spdx}(?![\w.+-])"))
-        out.append((f"{label}-grant", label, 1, 0.9, literals, rf"(?:licen[cs]ed|released|distributed|available|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+|an?\s+)?{name}(?:\s+(?:public\s+)?licen[cs]e)(?![\w])"))
+        out.append((f"{label}-under", label, 1, 0.9, literals, rf"(?:licen[cs]ed|released|distributed|available|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+|an?\s+)?{name}(?:\s+(?:public\s+)?licen[cs]e)(?![\w])"))
         out.append((f"{label}-url", label, 2, 0.85, _keyword(url), url))
         out.append((f"{label}-name", label, 3, 0.7, literals, rf"(?<![\w-]){name}\s+licen[cs]es?(?![\w])"))
     return out
 
 
+def gates() -> list[str]:
+    """Words of which a document must hold one to be looked at: each match of a rule holds one of them."""
+    out = set(GATES)
+    for *_, keywords, pattern in rules():
+        if "licen" not in pattern:
+            out |= {k for k in keywords.split("|") if not any(g in k for g in GATES)}
+    return sorted(out)
+
+
 #: Base phrases: words and label.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
@@ -133,12 +203,11 @@ PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("ge
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row. No shuffle."""
     table = rules()
-    gates = sorted({*GATES, *EXTRA_GATES})
     lit = F.array(*[F.struct(F.lit(r[1]).alias("label"), F.lit(r[2]).alias("prio"), F.lit(r[3]).alias("conf"), F.array(*[F.lit(k) for k in r[4].split("|")]).alias("kw"), F.lit(r[5]).alias("re")) for r in table])
     step = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     step = step.withColumn("__near", F.regexp_replace(F.lower("text"), r"\s+", " "))  # its own column: made once for all gates
     gated = F.lit(False)
-    for g in gates:
+    for g in gates():
         gated = gated | F.contains("__near", F.lit(g))
     step = step.withColumn("__gated", gated).drop("__near")
     step = step.withColumn("__t", F.when(F.col("__gated"), F.translate("text", UPPER, LOWER)))
@@ -156,9 +225,10 @@ def scan(docs: DataFrame) -> DataFrame:
         " named_struct('at', 0, 'hits', cast(array() AS array<struct<s: int, e: int, p: int, c: double, l: string>>)),"
         " (a, y) -> named_struct('at', a.at + y.g + y.m, 'hits', concat(a.hits, array(named_struct('s', a.at + y.g, 'e', -(a.at + y.g + y.m), 'p', x.r.prio, 'c', cast(x.r.conf AS double), 'l', x.r.label))))).hits))"))
     step = step.withColumn("__h", F.expr("sort_array(__h)"))  # by start, longest first, strongest first
+    # kept intervals begin no later than the next, so one contains it if it ends no earlier: the last end of each priority says it
     step = step.withColumn("__k", F.expr(
-        "aggregate(__h, named_struct('end', -1, 'prio', 99, 'labels', cast(array() AS array<string>), 'score', 0.0D),"
-        " (a, h) -> IF(a.end >= -h.e AND a.prio <= h.p, a, named_struct('end', greatest(a.end, -h.e), 'prio', IF(-h.e >= a.end, h.p, a.prio),"
+        f"aggregate(__h, named_struct('ends', array_repeat(-1, {PRIORITIES}), 'labels', cast(array() AS array<string>), 'score', 0.0D),"
+        " (a, h) -> IF(array_max(slice(a.ends, 1, h.p + 1)) >= -h.e, a, named_struct('ends', transform(a.ends, (x, i) -> IF(i = h.p, greatest(x, -h.e), x)),"
         " 'labels', array_union(a.labels, array(h.l)), 'score', greatest(a.score, h.c))))"))
     base = F.expr("array_sort(array_distinct(transform(__b, x -> x.l)))")
     base = F.coalesce(base, F.expr("cast(array() AS array<string>)"))
