@@ -6,9 +6,12 @@ proportions of languages that explain its words; languages enter the set one by
 the penalised likelihood (BIC) grows. The prediction is the language with the largest proportion in the chosen set, and
 the score is its proportion.
 
+A word is a run of letters (Unicode category L). The model is gathered and broadcast: ``buckets`` numbers for each of at
+most ``max_langs`` languages; more languages than that are an error.
+
 Edge cases: null text and text without a letter are ``und`` with score 0; null labels don't train; without any training
 row everything is ``und``; very long texts are used whole; ties go to the alphabetically first language; repeated rows
-are predicted alike; an empty table gives an empty result; extra columns are ignored.
+are predicted alike; an empty table gives an empty result; extra columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, pick
+from .common import crc_bucket, pick, slices
+
+
+def _splitter():
+    """Splits at all that is no letter: what the library counts as a word character but not as a letter is numbers."""
+    import re
+    import sys
 
-SPLIT = r"[\W\d_]+"
+    code = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()])
+    cut = np.flatnonzero(np.diff(code) > 1)
+    numbers = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(code[np.append(0, cut + 1)], code[np.append(cut, len(code) - 1)]))
+    return re.compile(rf"[\W_{numbers}]+").split
 
 
 @dataclass(frozen=True)
@@ -36,6 +48,7 @@ class LangParams:
     smooth: float = 0.5
     cache: int = 300_000
     reject_below: float = 0.5
+    max_langs: int = 512
 
 
 def _grams(words: list[str], orders, mask) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,12 +71,10 @@ def _grams(words: list[str], orders, mask) -> list[tuple[np.ndarray, np.ndarray,
 
 def train(docs: DataFrame, p: LangParams) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of buckets) from all rows with text and lang. Size: languages x buckets."""
-    import re
-
     mask, orders, buckets = p.buckets - 1, p.orders, p.buckets
 
     def run(batches):
-        split, counts = re.compile(SPLIT).split, {}
+        split, counts = _splitter(), {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = [w for w in split(text.lower()) if w]
@@ -91,6 +102,8 @@ def train(docs: DataFrame, p: LangParams) -> tuple[list[str], np.ndarray]:
     table: dict[str, np.ndarray] = {}
     for r in got.toLocalIterator():  # at most buckets rows for each language
         table.setdefault(r[0], np.zeros(buckets))[r[1]] = r[2]
+        if len(table) > p.max_langs:
+            raise ValueError(f"more than {p.max_langs} languages; max_langs bounds the model")
     langs = sorted(table)
     logp = np.array([np.log((table[x] + p.smooth) / (table[x].sum() + p.smooth * buckets)) for x in langs]).reshape(len(langs), buckets)
     return langs, logp
@@ -147,14 +160,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], p: LangParams,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema) + ", lang_pred string, score double, n_langs int"
 
     def run(batches):
-        import re
-
-        split, table, memo = re.compile(SPLIT).split, sent.value, {}
+        split, table, memo = _splitter(), sent.value, {}
         vectors = np.zeros((most + 200_000, len(langs)), np.float32)
         for b in batches:
             preds, scores, sizes = [], [], []
-            for at in range(0, b.num_rows, 500):
-                texts = b.column(at_text).slice(at, 500).to_pylist()
+            for part in slices(b, at_text, 500, 1 << 20):
+                texts = part.column(at_text).to_pylist()
                 found = [[w for w in split(t.lower()) if w] if t and langs else [] for t in texts]
                 pred, score, size = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
                 here = [i for i, f in enumerate(found) if f]
