@@ -7,8 +7,9 @@ where none fits. The plan is a list of runs (length, first rank, count, first se
 find their place by the rank of a piece among the pieces of its length.
 
 Edge cases: null text counts as empty: one piece holding the end id alone; texts over a sequence's tokens are cut into
-full pieces and a rest; equal rows are packed one by one; an empty table gives an empty result; extra columns are
-ignored.
+full pieces and a rest; equal rows are packed one by one; ties between places go to the tightest sequence opened last,
+between pieces of one length to the order of reading; an empty table gives an empty result; extra columns, also with
+clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, slices
 
 
 @dataclass(frozen=True)
@@ -157,8 +158,7 @@ def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     def run(batches):
         enc = word_encoder(path, cache)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 2, 1000):
                 uid, doc, text = (part.column(i).to_pylist() for i in range(3))
                 out = [[] for _ in range(6)]
                 for u, d, ids in zip(uid, doc, enc.encode([x or b"" for x in text])):
