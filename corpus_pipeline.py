@@ -2,6 +2,11 @@
 
 Near duplicates are judged on shingles of five words at a similarity of 0.8; of exact copies the largest doc_id stays,
 of near copies the smallest.
+
+Edge cases: rows with null or empty text fail the quality rules; a null lang or source is a group of its own there, and
+without a training label no document has a language; rows that repeat with the same id and text are copies, of which one
+stays; ties are those of the operators; very long texts are judged, compared and packed whole; columns beside those of
+documents, also with clashing names, are dropped; empty tables go through to an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import exact, langid, minhash, packing, quality
-from quillspark.llm.common import DOC_COLUMNS, materialize
+from quillspark.llm.common import DOC_COLUMNS, materialize, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +45,18 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Quantile sketches, mixture inference, sketching and packing have no SQL form; tests hold the stages against brute force.
+#: Quantile sketches, mixture inference, sketching and packing have no SQL form; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each stage's rows are written to the shared folder before the next one reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"pipeline-{name}")
+            if table is not None:
+                release(table)
+            table = docs
     return docs
