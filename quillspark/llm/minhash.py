@@ -165,8 +165,11 @@ def _bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
 
 
 def _members(classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """(cid, n, band) of the bands that may occur in two classes: those of a fixed-size filter of the repeated ones."""
-    twice = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    """(cid, n, band) of the bands that may occur in two classes: those of a fixed-size filter of the repeated ones.
+
+    Bands are counted by their lower half: two that share it count as repeated, which only keeps more of them."""
+    low = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    twice = classes.select(F.explode(low).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     sent, size = classes.sparkSession.sparkContext.broadcast(_bitmap(twice, "band", p.band_bits)), p.band_bits
 
     def run(batches):
@@ -181,7 +184,7 @@ def _members(classes: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """(cid, n, s): the shingle sets of classes (cid, set_key, text_key), made again from the texts that may hold them."""
+    """The shingle sets s of classes (set_key, text_key and other columns), made again from the texts that may hold them."""
     sent, size = rows.sparkSession.sparkContext.broadcast(_bitmap(classes, "text_key", p.filter_bits)), p.filter_bits
 
     def run(batches):
@@ -210,17 +213,22 @@ def _full_sets(rows: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFra
                     pa.array([s.view(np.int64) for s in out], pa.list_(pa.int64()))], names=["set_key", "s"])
 
     found = rows.mapInArrow(run, "set_key binary, s array<long>").groupBy("set_key").agg(F.first("s").alias("s"))
-    return classes.select("cid", "set_key").join(found, "set_key").select("cid", F.size("s").alias("n"), "s")
+    return classes.join(found, "set_key").drop("set_key", "text_key")
+
+
+def _similar(left: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Of left (cid, n, s, hub, hub_n) the (cid, hub) whose sets reach the similarity. hubs: hub, its set t, and pairs, the
+    number of rows of left that name it, which may be many."""
+    total = hubs.agg(F.sum("pairs")).first()[0] or 0
+    both = join_hot(left, hubs, "hub", "pairs", total, "cid").withColumn("c", F.size(F.array_intersect("s", "t")))
+    return both.where(100 * F.col("c") >= percent * (F.col("n") + F.col("hub_n") - F.col("c"))).select("cid", "hub")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (cid, n, hub, hub_n) whose sets reach the similarity, as (cid, hub). A hub may have many pairs."""
+    """The pairs (cid, n, hub, hub_n) whose sets reach the similarity, as (cid, hub)."""
     hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
     hubs = materialize(hubs.join(sets.select(F.col("cid").alias("hub"), F.col("s").alias("t")), "hub"), "near-hubs")
-    total = hubs.agg(F.sum("pairs")).first()[0] or 0
-    both = join_hot(pairs.join(sets.select("cid", "s"), "cid"), hubs, "hub", "pairs", total, "cid")
-    both = both.withColumn("c", F.size(F.array_intersect("s", "t")))
-    return both.where(100 * F.col("c") >= percent * (F.col("n") + F.col("hub_n") - F.col("c"))).select("cid", "hub")
+    return _similar(pairs.join(sets.select("cid", "s"), "cid"), hubs, percent)
 
 
 def _forest(near: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -270,8 +278,8 @@ def _block_links(cid: np.ndarray, label: np.ndarray, side: np.ndarray, sets: lis
 
 
 def _blocks(rest: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
-    """Links (cid, hub) in buckets (band, cid, label, k, shingles) with several components. Buckets are cut into blocks
-    of about p.block members and p.block_shingles shingles; a task holds two blocks at most."""
+    """Links (cid, hub) in buckets (band, cid, label, k, shingles) with several components. Buckets are cut
+    into blocks of about p.block members and p.block_shingles shingles; a task holds two blocks at most."""
     blocks = F.greatest(F.ceil(F.col("k") / p.block), F.ceil(F.col("shingles") / p.block_shingles), F.lit(1)).cast("long")
     m = rest.join(sets.select("cid", "s"), "cid").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -339,13 +347,17 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
     sizes = 100 * F.least("n", "hub_n") >= p.percent * F.greatest("n", "hub_n")
     candidates = more.where("cid <> hub").where(sizes).groupBy("cid", "n", "hub", "hub_n").agg(F.count(F.lit(1)).alias("shared"))
     candidates = materialize(candidates, "near-candidates")
-    involved = more.select("cid").distinct()
-    sets = materialize(_full_sets(rows, classes.join(involved, "cid").select("cid", "set_key", "text_key"), p), "near-sets")
-
-    # one hub for each class, then the other hubs where they lie in another component
-    best = candidates.groupBy("cid", "n").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"), "hub_n")).alias("best"))
-    links = materialize(verified(best.select("cid", "n", (-F.col("best.hub")).alias("hub"), "best.hub_n"), sets, p.percent), "near-links")
+    # one hub for each class; its number and what counts its members travel with the sets, which so are dealt out once
+    best = candidates.groupBy("cid").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"), "hub_n")).alias("best"))
+    best = materialize(best.select("cid", (-F.col("best.hub")).alias("hub"), "best.hub_n"), "near-best")
+    members = best.groupBy(F.col("hub").alias("cid")).agg(F.count(F.lit(1)).alias("pairs"))
+    involved = classes.select("cid", "n", "set_key", "text_key").join(more.select("cid").distinct(), "cid").join(best, "cid", "left").join(members, "cid", "left")
+    involved = materialize(involved, "near-involved")
+    sets = materialize(_full_sets(rows, involved, p), "near-sets")
+    hubs = sets.where("pairs IS NOT NULL").select(F.col("cid").alias("hub"), F.col("s").alias("t"), "pairs")
+    links = materialize(_similar(sets.where("hub IS NOT NULL").select("cid", "n", "s", "hub", "hub_n"), hubs, p.percent), "near-links")
     labels = materialize(components(links), "near-labels")
+    # the other hubs, where they lie in another component
     left = _labelled(_labelled(candidates, labels, "cid", "x"), labels, "hub", "y").where("x <> y").select("cid", "n", "hub", "hub_n")
     left = materialize(left, "near-second")
     if not left.isEmpty():
@@ -354,7 +366,10 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
 
     # buckets that still hold several components; of two members the hub was compared with the other
     m = materialize(_labelled(more.where("k > 2").select("band", "cid", "k", "shingles"), labels, "cid", "label"), "near-labelled")
-    torn = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", F.col("band").alias("torn"))
+    # of buckets with the same members one is enough
+    same = (F.count(F.lit(1)).alias("k"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.bit_xor(F.xxhash64("cid")).alias("sign"))
+    torn = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), *same).where("x <> y")
+    torn = torn.groupBy("k", "lo", "hi", "sign").agg(F.min("band").alias("band")).select("band")
     rest = materialize(m.join(torn, "band", "left_semi"), "near-torn")
     if not rest.isEmpty():
         links = links.unionByName(materialize(_blocks(rest, sets, p), "near-blocks"))
@@ -369,7 +384,7 @@ def group(docs: DataFrame, p: MinHashParams, columns: tuple[str, ...] = ()) -> t
     out = join_hot(full.select("uid", "doc_id", "n_shingles", "set_key"), found, "set_key", "copies", total or 0, "uid")
     out = out.select("uid", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.uid") == F.col("uid")).alias("stays"))
     alone = sketches.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
-    release(classes, member, buckets, more, candidates, sets, left, m, rest)
+    release(classes, member, buckets, more, candidates, best, involved, sets, left, m, rest)
     return out.unionByName(alone), base
 
 
