@@ -12,6 +12,8 @@ from .operators import evaluation, layout, ocr, render
 from .plans.convert import convert
 from .sources import pdf
 
+# Queries run over whole tables and whole texts; letters are put in alike on both sides, never rows left out.
+
 _Q: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -48,11 +50,6 @@ def convert_pdf(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@_query()
-def parse_spans(spark, sf_dir):
-    return pdf.read_spans(pdf.synthesize(_t(spark, sf_dir, "documents")))
-
-
 BROKEN = "translate(text, 'qzk', '�\x02')"
 QUALITY = f"""
 WITH d AS (SELECT doc_id, {BROKEN.replace(chr(2), "' || chr(2) || '")} AS t FROM documents),
@@ -65,6 +62,24 @@ SELECT doc_id, round(greatest(0.0, least(1.0, ratio - (bad * 0.05::DOUBLE + pua
 """
 
 
+class _Counted(dict):
+    """Columns q_* of _counted by the names of quality_counts; made when asked for, as columns need a session."""
+
+    def __missing__(self, k):
+        return F.col("q_" + k)
+
+    def __bool__(self):
+        return True
+
+
+_COUNTED = _Counted()
+
+
+def _counted(d):
+    """d with the counts of column t, each made once."""
+    return d.withColumns({"q_" + k: v for k, v in T.quality_counts(F.col("t")).items()})
+
+
 @_query(QUALITY)
 def text_quality(spark, sf_dir):
     d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\x02"))
@@ -84,20 +99,47 @@ def script_distribution(spark, sf_dir):
     return d.select("doc_id", *T.script_counts(F.col("t")))
 
 
-@_query()
+#: Texts of several scripts: by doc_id letters become Arabic, Cyrillic, Chinese, Devanagari, Hebrew, or stay.
+_SCRIPTED = (("", ""), ("abcdefghilmnoprstuvw", "ابتثجحخدذرزسشصضطظعغف"), ("abcdefghilmnoprstuvw", "абвгдежзиклмнопрстуі"), ("abcdefghilmnoprstuvw", "一二三四五六七八九十日月火水木金土山川か"),
+             ("abcdefghilmnoprstuvw", "अआइईउऊएऐओऔकखगघचछजझटठ"), ("abcdefghilmnoprstuvw", "אבגדהוזחטיכלמנסעפצקר"), ("aeiou", "ٹڈپچې"), ("et", "ğñ"))
+_SCRIPT_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN " + (f"translate(text, '{a}', '{b}')" if a else "text") for i, (a, b) in enumerate(_SCRIPTED)) + " END"
+
+
+def _scripted(spark, sf_dir):
+    return _docs(spark, sf_dir, F.expr("CASE pmod(doc_id, 8) " + " ".join(f"WHEN {i} THEN " + (f"translate(text, '{a}', '{b}')" if a else "text") for i, (a, b) in enumerate(_SCRIPTED)) + " END"))
+
+
+_NAMES = [s.lower() for s in T.SCRIPTS]
+_TOTAL = " + ".join(f"n_{s}" for s in _NAMES)
+_TOP = "greatest(" + ", ".join(f"n_{s}" for s in _NAMES) + ")"
+_MIXED = " + ".join(f"(n_{s} > 0.15::DOUBLE * ({_TOTAL}))::INT" for s in _NAMES)
+_DOMINANT = (f"CASE WHEN {_TOTAL} = 0 THEN 'Unknown' WHEN {_MIXED} > 1 AND {_TOP} < 0.70::DOUBLE * ({_TOTAL}) THEN 'Mixed' " + " ".join(f"WHEN n_{s.lower()} = {_TOP} THEN '{s}'" for s in T.SCRIPTS) + " END")
+_DOMINANT_SQL = f"WITH d AS (SELECT doc_id, {_SCRIPT_SQL} AS t FROM documents), c AS (SELECT doc_id, t, {_COUNTS} FROM d), s AS (SELECT *, {_DOMINANT} AS script FROM c)"
+
+
+def _with_scripts(d):
+    """d with a column for each script, so that each class is counted once, and the dominant script."""
+    d = d.select("doc_id", "t", *T.script_counts(F.col("t")))
+    return d.withColumn("script", T.dominant_script({s: F.col(f"n_{s.lower()}") for s in T.SCRIPTS}))
+
+
+@_query(f"{_DOMINANT_SQL} SELECT doc_id, script, " + ", ".join(f"round(n_{s} / greatest({_TOTAL}, 1)::DOUBLE, 6) AS ratio_{s}" for s in _NAMES) + " FROM s")
 def script_dominant(spark, sf_dir):
-    d = script_distribution(spark, sf_dir)
-    return d.select("doc_id", T.dominant_script({s: F.col(f"n_{s.lower()}") for s in T.SCRIPTS}).alias("script"))
+    d = _with_scripts(_scripted(spark, sf_dir))
+    total = F.greatest(sum((F.col(f"n_{s}") for s in _NAMES), F.lit(0)), F.lit(1))
+    return d.select("doc_id", "script", *[F.round(F.col(f"n_{s}") / total, 6).alias(f"ratio_{s}") for s in _NAMES])
+
+
+def _by_marks(value) -> str:
+    cases = [(f"script = '{s}'" + (f" AND regexp_matches(t, '{pattern}')" if pattern else ""), value(lang, conf)) for s, marks in T.LANGUAGE_MARKS.items() for pattern, lang, conf in marks]
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + " END"
 
 
-@_query("""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[A-Za-z\\x{00C0}-\\x{024F}]') THEN 'Unknown'
- WHEN regexp_matches(text, '[ğışĞİŞ]') THEN 'Turkish' WHEN regexp_matches(text, '[äÄß]') THEN 'German'
- WHEN regexp_matches(text, '[éèêëàâùûôîïœæ]') THEN 'French' WHEN regexp_matches(text, '[ñÑ¿¡]') THEN 'Spanish' ELSE 'English' END AS language FROM documents""")
+@_query(f"{_DOMINANT_SQL} SELECT doc_id, {_by_marks(lambda lang, conf: repr(lang))} AS language, {_by_marks(lambda lang, conf: f'{conf}::DOUBLE')} AS confidence FROM s")
 def language_classify(spark, sf_dir):
-    d = _docs(spark, sf_dir, F.col("text"))
-    d = d.select("doc_id", "t", *T.script_counts(F.col("t")))  # columns of their own: each class is counted once
-    d = d.withColumn("script", T.dominant_script({s: F.col(f"n_{s.lower()}") for s in T.SCRIPTS}))
-    return d.select("doc_id", T.language(F.col("script"), F.col("t"))[0].alias("language"))
+    d = _with_scripts(_scripted(spark, sf_dir))
+    name, confidence = T.language(F.col("script"), F.col("t"))
+    return d.select("doc_id", name.alias("language"), confidence.cast("double").alias("confidence"))
 
 
 def _same(name: str, inject: tuple[str, str] | None, func, sql: str):
@@ -119,6 +161,11 @@ def _nest(pairs) -> str:
     return out
 
 
+def FORM_NEST(c: str) -> str:
+    """SQL for plain letters of a text named c."""
+    return f"translate({_nest(T.FORM_PAIRS).replace('(t,', f'({c},').replace('t, ', f'{c}, ')}, '{T.FORMS[0]}', '{T.FORMS[1]}')"
+
+
 _same("ligature_unfold", ("qzkx", "ﬁﬄæ "), T.unfold_ligatures, f"regexp_replace(regexp_replace({_nest(T.LIGATURES)}, '{T.WIDE_SPACES}', ' ', 'g'), '{T.DROPPED}', '', 'g')")
 _same("soft_hyphens", ("qz", "­­"), T.clean_soft_hyphens, "replace(t, '­', '')")
 _same("strip_diacritics", ("aei", "ًَْ"), T.strip_diacritics, "regexp_replace(t, '[\\x{064B}-\\x{065F}\\x{0670}]', '', 'g')")
@@ -172,19 +219,18 @@ def captions(spark, sf_dir):
     return _prefixed(spark, sf_dir).select("doc_id", "line_idx", T.caption_target(F.col("t")).alias("target"))
 
 
-@_query(f"WITH p AS ({PREFIXED}) SELECT doc_id, line_idx, CASE WHEN (doc_id + line_idx) % 8 IN (2, 7) THEN false ELSE true END AS ordered, CASE (doc_id + line_idx) % 8 WHEN 2 THEN '-' WHEN 7 THEN '•' WHEN 3 THEN '3' ELSE 'b' END AS marker FROM p WHERE (doc_id + line_idx) % 8 IN (2, 3, 4, 7)")
-def list_items(spark, sf_dir):
-    i = T.list_item(F.col("t"))
-    return _prefixed(spark, sf_dir).where("(doc_id + line_idx) % 8 IN (2, 3, 4, 7)").select("doc_id", "line_idx", i["ordered"].alias("ordered"), i["marker"].alias("marker"))
+_MARK = "([0-9]{1,8}|(?:" + "|".join(f"(?i:{r})" for r in sorted(T.ROMAN, key=len, reverse=True)) + ")|[A-Za-z])"
 
 
 @_query(f"""WITH p AS ({PREFIXED}), s AS (SELECT doc_id, line_idx, regexp_replace(t, '^\\s+', '') AS t FROM p),
- m AS (SELECT doc_id, line_idx, regexp_extract(t, '^[•*+▪▫–—◦‣⁃●○-]') AS bullet, regexp_extract(t, '^[(\\[]?([0-9]{{1,8}}|[ivxlcdmIVXLCDM]{{1,8}}|[A-Za-z])[.)\\]]', 1) AS number FROM s)
- SELECT doc_id, line_idx, CASE WHEN bullet <> '' THEN 'false' WHEN number <> '' THEN 'true' END AS ordered, coalesce(nullif(bullet, ''), nullif(number, '')) AS marker FROM m""")
-def list_items_all(spark, sf_dir):
-    """Every line, ordered ('true' or 'false') and marker null where there is no item; list_items keeps to the lines of its SQL."""
+ m AS (SELECT doc_id, line_idx, t, regexp_extract(t, '^[•*+▪▫–—◦‣⁃●○-]') AS bullet, regexp_extract(t, '^\\(*\\[*{_MARK}[.)\\]]', 1) AS number FROM s)
+ SELECT doc_id, line_idx, CASE WHEN bullet <> '' THEN 'false' WHEN number <> '' THEN 'true' END AS ordered, coalesce(nullif(bullet, ''), nullif(number, '')) AS marker,
+ CASE WHEN bullet <> '' THEN regexp_replace(t, '^.\\s*', '') WHEN number <> '' THEN regexp_replace(t, '^\\(*\\[*{_MARK}[.)\\]]\\s*', '') END AS content,
+ least((doc_id + line_idx) % 130 // 16, 6)::INT AS level FROM m""")
+def list_items(spark, sf_dir):
+    """Every line; ordered, marker and content are null where there is no item."""
     i = T.list_item(F.col("t"))
-    return _prefixed(spark, sf_dir).select("doc_id", "line_idx", i["ordered"].cast("string").alias("ordered"), i["marker"].alias("marker"))
+    return _prefixed(spark, sf_dir).select("doc_id", "line_idx", i["ordered"].cast("string").alias("ordered"), i["marker"].alias("marker"), i["content"].alias("content"), T.indent_level((F.col("doc_id") + F.col("line_idx")) % 130).alias("level"))
 
 
 SPANS = f"""SELECT doc_id, 1 + line_idx // 60 AS page_number, line_idx % 60 AS span_idx, text, 72.0::DOUBLE + 264 * ((line_idx % 60) % 2) AS x,
@@ -200,11 +246,14 @@ def spans(spark, sf_dir):
         e("cast(CASE (line_idx % 60) % 7 WHEN 0 THEN 18 WHEN 1 THEN 14 ELSE 11 END AS double)").alias("font_size"))
 
 
-@_query(f"WITH s AS ({SPANS}) SELECT doc_id, page_number, span_idx, (y <= 77 OR y + h >= 715) AND strlen(text) < 40 AS margin, CASE WHEN y <= 45 THEN 'Header' WHEN y + h >= 747 THEN 'Footer' WHEN (x + w / 2 < 171.36 OR x + w / 2 > 440.64) AND w < 153 THEN 'Sidebar' ELSE 'Body' END AS region FROM s")
+@_query(f"""WITH s AS ({SPANS}), t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS w_ FROM s)
+ SELECT doc_id, page_number, span_idx, (y <= 77 OR y + h >= 715) AND (strlen(w_) < 40 OR regexp_matches(lower(w_), '^(page |p\\. |- )') OR regexp_matches(w_, '^[0-9]{{1,9}}$')) AS margin,
+ CASE WHEN y <= 45 THEN 'Header' WHEN y + h >= 747 THEN 'Footer' WHEN (x + w <= 171.36 OR x >= 440.64) AND w < 153 THEN 'Sidebar' ELSE 'Body' END AS region FROM t""")
 def regions(spark, sf_dir):
+    """Headers and footers with margins of 77 points, which the derived spans reach, and the regions of a page."""
     s = spans(spark, sf_dir)
-    shifted = (F.col("y") <= 77) | (F.col("y") + F.col("h") >= 715)  # margins moved so that derived spans reach them
-    return s.select("doc_id", "page_number", "span_idx", (shifted & (F.octet_length("text") < 40)).alias("margin"), layout.region(*map(F.col, "xywh")).alias("region"))
+    margin = layout.header_footer(F.col("y"), F.col("h"), F.col("text"), T.is_page_number(T.strip(F.col("text"))), margin=77.0)
+    return s.select("doc_id", "page_number", "span_idx", margin.alias("margin"), layout.region(*map(F.col, "xywh")).alias("region"))
 
 
 @_query(f"WITH s AS ({SPANS}) SELECT doc_id, page_number, round(font_size * 10)::INT AS size10, sum(strlen(text))::BIGINT AS weight FROM s GROUP BY ALL")
@@ -214,9 +263,10 @@ def font_histogram(spark, sf_dir):
 
 @_query(f"""WITH s AS ({SPANS}), f AS (SELECT doc_id, page_number, round(font_size * 10)::INT AS size10, sum(strlen(text)) AS weight FROM s GROUP BY ALL),
  b AS (SELECT doc_id, page_number, size10 AS body10 FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY weight DESC, size10) = 1)
- SELECT doc_id, page_number, body10, count(*) FILTER (size10 > 1.08 * body10)::INT AS n_levels FROM f JOIN b USING (doc_id, page_number) GROUP BY ALL""")
+ SELECT doc_id, page_number, body10, coalesce(string_agg(size10::VARCHAR, ',' ORDER BY size10 DESC) FILTER (size10 > 1.08 * body10), '') AS levels FROM f JOIN b USING (doc_id, page_number) GROUP BY ALL""")
 def font_levels(spark, sf_dir):
-    return layout.font_levels(layout.font_histogram(spans(spark, sf_dir))).select("doc_id", "page_number", "body10", F.size("levels").alias("n_levels"))
+    levels = layout.font_levels(layout.font_histogram(spans(spark, sf_dir)))
+    return levels.select("doc_id", "page_number", "body10", F.array_join(F.transform("levels", lambda z: z.cast("string")), ",").alias("levels"))
 
 
 @_query(f"WITH s AS ({SPANS}), b AS (SELECT doc_id, page_number, unnest(range(floor(x / 2)::INT, ceil((x + w) / 2)::INT)) AS bin FROM s WHERE w > 0) SELECT doc_id, page_number, bin::INT AS bin, count(*) AS n FROM b GROUP BY ALL")
@@ -238,55 +288,66 @@ def line_gap_stats(spark, sf_dir):
     return g.select("doc_id", "page_number", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "median")
 
 
-@_query()
+@_query(f"""WITH s AS ({SPANS}), v AS (SELECT doc_id, page_number, list_sort(list(DISTINCT y)) AS ys FROM s GROUP BY ALL),
+ c AS (SELECT doc_id, page_number, list_reduce(list_transform(ys, lambda y: [y]), lambda a, b: CASE WHEN abs(b[1] - a[-1]) <= 20 THEN list_append(a[:-2], (a[-1] + b[1]) / 2) ELSE list_append(a, b[1]) END) AS c FROM v)
+ SELECT doc_id, page_number, array_to_string(list_transform(c, lambda x: round(x, 4)::DECIMAL(18, 4)::VARCHAR), ',') AS clusters FROM c""")
 def coordinate_clusters(spark, sf_dir):
     s = spans(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.collect_set("y").alias("ys"))
-    return s.select("doc_id", "page_number", F.size(layout.cluster_coordinates(F.col("ys"), 20.0)).alias("n_clusters"))
+    written = F.transform(layout.cluster_coordinates(F.col("ys"), 20.0), lambda x: F.round(x, 4).cast("decimal(18,4)").cast("string"))
+    return s.select("doc_id", "page_number", F.array_join(written, ",").alias("clusters"))
 
 
 @_query(r"""WITH c AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_idx, n_nationkey, n_name FROM nation)
- SELECT r_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY row_idx) AS markdown
+ SELECT r_regionkey AS region, '| key | name |' || chr(10) || '|---:|:---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || CASE WHEN row_idx % 3 = 0 THEN '' ELSE n_name END || ' |', chr(10) ORDER BY row_idx) || chr(10) AS markdown
  FROM c JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def gfm_table(spark, sf_dir):
+    """Rows of every third nation lack a cell, of every fourth have one too many."""
     n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
     body = n.selectExpr("n_regionkey AS region", "row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_idx", "cast(n_nationkey AS string) AS a", "n_name AS b")
-    head = r.selectExpr("r_regionkey AS region", "0 AS row_idx", "'key' AS a", "'name' AS b")
-    cells = head.unionByName(body).selectExpr("region", "row_idx", "posexplode(array(a, b)) AS (col_idx, text)")
-    return layout.gfm_table(cells, "region")
+    body = body.selectExpr("region", "row_idx", "CASE WHEN row_idx % 3 = 0 THEN array(a) WHEN row_idx % 4 = 0 THEN array(a, b, 'more') ELSE array(a, b) END AS v")
+    head = r.selectExpr("r_regionkey AS region", "0 AS row_idx", "array('key', 'name') AS v")
+    cells = head.unionByName(body).selectExpr("region", "row_idx", "posexplode(v) AS (col_idx, text)").selectExpr("*", "CASE WHEN row_idx > 0 THEN NULL WHEN col_idx = 0 THEN 'Right' ELSE 'Left' END AS align", "'other' AS t")
+    return render.gfm_table(cells, "region")
 
 
-ASCII = "regexp_replace(substring(text, 1, 200), '[^\\x00-\\x7F]', '?', 'g')"
+ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')"  # one engine counts bytes, the other characters
 
 
-@_query(f"""WITH d AS (SELECT doc_id, {ASCII} AS a FROM documents), b AS (SELECT item_id, {ASCII} AS b FROM benchmark)
- SELECT doc_id, levenshtein(a, b)::INT AS errors, round(levenshtein(a, b) / length(b)::DOUBLE, 6) AS cer FROM d JOIN b ON doc_id % 40 = item_id WHERE length(b) > 0""")
+@_query(f"""WITH n AS (SELECT greatest(count(*), 1) AS n FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, item_id, {ASCII} AS b FROM benchmark),
+ d AS (SELECT doc_id, {ASCII} AS a, doc_id % n AS k FROM documents, n)
+ SELECT doc_id, item_id, levenshtein(b, a)::INT AS errors, round(CASE WHEN length(b) > 0 THEN levenshtein(b, a) / length(b)::DOUBLE WHEN length(a) > 0 THEN 1.0 ELSE 0.0 END, 6) AS cer FROM d JOIN b USING (k)""")
 def character_error_rate(spark, sf_dir):
-    cut = lambda: F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]", "?")
-    d = _t(spark, sf_dir, "documents").select("doc_id", cut().alias("a"))
-    b = _t(spark, sf_dir, "benchmark").select("item_id", cut().alias("b")).where("length(b) > 0")
-    e = evaluation.character_errors(F.col("a"), F.col("b"))
-    return d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", e.alias("errors"), F.round(evaluation.error_rate(e, F.length("b"), F.length("a")), 6).alias("cer"))
+    """Whole texts against all of benchmark in turn; letters beyond ASCII count as one sign, so that SQL can check it."""
+    plain = lambda name: _t(spark, sf_dir, name).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    return _error_rates(evaluation.with_reference(plain("documents"), plain("benchmark")))
 
 
-@_query()
-def character_error_rate_whole(spark, sf_dir):
-    """Whole texts and all of benchmark; character_error_rate keeps to the prefixes of its SQL."""
-    d = evaluation.with_reference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+def _error_rates(d):
     d = d.withColumn("errors", evaluation.character_errors(F.col("b"), F.col("a")))
     return d.select("doc_id", "item_id", "errors", F.round(evaluation.error_rate(F.col("errors"), F.length("b"), F.length("a")), 6).alias("cer"))
 
 
+@_query()
+def character_error_rate_whole(spark, sf_dir):
+    """The same with all letters as they are; tested against brute force."""
+    return _error_rates(evaluation.with_reference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
+
+
 @_query()
 def word_error_edits(spark, sf_dir):
     d = evaluation.with_reference(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
     return d.select("doc_id", evaluation.word_edits("b", "a").alias("e")).select("doc_id", "e.*")
 
 
-@_query("SELECT doc_id, quality, toxic, round(" + " + ".join(f"{w}::DOUBLE * {'quality' if i % 2 else '(1 - toxic)'}" for i, w in enumerate(evaluation.WEIGHTS.values())) + ", 3) AS score FROM labels")
+_SCORES = {k: f"(CASE {i % 3} WHEN 0 THEN 1 - toxic * 0.2 WHEN 1 THEN 0.85 + quality * 0.15 ELSE 0.9 + (doc_id % 11) / 100.0 END)" for i, k in enumerate(evaluation.WEIGHTS)}
+_COMPOSITE = "round(" + " + ".join(f"{_SCORES[k]}::DOUBLE * {w}" for k, w in evaluation.WEIGHTS.items()) + ", 3)"
+
+
+@_query(f"SELECT doc_id, quality, toxic, {_COMPOSITE} AS score, {_COMPOSITE} >= {evaluation.GATE_ALL} AND " + " AND ".join(f"{_SCORES[k]}::DOUBLE >= {evaluation.GATE}" for k in evaluation.GATED) + " AS passed FROM labels")
 def release_gate(spark, sf_dir):
     d = _t(spark, sf_dir, "labels")
-    scores = {k: F.col("quality") if i % 2 else 1 - F.col("toxic") for i, k in enumerate(evaluation.WEIGHTS)}
-    return d.select("doc_id", "quality", "toxic", evaluation.composite(scores).alias("score"))
+    scores = {k: F.expr(v.replace("0.2", "0.2D").replace("0.85", "0.85D").replace("0.15", "0.15D").replace("0.9 ", "0.9D ").replace("100.0", "100.0D")) for k, v in _SCORES.items()}
+    return d.select("doc_id", "quality", "toxic", evaluation.composite(scores).alias("score"), evaluation.release_gate(scores).alias("passed"))
 
 
 _CELLS = """c AS (SELECT r_regionkey AS region, 0 AS row_idx, 0 AS col_idx, true AS hd, r_name AS x, 2 AS cs, NULL AS al FROM region
@@ -352,8 +413,12 @@ def best_stream(spark, sf_dir):
 
 
 def queries():
+    from . import catalogue_more  # noqa: F401  registers its queries here
+
     return dict(_Q)
 
 
 def oracle_sql():
+    from . import catalogue_more  # noqa: F401
+
     return dict(_SQL)

@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Code point ranges of scripts, ligature expansions, digits. They decide results and are stated as they are.
+# Code point ranges of scripts, ligature expansions, digits, letter pairs, shaped letters, letters that mark a
+# language, and prefixes of captions and page numbers. They decide results and are stated as they are.
 RTL = r"\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0700}-\x{074F}\x{0750}-\x{077F}\x{0780}-\x{07BF}\x{0840}-\x{085F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 SCRIPTS = {
     "Latin": r"A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}",
@@ -33,7 +34,10 @@ WESTERN, EASTERN, PERSIAN = "0123456789", "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵
 ATTACHED = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"  # marks that belong to the letter before
 LAM_ALEF = (("ل ا", "لا"), ("ل أ", "لأ"), ("ل إ", "لإ"), ("ل آ", "لآ"), ("لـا", "لا"), ("لـأ", "لأ"), ("لـإ", "لإ"), ("لـآ", "لآ"))
 MORE_FORMS = ((0xFB56, 0xFB59, "پ"), (0xFB7A, 0xFB7D, "چ"), (0xFB8A, 0xFB8B, "ژ"), (0xFB8E, 0xFB91, "ک"), (0xFB92, 0xFB95, "گ"), (0xFBA6, 0xFBA9, "ں"), (0xFBF6, 0xFBF8, "ی"))
-CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
+CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
+ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
+BULLETS = "•\\-*+▪▫–—◦‣⁃●○"
+HYPHENS = "-\u2010\u00AD"  # at the end of a line
 LANGUAGE_MARKS = {  # script -> letters that decide, in order; then the script's own language and the confidences
     "Arabic": ((r"[ٻٿڀٽڄڃڇڌڍڊڙڪڳڱڦڻڏ]", "Sindhi", 0.96), (r"[ټځڅډړږښګڼېۍۀ]", "Pashto", 0.96), (r"[ڵۆێڕە]", "Kurdish", 0.95),
                (r"[ٹڈڑےںہ]", "Urdu", 0.95), (r"[گچپژ]", "Persian", 0.95), ("", "Arabic", 0.92)),
@@ -46,9 +50,18 @@ LANGUAGE_MARKS = {  # script -> letters that decide, in order; then the script's
 }
 
 
+#: White space as Unicode has it; the engine's own class is ASCII only.
+SPACE = r"\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def count(c: Column, chars: str) -> Column:
-    """Characters of a class, by removing all others: no list of matches is built."""
-    return F.length(F.regexp_replace(c, f"[^{chars}]", ""))
+    """Characters of a class, by removing all others, runs at once: no list of matches is built."""
+    return F.length(F.regexp_replace(c, f"[^{chars}]+", ""))
+
+
+def contains(c: Column, chars: str) -> Column:
+    """A character of the class is in the text."""
+    return c.rlike(f"[{chars}]")
 
 
 def clean_soft_hyphens(c: Column) -> Column:
@@ -84,9 +97,18 @@ def drop_control(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]", "")
 
 
+def clean(c: Column) -> Column:
+    """normalize without its NFC, which needs Python: soft hyphens, ligatures and spaces, reversed words, control characters."""
+    from .arabic import bidi
+
+    return drop_control(bidi(unfold_ligatures(clean_soft_hyphens(c))))
+
+
 def normalize(c: Column) -> Column:
-    """Soft hyphens, ligatures and spaces, NFC, control characters."""
-    return drop_control(nfc(unfold_ligatures(clean_soft_hyphens(c))))
+    """Soft hyphens, ligatures and spaces, right-to-left words in visual order, NFC, control characters."""
+    from .arabic import bidi
+
+    return drop_control(nfc(bidi(unfold_ligatures(clean_soft_hyphens(c)))))
 
 
 def normalize_alif(c: Column) -> Column:
@@ -146,13 +168,19 @@ def paragraph_direction(c: Column) -> Column:
     return F.when((rtl > 0) & ((rtl >= ltr) | first), "RightToLeft").otherwise("LeftToRight")
 
 
-def text_quality(c: Column) -> dict[str, Column]:
-    """quality_score and its parts; blank text scores 0 with a printable ratio of 1."""
-    n = F.length(c).cast("double")
-    blank = ~c.rlike(r"[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-    bad, pua = count(c, r"\x{FFFD}"), count(c, r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}")
-    every = count(c, r"\x{0000}-\x{001F}\x{007F}-\x{009F}")
-    control = every - count(c, r"\n\r\t")
+QUALITY_COUNTS = {"bad": r"\x{FFFD}", "pua": r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}", "every": r"\x{0000}-\x{001F}\x{007F}-\x{009F}", "white": r"\n\r\t"}
+
+
+def quality_counts(c: Column) -> dict[str, Column]:
+    """What text_quality is made of. In a frame these belong into columns of their own, so that each is counted once."""
+    return {"n": F.length(c), "blank": ~c.rlike(f"[^{SPACE}]")} | {k: count(c, v) for k, v in QUALITY_COUNTS.items()}
+
+
+def text_quality(c: Column, counts=None) -> dict[str, Column]:
+    """quality_score and its parts; blank text scores 0 with a printable ratio of 1. counts: columns that hold quality_counts."""
+    k = quality_counts(c) if counts is None else counts
+    n, blank, bad, pua, every = k["n"].cast("double"), k["blank"], k["bad"], k["pua"], k["every"]
+    control = every - k["white"]
     ratio = (n - bad - pua - every) / n
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - (bad * 0.05 + pua * 0.02 + control * 0.05)))
     corrupt = (bad / n > 0.05) | (pua / n > 0.10) | (ratio < 0.70)
@@ -181,15 +209,21 @@ def is_page_number(c: Column) -> Column:
 
 
 def list_item(c: Column) -> dict[str, Column]:
-    """ordered (null: no item), marker, content."""
-    t = F.regexp_replace(c, r"^\s+", "")
-    bullet = F.regexp_extract(t, r"^([•\-*+▪▫–—◦‣⁃●○])", 1)
-    number = F.regexp_extract(t, r"^[(\[]?([0-9]{1,8}|[ivxlcdmIVXLCDM]{1,8}|[A-Za-z])[.)\]]", 1)
-    rest = F.regexp_replace(F.regexp_replace(t, r"^([•\-*+▪▫–—◦‣⁃●○]|[(\[]?([0-9]{1,8}|[ivxlcdmIVXLCDM]{1,8}|[A-Za-z])[.)\]])", ""), r"^\s+", "")
+    """ordered (null: no item), marker, content. Null text is no item."""
+    t = F.regexp_replace(c, f"^[{SPACE}]+", "")
+    mark = rf"([0-9]{{1,8}}|\+[0-9]{{1,7}}|(?i:{'|'.join(sorted(ROMAN, key=len, reverse=True))})|[A-Za-z])"
+    bullet = F.regexp_extract(t, f"^([{BULLETS}])", 1)
+    number = F.regexp_extract(t, rf"^\(*\[*{mark}[.)\]]", 1)
+    rest = F.regexp_replace(F.regexp_replace(t, rf"^([{BULLETS}]|\(*\[*{mark}[.)\]])", ""), f"^[{SPACE}]+", "")
     ordered = F.when(bullet != "", False).when(number != "", True)
     return {"ordered": ordered, "marker": F.when(bullet != "", bullet).when(number != "", number), "content": F.when(ordered.isNotNull(), rest)}
 
 
+def indent_level(x: Column) -> Column:
+    """Depth of a list item by its left edge: steps of 16 points, 6 at most."""
+    return F.least(F.floor(F.greatest(x, F.lit(0.0)) / 16), F.lit(6)).cast("int")
+
+
 def caption_target(c: Column) -> Column:
     t = F.lower(F.regexp_replace(c, r"^\s+", ""))
     return (F.when(t.rlike(r"^(figure|fig\.|fig|illustration) "), "Figure").when(t.rlike(r"^(table|tab\.|tab) "), "Table")
@@ -245,12 +279,26 @@ def citation(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def merge_hyphenated(left: Column, right: Column) -> Column:
+    """Two lines of a paragraph: a word cut by a hyphen before a lower-case letter is joined; an empty side adds nothing."""
+    a, b = F.regexp_replace(left, rf"[{SPACE}]+\z", ""), F.regexp_replace(right, rf"\A[{SPACE}]+", "")
+    cut = a.rlike(f"[{HYPHENS}]\\z") & b.rlike(r"\A[\p{IsAlphabetic}&&\p{IsLowercase}]")
+    return F.when(a == "", right).when(b == "", left).when(cut, F.concat(F.regexp_replace(a, f"[{HYPHENS}]\\z", ""), b)).otherwise(F.concat_ws(" ", a, b))
+
+
+def join_paragraph_line(left: Column, right: Column) -> Column:
+    """The shorter, in bytes, of the two ways to join lines."""
+    plain, merged = join_line(left, right), merge_hyphenated(left, right)
+    return F.when(F.octet_length(merged) < F.octet_length(plain), merged).otherwise(plain)
 
 
 def join_line(left: Column, right: Column) -> Column:
     """Two lines of a paragraph: no space between CJK characters, one space elsewhere; an empty side adds nothing."""
-    a, b = strip(left), strip(right)
+    a, b = F.regexp_replace(left, rf"[{SPACE}]+\z", ""), F.regexp_replace(right, rf"\A[{SPACE}]+", "")
     tight = a.rlike(f"[{CJK}]\\z") & b.rlike(f"\\A[{CJK}]")
     return F.when(a == "", b).when(b == "", a).when(tight, F.concat(a, b)).otherwise(F.concat_ws(" ", a, b))
 

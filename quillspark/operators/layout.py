@@ -1,27 +1,32 @@
-"""Page layout over a spans frame (doc_id, page_number, span_idx, text, x, y, w, h, font_size); y grows downwards."""
+"""Page layout over a spans frame (doc_id, page_number, span_idx, text, x, y, w, h, font_size); y grows downwards.
+
+Ties in an order go to span_idx; a null text weighs nothing; pages without spans have no rows; other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN = 612.0, 792.0, 45.0
 KEY = ("doc_id", "page_number")
 
 
-def header_footer(y: Column, h: Column, text: Column, page_number: Column) -> Column:
-    """In the top or bottom margin and a page number or under 40 bytes."""
-    return ((y <= MARGIN) | (y + h >= PAGE_HEIGHT - MARGIN)) & (page_number | (F.octet_length(text) < 40))
+def header_footer(y: Column, h: Column, text: Column, page_number: Column, margin: float = MARGIN, height: Column | float = PAGE_HEIGHT) -> Column:
+    """In the top or bottom margin and a page number or, trimmed, under 40 bytes."""
+    height = F.lit(height) if isinstance(height, float) else height
+    return ((y <= margin) | (y + h >= height - margin)) & (page_number | (F.octet_length(strip(text)) < 40))
 
 
 def region(x: Column, y: Column, w: Column, h: Column) -> Column:
     return (F.when(y <= MARGIN, "Header").when(y + h >= PAGE_HEIGHT - MARGIN, "Footer")
-            .when(((x + w / 2 < 0.28 * PAGE_WIDTH) | (x + w / 2 > 0.72 * PAGE_WIDTH)) & (w < 0.25 * PAGE_WIDTH), "Sidebar").otherwise("Body"))
+            .when(((x + w <= 0.28 * PAGE_WIDTH) | (x >= 0.72 * PAGE_WIDTH)) & (w < 0.25 * PAGE_WIDTH), "Sidebar").otherwise("Body"))
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:
     """Bytes at each font size (in tenths) of a page."""
-    return spans.groupBy(*KEY, F.round(F.col("font_size") * 10).cast("int").alias("size10")).agg(F.sum(F.octet_length("text")).cast("long").alias("weight"))
+    return spans.groupBy(*KEY, F.round(F.col("font_size") * 10).cast("int").alias("size10")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("weight"))
 
 
 def font_levels(hist: DataFrame) -> DataFrame:
@@ -54,25 +59,11 @@ def gap_stats(lines: DataFrame) -> DataFrame:
 
 
 def cluster_coordinates(values: Column, tolerance: float = 4.0) -> Column:
-    """1-D clustering of an array of doubles by running means: a value within tolerance of the last mean joins it."""
-    zero = F.expr("cast(array() AS array<struct<m: double, n: int>>)")
-    last = lambda a: F.element_at(a, -1)
+    """1-D clustering of an array of doubles in order: a value within tolerance of the last place moves it halfway to itself."""
+    last = lambda a: F.try_element_at(a, F.lit(-1))
 
     def step(a, v):
-        joined = F.struct(((last(a)["m"] * last(a)["n"] + v) / (last(a)["n"] + 1)).alias("m"), (last(a)["n"] + 1).alias("n"))
-        new = F.struct(v.cast("double").alias("m"), F.lit(1).alias("n"))
-        fits = (F.size(a) > 0) & (F.abs(v - F.try_element_at(a, F.lit(-1))["m"]) <= tolerance)
-        return F.when(fits, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(new)))
-
-    return F.transform(F.aggregate(F.sort_array(values), zero, step), lambda s: s["m"])
-
-
-def gfm_table(cells: DataFrame, key: str) -> DataFrame:
-    """cells (key, row_idx, col_idx, text) -> one Markdown table for each key; row 0 is the header."""
-    from ..functions.text import escape_gfm_cell
+        moved = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array((last(a) + v) / 2))
+        return F.when((F.size(a) > 0) & (F.abs(v - last(a)) <= tolerance), moved).otherwise(F.concat(a, F.array(v.cast("double"))))
 
-    rows = cells.groupBy(key, "row_idx").agg(F.expr("concat('| ', array_join(transform(array_sort(collect_list(struct(col_idx, t))), s -> s.t), ' | '), ' |')").alias("line"), F.count(F.lit(1)).alias("n")) if "t" in cells.columns else gfm_table(cells.withColumn("t", escape_gfm_cell(F.col("text"))), key)
-    if "line" not in rows.columns:
-        return rows
-    rows = rows.withColumn("line", F.when(F.col("row_idx") == 0, F.concat("line", F.lit("\n|"), F.expr("repeat(' --- |', cast(n as int))"))).otherwise(F.col("line")))
-    return rows.groupBy(key).agg(F.expr("array_join(transform(array_sort(collect_list(struct(row_idx, line))), s -> s.line), '\n')").alias("markdown"))
+    return F.aggregate(F.sort_array(values), F.expr("cast(array() AS array<double>)"), step)

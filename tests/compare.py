@@ -6,13 +6,14 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    norm = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    norm = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
     return sorted((tuple(map(norm, r)) for r in frame.itertuples(index=False)), key=str)
 
 

@@ -56,20 +56,20 @@ def test_renderers(spark):
     assert render.html_table(cells.limit(0), "k").count() == 0
     none = F.lit(None).cast("string")
     r = spark.range(1).select(render.front_matter(F.lit('a"b'), none, none, F.array(F.lit("k")), F.lit(2)).alias("a"), render.front_matter(none, none, none, F.lit(None).cast("array<string>"), F.lit(2)).alias("b"),
-                              render.page_break("comment", F.lit(3)).alias("c"), render.svg_label(F.lit(1.0), F.lit(2.5), F.lit("<")).alias("d")).first()
-    assert tuple(r) == ('---\ntitle: "a\\"b"\nkeywords: ["k"]\npages: 2\n---\n', "", "<!-- pagebreak: page 3 -->", '<text x="1.00" y="2.50">&lt;</text>')
+                              render.page_break("comment", F.lit(3)).alias("c"), render.page_break("rule", F.lit(3)).alias("d")).first()
+    assert tuple(r) == ('---\ntitle: "a\\"b"\nkeywords: ["k"]\npages: 2\n---\n', "", "\n<!-- pagebreak: page 3 -->\n\n", "\n---\n\n")
 
 
 def test_clusters_and_edits(spark):
-    assert one(spark, layout.cluster_coordinates, [10.0, 12.0, 15.0, 40.0], "array<double>") == [37 / 3, 40.0]
+    assert one(spark, layout.cluster_coordinates, [10.0, 12.0, 15.0, 40.0], "array<double>") == [13.0, 40.0]
     e = spark.createDataFrame([("a b c", "a x c d")], "a string, b string").select(evaluation.word_edits("a", "b").alias("e")).first().e
     assert (e.errors, e.substitutions, e.deletions, e.insertions) == (2, 1, 0, 1)
 
 
 def test_pdf_round_trip_and_broken_input(spark):
-    data = pdf.write_pdf([[(72, 700, 18, "Title (1)"), (72, 680, 12, "line é")], [(72, 700, 12, "second")]])
-    pages, error = pdf.parse(data)
-    assert error is None and [[s[0] for s in p] for p in pages] == [["Title (1)", "line é"], ["second"]]
+    data = pdf.write_pdf([[(72, 700, 18, "Title (1)"), (72, 680, 12, "line é of the body")], [(72, 700, 12, "second")]])
+    pages, _, error = pdf.parse(data)
+    assert error is None and [[s[0] for s in p.spans] for p in pages] == [["Title (1)", "line é of the body"], ["second"]]
     docs = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"junk")), (3, None)], "doc_id long, content binary")
     got = {r.doc_id: r for r in convert(docs).collect()}
     assert got[1].total_pages == 2 and got[1].markdown.startswith("# Title (1)") and "second" in got[1].markdown
