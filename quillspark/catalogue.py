@@ -50,7 +50,7 @@ def convert_pdf(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-BROKEN = "translate(text, 'qzk', '�\x02')"
+BROKEN = "translate(text, 'qzk', '�\ue001\x02')"
 QUALITY = f"""
 WITH d AS (SELECT doc_id, {BROKEN.replace(chr(2), "' || chr(2) || '")} AS t FROM documents),
 c AS (SELECT doc_id, t, length(t)::DOUBLE AS n, {_n('�')} AS bad, {_n(chr(0xE000) + '-' + chr(0xF8FF))} AS pua,
@@ -82,7 +82,7 @@ def _counted(d):
 
 @_query(QUALITY)
 def text_quality(spark, sf_dir):
-    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\x02"))
+    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\ue001\x02"))
     q = T.text_quality(F.col("t"))
     for k in ("quality_score", "printable_ratio"):
         q[k] = F.round(q[k], 6)
@@ -398,7 +398,7 @@ SELECT doc_id, (img OR few OR bad) AS should_ocr, CASE WHEN img THEN 1.0 WHEN fe
  CASE WHEN img THEN 0 ELSE n END::BIGINT AS native_chars, CASE WHEN img THEN 0.0 WHEN few THEN 0.3 ELSE quality_score END::DOUBLE AS native_quality
  FROM (SELECT *, doc_id % 7 = 0 AS img, n < 15 AND doc_id % 3 > 0 AS few, is_corrupted OR quality_score < 0.6 AS bad FROM q)""")
 def ocr_necessity(spark, sf_dir):
-    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\x02"))
+    d = _docs(spark, sf_dir, F.translate("text", "qzk", "�\ue001\x02"))
     c = ocr.necessity(F.col("t"), F.lit(1), (F.col("doc_id") % 3).cast("int"), F.col("doc_id") % 7 == 0)
     c["native_quality"] = F.round(c["native_quality"], 6)
     return d.select("doc_id", *[v.alias(k) for k, v in c.items()])

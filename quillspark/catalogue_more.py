@@ -121,7 +121,7 @@ _WORDS = f"list_filter(string_split_regex(t, '[{WS}]+'), lambda w: w <> '')"
 
 @_query(f"WITH l AS ({AR_LINES.replace('(' + _AR_CASE + ')', '(' + _AR_CASE + ')').replace('|| text', '|| CASE WHEN line_idx % 2 = 0 THEN text ELSE chr(57345) END')}) SELECT doc_id, line_idx, len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^[{T.RTL}]$'))) >= 3 AND len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^[{T.RTL}]$'))) > len({_WORDS}) // 2 AS isolated, contains(t, 'ل ا') AS lam_alef, regexp_matches(t, '[\\x{{E000}}-\\x{{F8FF}}]') AS private_use FROM l")
 def corruption(spark, sf_dir):
-    line = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line_idx") % 2 == 0, F.col("text")).otherwise(""))
+    line = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line_idx") % 2 == 0, F.col("text")).otherwise("\ue001"))
     d = line.select("doc_id", "line_idx", F.expr(f"concat({_AR_CASE}, text)").alias("t"))
     return d.select("doc_id", "line_idx", A.has_isolated_letters(F.col("t")).alias("isolated"), A.has_broken_lam_alef(F.col("t")).alias("lam_alef"), A.has_private_use(F.col("t")).alias("private_use"))
 
@@ -399,7 +399,7 @@ def ocr_gate(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", gate("auto"), gate("never"), gate("always"))
 
 
-_DECIDE = "translate(text, 'qzk', '�ا')"
+_DECIDE = "translate(text, 'qzk', '\ue001�ا')"
 _Q = f"""d AS (SELECT doc_id, {_DECIDE} AS t FROM documents), q0 AS (SELECT doc_id, t, length(t)::DOUBLE AS n, {_n(chr(0xFFFD))} AS bad, {_n(chr(0xE000) + '-' + chr(0xF8FF))} AS pua, {_n(T.RTL)} AS arabic, {_n('A-Za-z')} AS latin,
  {_n(chr(92) + 'x{0001}-' + chr(92) + 'x{001F}' + chr(92) + 'x{007F}-' + chr(92) + 'x{009F}')} AS every, {_n(chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't')} AS white FROM d),
  q AS (SELECT *, CASE WHEN NOT regexp_matches(t, '[^{WS}]') THEN 0.0 ELSE greatest(0.0, least(1.0, (n - bad - pua - every) / n - (bad * 0.05::DOUBLE + pua * 0.02::DOUBLE + (every - white) * 0.05::DOUBLE))) END AS quality, CASE doc_id % 9 WHEN 1 THEN 'Nastaliq' END AS script, doc_id % 6 = 0 AS empty FROM q0)"""
@@ -410,7 +410,7 @@ _Q = f"""d AS (SELECT doc_id, {_DECIDE} AS t FROM documents), q0 AS (SELECT doc_
 def ocr_decision(spark, sf_dir):
     from .catalogue import _COUNTED, _counted
 
-    d = _counted(_docs(spark, sf_dir, F.translate("text", "qzk", "�ا")))
+    d = _counted(_docs(spark, sf_dir, F.translate("text", "qzk", "\ue001�ا")))
     script = ocr.script_by_font(F.expr("CASE doc_id % 9 WHEN 1 THEN 'Jameel Noori' END"))
     c = ocr.decision(F.col("t"), F.when(F.col("doc_id") % 6 == 0, 0).otherwise(3), F.col("doc_id") % 2, script, F.lit(0.5), _COUNTED)
     return d.select("doc_id", c["kind"].alias("kind"), c["dpi"].alias("dpi"), c["is_bilingual"].alias("is_bilingual"), c["arabic_chars"].cast("long").alias("arabic_chars"), F.round(c["quality"], 6).alias("quality"))
@@ -430,7 +430,7 @@ _BROKEN = "[\\x{FFFD}\\x{E000}-\\x{F8FF}]"
  CASE source WHEN 'fused' THEN o WHEN 'ocr' THEN length(b) ELSE 0 END::BIGINT AS ocr_chars, round(CASE source WHEN 'empty' THEN 1 WHEN 'ocr' THEN c WHEN 'native' THEN q WHEN 'identical' THEN greatest(q, c)
  ELSE greatest(0, least(1, least((q * n + c * o) / greatest(n + o, 1) + CASE WHEN br > 0 AND NOT regexp_matches(merged, '{_BROKEN}') THEN 0.15 ELSE 0 END, greatest(q, c)))) END, 6) AS confidence FROM g""")
 def stream_fusion(spark, sf_dir):
-    a = F.expr(_FA.replace("chr(65533)", "'�'").replace("chr(57345)", "''"))
+    a = F.expr(_FA.replace("chr(65533)", "'�'").replace("chr(57345)", "'\ue001'"))
     q, c = F.expr("CASE doc_id % 3 WHEN 0 THEN 0.95D WHEN 1 THEN 0.5D ELSE 0.1D END"), F.expr("CASE doc_id % 4 WHEN 0 THEN 0.9D ELSE 0.4D END")
     d = _t(spark, sf_dir, "documents").select("doc_id", a.alias("a"), F.expr(_FB).alias("b"), q.alias("q"), c.alias("c"))
     d = d.select("doc_id", ocr.fuse(F.col("a"), F.col("b"), F.col("q"), F.col("c")).alias("f"))

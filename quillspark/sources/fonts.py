@@ -52,7 +52,7 @@ def by_glyph_name(name: str) -> str | None:
 def recover(code: int, glyph_name: str | None, to_unicode: dict[int, str]) -> str:
     """The first that knows the code: its map (unless private), its glyph name, the private letters, the code point."""
     mapped = to_unicode.get(code, "")
-    if mapped and not all("" <= c <= "" for c in mapped):
+    if mapped and not all("\ue000" <= c <= "\uf8ff" for c in mapped):
         return plain(mapped)
     if glyph_name is not None and (found := by_glyph_name(glyph_name)) is not None:
         return found

@@ -74,7 +74,7 @@ def test_fonts_and_maps():
     assert (page.width, page.height) == (200.0, 100.0)
     assert fonts.recover(0xF0C7, None, {}) == "ا" and fonts.recover(5, "uniFE8F", {}) == "ب" and fonts.recover(5, "afii57448", {}) != "" and fonts.recover(0x41, "nothing", {}) == "A"
     assert fonts.by_glyph_name("afii57414") == "ا" and fonts.by_glyph_name("bismillah") == "بسم الله الرحمن الرحيم" and fonts.by_glyph_name("tatweel") == "" and fonts.by_glyph_name("x") is None
-    assert fonts.recover(1, None, {1: ""}) == "\x01"
+    assert fonts.recover(1, None, {1: "\ue000"}) == "\x01"
     assert all(x in fonts.Font("F", n).__dict__ for n in ("Courier",) for x in ("bold", "mono")) and fonts.Font("F", "Consolas-Oblique").italic
     assert fonts.read_cmap("beginbfrange\n<zz> <01>\n<05> <01> <0041>\n<01> <FFFFFF> <0041>") and fonts.read_cmap("") == {}
 
