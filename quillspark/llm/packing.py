@@ -14,6 +14,7 @@ clashing names, are ignored.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
@@ -52,13 +53,26 @@ def _tokenizer_path(p: PackParams) -> str:
 #: The end of a word behind which the marks below are always tokens of their own: Latin or Cyrillic letters and digits.
 _LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xd0\xd1][\x80-\xbf])\Z")
 _MARKS = b",.;:!?"
+#: Letters that stay letters, composed and one by one when lower case is taken; the dotted capital I is none of them.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\x88\x8a-\xbe])+")
+
+
+def _byte_level() -> str:
+    """The printable character of each byte in a byte-level vocabulary; the space stays."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)} | {0x20: " "}
+    return "".join(hidden.get(b, chr(b)) for b in range(256))
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 class WordEncoder:
     """ids of a text as little-endian uint32 bytes. White space always ends a token, so words are encoded once.
 
-    New words go to the library as one text, a separator of one id between them. A full cache becomes the old one, from
-    which words still in use are taken over.
+    New words of Latin letters go to the library as one text of the characters that its byte level would give them; where
+    tokens tell the end of a word, that cuts the ids. Other new words go as one text, a separator of one id between them.
+    A full cache becomes the old one, from which words still in use are taken over.
     """
 
     SEPARATOR = "\u00a9"
@@ -73,13 +87,26 @@ class WordEncoder:
         self.plain = ids(self.tok, "Word, 7.") == ids(self.tok, "word , 7 .")  # the vocabulary is lower case and marks are apart
         one, sep = ids(self.tok, self.SEPARATOR), f"a {self.SEPARATOR} b"
         self.sep = one[0] if len(one) == 1 and ids(self.tok, sep) == ids(self.tok, "a") + one + ids(self.tok, "b") else None
-        # for words of a-z alone normalising and splitting change nothing, so white space is all that has to be looked for
+        # words of Latin letters: lower case is all that normalising does to them, and white space all that splits them
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        probe = " ".join("abcdefghijklmnopqrstuvwxyz"[i:j] for i in range(26) for j in range(i + 1, 27))
-        same = self.plain and ids(self.bare, probe) == ids(self.tok, probe)
-        one = ids(self.bare, "0")
-        self.bare_sep = one[0] if same and len(one) == 1 else None
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        letters = [c for c in map(chr, range(0x180)) if _LATIN.fullmatch(c.encode())]
+        probe = [x for c in letters for x in (c, f"a{c}b", f"{c}e", f"n{c}")] + ["abcdefghijklmnopqrstuvwxyz"[i:j] for i in range(26) for j in range(i + 1, 27)]
+        self.latin = bool(suffix) and self.plain and self._by_end([w.encode() for w in probe]) == [array("I", ids(self.tok, w)).tobytes() for w in probe]
+
+    def _by_end(self, words: list[bytes]) -> list[bytes] | None:
+        """ids of words of Latin letters, or None where the ends don't tell the words."""
+        text = b" ".join(words).lower()
+        text = text.decode() if text.isascii() else codecs.charmap_decode(text.decode().lower().encode(), "strict", _BYTE_LEVEL)[0]
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut)] if len(cut) == len(words) else None
 
     def split(self, text: bytes) -> list[bytes]:
         """Words, lower case where the vocabulary is; what may hold special tokens keeps its capitals."""
@@ -89,12 +116,12 @@ class WordEncoder:
             return [w if b"<|" in w else w.lower() for w in text.split()]
         return text.lower().split()
 
-    def _joined(self, tok, sep: int, mark: str, words: list[bytes]) -> None:
+    def _joined(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
-            text = f" {mark} ".join([w.decode("utf-8", "replace") for w in part])
-            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == sep), len(ids)) * 4
+            text = f" {self.SEPARATOR} ".join([w.decode("utf-8", "replace") for w in part])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.sep), len(ids)) * 4
             if len(ends) != len(part):
                 raise ValueError("a word holds the separator")
             raw = ids.tobytes()
@@ -102,15 +129,21 @@ class WordEncoder:
 
     def learn(self, new: set[bytes]) -> None:
         """Put the ids of new words into the cache."""
-        rest = new
-        if self.bare_sep is not None:
-            bare = [w for w in new if w.isalpha()]  # of bytes: a-z, as words are lower case
-            rest = new.difference(bare)
-            self._joined(self.bare, self.bare_sep, "0", bare)
+        rest = list(new)
+        if self.latin:
+            plain = [w for w in rest if w.isalpha()]  # of bytes: a-z and A-Z
+            others = new.difference(plain)
+            own = [w for w in others if _LATIN.fullmatch(w)]
+            for words in (plain, own):
+                for i in range(0, len(words), 5000):
+                    got = self._by_end(words[i : i + 5000])
+                    if got is not None:
+                        self.cache.update(zip(words[i : i + 5000], got))
+            rest = [w for w in others.difference(own)] + [w for w in (*plain, *own) if w not in self.cache]
         mark, alone = self.SEPARATOR.encode(), rest
         if self.sep is not None:
             alone = [w for w in rest if mark in w]
-            self._joined(self.tok, self.sep, self.SEPARATOR, list(rest.difference(alone)))
+            self._joined([w for w in rest if mark not in w])
         for w, e in zip(alone, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)):
             self.cache[w] = array("I", e.ids).tobytes()
 
