@@ -161,6 +161,25 @@ def convert(docs: DataFrame, o: ConvertOptions = ConvertOptions()) -> DataFrame:
     return whole.select("doc_id", F.coalesce("total_pages", F.lit(0)).alias("total_pages"), "error", F.when(F.col("error").isNull(), body).alias("markdown"), diagnostics.alias("diagnostics"), "pages")
 
 
+#: What a node of each type holds in the JSON of a document; nulls are left out.
+FIELDS = ("level", "confidence", "text", "ordered", "items", "runs", "id", "target")
+
+
+def document_json(docs: DataFrame, o: ConvertOptions = ConvertOptions()) -> DataFrame:
+    """docs -> doc_id, error, json: the pages of a document with their nodes in order, each with its type. Tables come first
+    on a page, as in its Markdown; a document is one row, so it must fit one."""
+    node = page_nodes(layout_pages(docs, o), o)
+    own = F.when(F.col("type").isNotNull(), F.struct("zone", "block", "node", F.to_json(F.struct("type", *FIELDS)).alias("n")))
+    page = node.groupBy(*reading.KEY).agg(F.first("extra", ignorenulls=True).alias("extra"), F.array_sort(F.collect_list(own)).alias("made"))
+    tables_ = F.transform(F.filter("extra.nodes", lambda n: n["type"] == "Table"), lambda n: F.to_json(n))
+    page = page.withColumn("elements", F.concat(F.coalesce(tables_, F.array().cast("array<string>")), F.col("made.n")))
+    text = F.concat(F.lit('{"page_number":'), F.col("page_number").cast("string"), F.lit(',"elements":['), F.array_join("elements", ","), F.lit("]}"))
+    whole = page.groupBy("uid").agg(F.first("extra.doc_id", ignorenulls=True).alias("doc_id"), F.max("extra.error").alias("error"), F.first("extra.meta", ignorenulls=True).alias("meta"),
+                                    F.array_sort(F.collect_list(F.when(F.col("page_number").isNotNull(), F.struct("page_number", text.alias("t"))))).alias("p"))
+    json = F.concat(F.lit('{"metadata":'), F.coalesce(F.to_json("meta"), F.lit("{}")), F.lit(',"sections":['), F.array_join("p.t", ","), F.lit("]}"))
+    return whole.select("doc_id", "error", F.when(F.col("error").isNull(), json).alias("json"))
+
+
 def assets(docs: DataFrame, o: ConvertOptions = ConvertOptions()) -> DataFrame:
     """docs -> doc_id, page_number, name, mime, data: the pictures and drawings that a conversion links to."""
     pages = pdf.read_pages(docs, o.limits).where("page_number IS NOT NULL")

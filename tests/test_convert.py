@@ -223,3 +223,33 @@ def test_streams(spark, tmp_path):
     assert sorted(r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["doc 0\n\n", "doc 1\n\n"]
     frame = spark.createDataFrame([("k", 1), ("k", 2), ("l", 3)], "idempotency_key string, n int")
     assert streams.once(frame).count() == 2
+
+
+def test_document_as_json(spark):
+    from quillspark.plans.convert import document_json
+
+    drawing, cells = grid([["Name", "Size"], ["a", "1"]])
+    docs = pdf.from_bytes(spark, styled([(72, 720, 18, "Head", 1), *cells, (72, 400, 12, "Text of the page", 1), (72, 386, 12, "and more", 1)], drawing), b"x")
+    good, bad = document_json(docs).orderBy("doc_id").collect()
+    found = json.loads(good.json)["sections"][0]["elements"]
+    assert [e["type"] for e in found] == ["Table", "Heading", "Paragraph"] and found[0]["rows"][0][0]["text"] == "a" and found[2]["text"] == "Text of the page and more" and "level" not in found[2]
+    assert (bad.json, bad.error) == (None, "not a PDF")
+
+
+def test_pages_put_together_with_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "doc_id long, page_number int, total_pages int, markdown string"
+    status = streams.TaskStatus()
+    spark.streams.addListener(status)
+
+    def push(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        pages = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = streams.assemble(pages).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(map(tuple, spark.read.schema("doc_id long, total_pages int, markdown string").parquet(f"{tmp_path}/out").collect()))
+
+    assert push([(1, 2, 2, "b"), (2, 1, 3, "x"), (1, 2, 2, "b")]) == []
+    assert push([(1, 1, 2, "a"), (2, 3, 3, "z")]) == [(1, 2, "ab")]
+    spark.streams.removeListener(status)
+    assert set(status.states.values()) <= {"Pending", "Processing", "Completed"}
