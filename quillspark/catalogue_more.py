@@ -147,13 +147,17 @@ def glyph_joins(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", A.joins(before, after, F.col("p_size") / 50.0 * 6, F.lit(12.0)).alias("joined"))
 
 
-@_query("""WITH s AS (SELECT l_orderkey, l_linenumber AS i, 500 - 40.0::DOUBLE * l_linenumber AS x, CASE WHEN l_linenumber % 3 = 0 THEN 38.0 ELSE 20.0 END::DOUBLE AS w, list_value('بيت', 'دور', 'نار', 'Word')[1 + l_linenumber % 4] AS t FROM lineitem),
+#: Lines of an order with a number of their own, as the table repeats numbers.
+_NUMBERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
+
+
+@_query(f"""WITH k AS (SELECT l_orderkey, {_NUMBERED} AS i FROM lineitem), s AS (SELECT l_orderkey, i, 500 - 40.0::DOUBLE * i AS x, CASE WHEN i % 3 = 0 THEN 38.0 ELSE 20.0 END::DOUBLE AS w, list_value('بيت', 'دور', 'نار', 'Word')[1 + i % 4] AS t FROM k),
  g AS (SELECT *, lag(x) OVER o AS px, lag(t) OVER o AS pt FROM s WINDOW o AS (PARTITION BY l_orderkey ORDER BY x DESC, i))
  SELECT l_orderkey, string_agg(CASE WHEN pt IS NULL OR px - (x + w) <= 2.4 OR pt = 'بيت' AND px - (x + w) <= 4.56 THEN '' ELSE ' ' END || t, '' ORDER BY x DESC, i) AS text FROM g GROUP BY l_orderkey""")
 def rtl_lines(spark, sf_dir):
     e = F.expr
-    s = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("span_idx"), e("500 - 40.0D * l_linenumber").alias("x"), e("CASE WHEN l_linenumber % 3 = 0 THEN 38.0D ELSE 20.0D END").alias("w"), F.lit(12.0).alias("font_size"),
-                                           e("array('بيت', 'دور', 'نار', 'Word')[cast(l_linenumber % 4 AS int)]").alias("text"))
+    s = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{_NUMBERED} AS i").select("l_orderkey", F.col("i").alias("span_idx"), e("500 - 40.0D * i").alias("x"), e("CASE WHEN i % 3 = 0 THEN 38.0D ELSE 20.0D END").alias("w"), F.lit(12.0).alias("font_size"),
+                                                                                          e("array('بيت', 'دور', 'نار', 'Word')[cast(i % 4 AS int)]").alias("text"))
     return reading.rtl_lines(s, ("l_orderkey",))
 
 
@@ -274,8 +278,6 @@ def paragraph_merge(spark, sf_dir):
 
 # --- tables of orders
 
-#: Lines of an order with a number of their own, as the table repeats numbers.
-_NUMBERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
 _CELL4 = ("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
 _VALUES = ", ".join(f"cast(cast({c} AS bigint) AS string)" if i < 2 else c for i, c in enumerate(_CELL4))
 _ROWS_SQL = f"SELECT l_orderkey, {_NUMBERED} AS r, [l_linenumber::BIGINT::VARCHAR, l_quantity::BIGINT::VARCHAR, l_returnflag, l_linestatus] AS v FROM lineitem"

@@ -61,23 +61,23 @@ def holds(c: Column, words) -> Column:
     return out
 
 
-def is_visually_reversed(token: Column) -> Column:
-    """A word without spaces whose letters stand in visual order."""
+def is_visually_reversed(token: Column, plain: Column) -> Column:
+    """A word without spaces whose letters stand in visual order. plain: the word in plain letters."""
     first = F.regexp_extract(token, f"([{T.RTL}])", 1)
     last = F.regexp_extract(token, f"(?s).*([{T.RTL}])", 1)
-    by_form = first.rlike(f"[{FINAL}]") & last.rlike(f"[{INITIAL}{ALEF_FORMS}]") | last.rlike(f"[{INITIAL}]") & ~first.rlike(f"[{INITIAL}]")
-    plain = T.presentation_forms(token)
+    shaped = token.rlike(f"[{FINAL}{INITIAL}]")  # without such a letter the order of forms says nothing
+    by_form = shaped & (first.rlike(f"[{FINAL}]") & last.rlike(f"[{INITIAL}{ALEF_FORMS}]") | last.rlike(f"[{INITIAL}]") & ~first.rlike(f"[{INITIAL}]"))
     by_letter = (F.length(plain) >= 2) & (starts(plain, "ةء") | F.endswith(plain, F.lit("لا")) & ~F.startswith(plain, F.lit("ال")))
     return by_form | by_letter
 
 
 def bidi(c: Column) -> Column:
     """Words in visual order are turned round, shaped letters become plain ones; words without right-to-left letters stay."""
-    def word(t):
-        plain = T.presentation_forms(t)
-        return F.when(t.rlike(f"[{T.RTL}]"), F.when(is_visually_reversed(t), F.reverse(plain)).otherwise(plain)).otherwise(t)
+    def word(t, plain):
+        return F.when(t.rlike(f"[{T.RTL}]"), F.when(is_visually_reversed(t, plain), F.reverse(plain)).otherwise(plain)).otherwise(t)
 
-    return F.when(c.rlike(f"[{T.RTL}]"), F.array_join(F.transform(F.split(c, " "), word), " ")).otherwise(c)
+    # letters become plain in the whole text at once: that moves no space, so its words stand beside the ones they come from
+    return F.when(c.rlike(f"[{T.RTL}]"), F.array_join(F.zip_with(F.split(c, " "), F.split(T.presentation_forms(c), " "), word), " ")).otherwise(c)
 
 
 def unshape(c: Column, shaping: str = "unshape", diacritics: str = "preserve") -> Column:
