@@ -296,6 +296,31 @@ def join_paragraph_line(left: Column, right: Column) -> Column:
     return F.when(F.octet_length(merged) < F.octet_length(plain), merged).otherwise(plain)
 
 
+def join_paragraph(lines: Column) -> Column:
+    """All lines of an array, as join_paragraph_line would join one after the other, but looking at each line once: what
+    stands between two lines depends on the end of one and the beginning of the next alone. No lines give null."""
+    left, right = (lambda c: F.regexp_replace(c, rf"\A[{SPACE}]+", "")), (lambda c: F.regexp_replace(c, rf"[{SPACE}]+\z", ""))
+    filled = lambda c: c.rlike(f"[^{SPACE}]")
+
+    def whole(ls):
+        first, open_end = F.get(ls, 0), filled(F.element_at(ls, -1))
+        rest = F.filter(F.slice(ls, 2, F.size(ls)), filled)
+        rest = F.transform(F.array(rest), lambda rs: F.transform(rs, lambda x, i: F.when((i == F.size(rs) - 1) & open_end, left(x)).otherwise(right(left(x)))))[0]
+        parts = F.concat(F.when(filled(first), F.array(right(first))).otherwise(F.array().cast("array<string>")), rest)
+        return F.when(F.size(ls) < 2, first).otherwise(F.transform(F.array(parts), joined)[0])
+
+    def joined(ps):
+        def one(c, i):
+            after = F.get(ps, i + 1)
+            cut = c.rlike(f"[{HYPHENS}]\\z") & after.rlike(r"\A[\p{IsAlphabetic}&&\p{IsLowercase}]")
+            tight = c.rlike(f"[{CJK}]\\z") & after.rlike(f"\\A[{CJK}]")
+            return F.when(after.isNull(), c).when(cut, F.substring(c, F.lit(1), F.length(c) - 1)).when(tight, c).otherwise(F.concat(c, F.lit(" ")))
+
+        return F.array_join(F.transform(ps, one), "")
+
+    return F.transform(F.array(lines), whole)[0]
+
+
 def join_line(left: Column, right: Column) -> Column:
     """Two lines of a paragraph: no space between CJK characters, one space elsewhere; an empty side adds nothing."""
     a, b = F.regexp_replace(left, rf"[{SPACE}]+\z", ""), F.regexp_replace(right, rf"\A[{SPACE}]+", "")

@@ -163,8 +163,7 @@ def nodes(line: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     per = line.groupBy(*BLOCK, "node").agg(
         F.first("kind").alias("kind"), F.first("head").alias("head"), F.first("note").alias("note"), F.first("target").alias("target"), F.first("block_text").alias("block_text"),
         F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), parts))).alias("lines"), F.bool_and("mono").alias("mono"), F.bool_and("italic").alias("italic"), F.min("x_start").alias("left"), *[F.first(c, ignorenulls=True).alias(c) for c in carry])
-    joined = F.aggregate("lines.text", F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(T.join_paragraph_line(a, x)))
-    raw = F.when(F.col("kind") == "Paragraph", joined).when(F.col("kind") == "Caption", F.col("block_text")).when(F.col("kind") == "Footnote", F.col("note.content"))
+    raw = F.when(F.col("kind") == "Paragraph", T.join_paragraph(F.col("lines.text"))).when(F.col("kind") == "Caption", F.col("block_text")).when(F.col("kind") == "Footnote", F.col("note.content"))
     per = per.withColumn("text", T.clean(raw))
     code = F.col("mono") & ((F.size("lines") >= 2) | F.col("text").rlike(r"\{|fn |def "))
     quote = ((F.col("left") > QUOTE_INDENT) | F.col("italic")) & (F.octet_length("text") > 20)

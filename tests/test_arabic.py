@@ -140,3 +140,13 @@ def test_evaluation_of_pairs(spark):
     d = spark.createDataFrame([("a", "same text", "same  text"), ("b", "", "x"), ("c", None, None), ("d", "abcd", "abxd")], "filename string, reference string, hypothesis string")
     got = {r.filename: (r.cer, r.wer, r.substitutions, r.passed) for r in evaluation.evaluate(d).collect()}
     assert got == {"a": (0.0, 0.0, 0, True), "b": (1.0, 1.0, 0, False), "c": (0.0, 0.0, 0, True), "d": (0.25, 1.0, 1, False)}
+
+
+def test_paragraphs_are_joined_as_line_after_line(spark):
+    import random
+
+    r = random.Random(12)
+    rows = [([("".join(r.choice("ab Zé-\u2010\u00ad漢。 ") for _ in range(r.randrange(5)))) for _ in range(r.randrange(1, 6))],) for _ in range(3000)]
+    fold = F.aggregate("t", F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(T.join_paragraph_line(a, x)))
+    got = spark.createDataFrame(rows, "t array<string>").select("t", fold.alias("a"), T.join_paragraph(F.col("t")).alias("b")).collect()
+    assert [(x.t, x.a) for x in got] == [(x.t, x.b) for x in got]
