@@ -84,3 +84,10 @@ def test_pdf_headings_by_the_size_ladder(spark):
     got = {r.doc_id: r.markdown for r in convert(docs).collect()}
     assert got[1].startswith("# One\n\n## Two\n\n### Three\n\nbody text of the page body text")  # sizes of the page itself
     assert "#" not in got[1].split("page 2")[1] and "large line 0 large line 1" in got[1] and got[2] == " ".join(["all large"] * 5) + "\n\n"
+
+
+def test_used_spans_are_not_broadcast(spark):
+    """Behind a map over pages Spark guesses sizes far too small; the spans of tables may not pass through the driver."""
+    rest = catalogue.queries()["consumed_anti_join"](spark, SF)
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftAnti" in plan
