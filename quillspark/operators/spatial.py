@@ -82,8 +82,59 @@ def hex_color(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), part(r), part(g), part(b))
 
 
-def _pairs(left: DataFrame, right: DataFrame, key: tuple[str, ...], prefix: str) -> DataFrame:
-    return left.join(right.withColumnsRenamed({c: prefix + c for c in right.columns if c not in key}), list(key))
+#: Cells of the grid have sides of powers of 4. Sides of boxes below the least of them count as that; those that aren't finite
+#: are of a level that has one cell only.
+_LEAST, _WHOLE = -20, 600
+_INF = float("inf")
+
+
+def _level(low: Column, high: Column) -> Column:
+    """The exponent of a power of 4 above high - low, so that the side from low to high lies in two cells at most."""
+    size = high - low
+    k = F.greatest(F.ceil(F.log(4.0, size)), F.lit(_LEAST)).cast("int")
+    return F.when((size < _INF) & (F.abs(low) < _INF), F.when(F.pow(F.lit(4.0), k) > size, k).otherwise(k + 1)).otherwise(_WHOLE)
+
+
+def _cell(v: Column, level: Column) -> Column:
+    return F.when(level == _WHOLE, F.lit(0).cast("long")).otherwise(F.floor(v / F.pow(F.lit(4.0), level)).cast("long"))
+
+
+def _side(low: Column, high: Column, own: Column, others: Column, first: bool) -> Column:
+    """The cells of a side: at its own level, where the other frame has sides of a lower one, and at each level that the other frame
+    has above its own. Codes are even where the first frame's side is of the level itself; so equal levels meet once."""
+    at = lambda k, odd: F.struct(k.alias("k"), (k * 2 + odd).alias("code"))
+    here = F.when(F.exists(others, lambda k: k <= own if first else k < own), F.array(at(own, 0 if first else 1))).otherwise(F.array().cast("array<struct<k: int, code: int>>"))
+    levels = F.concat(here, F.transform(F.filter(others, lambda k: k > own if first else k >= own), lambda k: at(k, 1 if first else 0)))
+    return F.flatten(F.transform(levels, lambda v: F.transform(F.array_distinct(F.array(_cell(low, v["k"]), _cell(high, v["k"]))), lambda c: F.struct(v["k"].alias("k"), v["code"].alias("code"), c.alias("c")))))
+
+
+def _meeting(left: DataFrame, right: DataFrame, key: tuple[str, ...], prefix: str, a, b) -> DataFrame:
+    """Pairs of rows of a page, each once: all whose rectangles a and b (x0, y0, x1, y1 over columns without and with the prefix)
+    meet, and few others. A pair is looked for at the higher of its two levels, across and down, and taken in the cell that holds
+    the upper left corner of what they share. Joined by cells, dealt out: Spark's guesses of sizes don't know the copies."""
+    right = right.withColumnsRenamed({c: prefix + c for c in right.columns if c not in key})
+    names = [*key, *(c for c in left.columns if c not in key), *(c for c in right.columns if c not in key)]
+
+    def placed(d, rect, tag):
+        d = d.withColumn(f"grid_{tag}", F.struct(*(c.cast("double").alias(n) for c, n in zip(rect, ("x0", "y0", "x1", "y1")))))
+        g = F.col(f"grid_{tag}")
+        d = d.where(F.forall(F.array(*(g[n] for n in ("x0", "y0", "x1", "y1"))), lambda v: v.isNotNull()))
+        return d.withColumns({f"grid_{tag}x": _level(g["x0"], g["x1"]), f"grid_{tag}y": _level(g["y0"], g["y1"])})
+
+    one, two = placed(left, a, "a"), placed(right, b, "b")
+
+    def dealt(d, other, tag, otag):
+        has = other.agg(F.collect_set(f"grid_{otag}x").alias("grid_hx"), F.collect_set(f"grid_{otag}y").alias("grid_hy"))
+        d, g = d.crossJoin(F.broadcast(has)), F.col(f"grid_{tag}")
+        for s in "xy":
+            d = d.withColumn(f"grid_{s}", F.explode(_side(g[s + "0"], g[s + "1"], F.col(f"grid_{tag}{s}"), F.col(f"grid_h{s}"), tag == "a")))
+            d = d.withColumns({f"grid_code{s}": F.col(f"grid_{s}.code"), f"grid_cell{s}": F.col(f"grid_{s}.c"), f"grid_level{s}": F.col(f"grid_{s}.k")})
+        gone = [f"grid_{x}" for x in ("x", "y", "hx", "hy", tag + "x", tag + "y")]
+        return d.drop(*gone, *(["grid_levelx", "grid_levely"] if tag == "b" else []))
+
+    pairs = dealt(one, two, "a", "b").join(dealt(two, one, "b", "a").hint("merge"), [*key, "grid_codex", "grid_codey", "grid_cellx", "grid_celly"])
+    here = [_cell(F.greatest(F.col(f"grid_a.{s}0"), F.col(f"grid_b.{s}0")), F.col(f"grid_level{s}")) == F.col(f"grid_cell{s}") for s in "xy"]
+    return pairs.where(here[0] & here[1]).select(*names)
 
 
 def query_intersecting(queries: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
@@ -97,11 +148,17 @@ def query_contained(queries: DataFrame, items: DataFrame, key: tuple[str, ...],
 
 
 def _best(pairs: DataFrame, key: tuple[str, ...], distance: Column, last: bool, prefix: str) -> DataFrame:
+    """The first pair of each query (id); pairs without a distance come last."""
     number = F.col(prefix + "id")
-    order = Window.partitionBy(*key, "id").orderBy("distance", number.desc() if last else number)
+    order = Window.partitionBy(*key, "id").orderBy(F.col("distance").asc_nulls_last(), number.desc_nulls_last() if last else number.asc_nulls_last())
     return pairs.withColumn("distance", distance).withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
+def _reach(most: float, v: Column) -> Column:
+    """``most`` and what rounding may add."""
+    return most + (F.abs(v) + abs(most)) * 1e-9
+
+
 def nearest_below(queries: DataFrame, items: DataFrame, key: tuple[str, ...], most: float, prefix: str = "item_") -> DataFrame:
     """For each query (id) the nearest item below it that shares a strip with it, at most ``most`` away; the last id on ties."""
     a, b = box(), box(prefix)
@@ -113,10 +170,15 @@ def nearest_above(queries: DataFrame, items: DataFrame, key: tuple[str, ...], mo
     """The same above."""
     a, b = box(), box(prefix)
     gap = a[1] - b[3]
-    return _best(_pairs(queries, items, key, prefix).where((gap >= 0) & (gap <= most) & (horizontal_overlap(a, b) > 0)), key, gap, True, prefix)
+    pairs = _meeting(queries, items, key, prefix, (a[0], a[1] - _reach(most, a[1]), a[2], a[1]), (b[0], b[3], b[2], b[3]))
+    return _best(pairs.where((gap >= 0) & (gap <= most) & (horizontal_overlap(a, b) > 0)), key, gap, True, prefix)
 
 
 def nearest_to_point(points: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
     """For each point (id, x, y) the item whose middle is nearest; the first id on ties."""
     mx, my = center(box(prefix))
     return _best(_pairs(points, items, key, prefix), key, F.sqrt((mx - F.col("x")) * (mx - F.col("x")) + (my - F.col("y")) * (my - F.col("y"))), False, prefix)
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: tuple[str, ...], prefix: str) -> DataFrame:
+    return left.join(right.withColumnsRenamed({c: prefix + c for c in right.columns if c not in key}), list(key))
