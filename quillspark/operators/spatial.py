@@ -139,7 +139,8 @@ def _meeting(left: DataFrame, right: DataFrame, key: tuple[str, ...], prefix: st
 
 def query_intersecting(queries: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
     """Each query box with each item box of its page that it meets."""
-    return _pairs(queries, items, key, prefix).where(intersects(box(), box(prefix)))
+    a, b = box(), box(prefix)
+    return _meeting(queries, items, key, prefix, a, b).where(intersects(a, b))
 
 
 def query_contained(queries: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:

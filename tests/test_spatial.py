@@ -17,10 +17,11 @@ def box_joins():
     below, above = b[1] - a[3], a[1] - b[3]
     return {
         "nearest_above": (lambda p, q: spatial.nearest_above(p, q, PAGE, 40.0), (above >= 0) & (above <= 40) & strip, above),
+        "query_intersecting": (lambda p, q: spatial.query_intersecting(p, q, PAGE), spatial.intersects(a, b), None),
     }
 
 
-NAMES = ["nearest_above"]
+NAMES = ["nearest_above", "query_intersecting"]
 
 
 def boxes(spark, n, seed):
