@@ -164,7 +164,8 @@ def nearest_below(queries: DataFrame, items: DataFrame, key: tuple[str, ...], mo
     """For each query (id) the nearest item below it that shares a strip with it, at most ``most`` away; the last id on ties."""
     a, b = box(), box(prefix)
     gap = b[1] - a[3]
-    return _best(_pairs(queries, items, key, prefix).where((gap >= 0) & (gap <= most) & (horizontal_overlap(a, b) > 0)), key, gap, True, prefix)
+    pairs = _meeting(queries, items, key, prefix, (a[0], a[3], a[2], a[3] + _reach(most, a[3])), (b[0], b[1], b[2], b[1]))
+    return _best(pairs.where((gap >= 0) & (gap <= most) & (horizontal_overlap(a, b) > 0)), key, gap, True, prefix)
 
 
 def nearest_above(queries: DataFrame, items: DataFrame, key: tuple[str, ...], most: float, prefix: str = "item_") -> DataFrame:
