@@ -145,7 +145,8 @@ def query_intersecting(queries: DataFrame, items: DataFrame, key: tuple[str, ...
 
 def query_contained(queries: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
     """Each query box with each item box of its page that lies within it."""
-    return _pairs(queries, items, key, prefix).where(contains(box(), box(prefix)))
+    a, b = box(), box(prefix)
+    return _meeting(queries, items, key, prefix, a, b).where(contains(a, b))
 
 
 def _best(pairs: DataFrame, key: tuple[str, ...], distance: Column, last: bool, prefix: str) -> DataFrame:

@@ -19,10 +19,11 @@ def box_joins():
         "nearest_above": (lambda p, q: spatial.nearest_above(p, q, PAGE, 40.0), (above >= 0) & (above <= 40) & strip, above),
         "query_intersecting": (lambda p, q: spatial.query_intersecting(p, q, PAGE), spatial.intersects(a, b), None),
         "nearest_below": (lambda p, q: spatial.nearest_below(p, q, PAGE, 40.0), (below >= 0) & (below <= 40) & strip, below),
+        "query_contained": (lambda p, q: spatial.query_contained(p, q, PAGE), spatial.contains(a, b), None),
     }
 
 
-NAMES = ["nearest_above", "query_intersecting", "nearest_below"]
+NAMES = ["nearest_above", "query_intersecting", "nearest_below", "query_contained"]
 
 
 def boxes(spark, n, seed):
