@@ -177,11 +177,76 @@ def nearest_above(queries: DataFrame, items: DataFrame, key: tuple[str, ...], mo
     return _best(pairs.where((gap >= 0) & (gap <= most) & (horizontal_overlap(a, b) > 0)), key, gap, True, prefix)
 
 
-def nearest_to_point(points: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
-    """For each point (id, x, y) the item whose middle is nearest; the first id on ties."""
-    mx, my = center(box(prefix))
-    return _best(_pairs(points, items, key, prefix), key, F.sqrt((mx - F.col("x")) * (mx - F.col("x")) + (my - F.col("y")) * (my - F.col("y"))), False, prefix)
+#: Cells across and down a page in which nearest middles are looked for, and cells of them in one of the first look.
+_FINE, _STEP = 256, 4
+
+
+def _bounds(b, x: Column, y: Column):
+    """The least and the greatest distance from a point to what lies in b; computed like the distances, so rounding keeps the order."""
+    zero = F.lit(0.0)
+    dx, dy = F.greatest(b["x0"] - x, x - b["x1"], zero), F.greatest(b["y0"] - y, y - b["y1"], zero)
+    fx, fy = F.greatest(F.abs(b["x0"] - x), F.abs(b["x1"] - x)), F.greatest(F.abs(b["y0"] - y), F.abs(b["y1"] - y))
+    return F.sqrt(dx * dx + dy * dy), F.sqrt(fx * fx + fy * fy)
+
+
+def _near(d: DataFrame, least: Column | None = None) -> DataFrame:
+    """Rows with a point and an array of cells -> a row for each cell that may hold the item nearest to it: near, with its bounds low
+    and high, and least, by which the nearest is known to lie. The array is gone through once a point."""
+    def bound(c):
+        low, high = _bounds(c, F.col("x"), F.col("y"))
+        return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), low.alias("low"), high.alias("high"))
 
+    d = d.withColumn("near", F.transform("cells", bound)).drop("cells")
+    d = d.withColumn("least", F.array_min("near.high") if least is None else F.least(F.array_min("near.high"), least))
+    return d.withColumn("near", F.explode("near")).where(_may(F.col("near.low"), F.col("least")))
 
-def _pairs(left: DataFrame, right: DataFrame, key: tuple[str, ...], prefix: str) -> DataFrame:
-    return left.join(right.withColumnsRenamed({c: prefix + c for c in right.columns if c not in key}), list(key))
+
+def _may(low: Column, least: Column) -> Column:
+    """Whether a cell from a distance on may hold the nearest, if one is known at ``least``. Without a distance: last."""
+    return F.coalesce(~(low > least) | F.isnan(low), least.isNull())
+
+
+def nearest_to_point(points: DataFrame, items: DataFrame, key: tuple[str, ...], prefix: str = "item_") -> DataFrame:
+    """For each point (id, x, y) the item whose middle is nearest; the first id on ties.
+
+    Equal points, and equal middles, are looked at once. A page's middles lie in 256 times 256 cells with tight bounds; a point
+    takes the cells of 16 times 16 that may hold the nearest, then the cells in them, then the middles there.
+    """
+    x, y, number = F.col("x"), F.col("y"), prefix + "id"
+    right = items.withColumnsRenamed({c: prefix + c for c in items.columns if c not in key})
+    mx, my = center(box(prefix))
+    distance = lambda a, b: F.sqrt((a - x) * (a - x) + (b - y) * (b - y))
+    middles = right.groupBy(*key, mx.alias("mx"), my.alias("my")).agg(F.min(number).alias(number))
+    finite = {n: F.when(F.abs(F.col(n)) < _INF, F.col(n)) for n in ("mx", "my")}
+    ends = middles.groupBy(*key).agg(*(f(finite[n]).alias(f"{n}_{e}") for n in finite for e, f in (("from", F.min), ("to", F.max))))
+
+    def cell(n):
+        part = (F.col(n) - F.col(n + "_from")) / F.nullif(F.col(n + "_to") - F.col(n + "_from"), F.lit(0.0))
+        inner = F.coalesce(F.least(F.greatest(F.floor(part * _FINE).cast("long"), F.lit(0)), F.lit(_FINE - 1)), F.lit(0)).cast("int")
+        return F.when(F.col(n).isNull() | F.isnan(n), -1).otherwise(inner)
+
+    middles = middles.join(ends.hint("merge"), list(key)).select(*key, "mx", "my", number, cell("mx").alias("cx"), cell("my").alias("cy"))
+    tight = lambda a: [f(c).alias(n) for n, f, c in zip(("x0", "x1", "y0", "y1"), (F.min, F.max) * 2, a)]
+    fine = middles.groupBy(*key, "cx", "cy").agg(*tight(("mx", "mx", "my", "my"))).withColumns({"gx": F.shiftright("cx", _STEP), "gy": F.shiftright("cy", _STEP)})
+    member = F.struct("cx", "cy", "x0", "x1", "y0", "y1")
+    fine = fine.groupBy(*key, "gx", "gy").agg(*tight(("x0", "x1", "y0", "y1")), F.collect_list(member).alias("cells"))
+    coarse = fine.groupBy(*key).agg(F.collect_list(F.struct(F.col("gx").alias("cx"), F.col("gy").alias("cy"), "x0", "x1", "y0", "y1")).alias("cells"))
+
+    asked = points.select(*key, "x", "y").distinct()
+    look = _near(asked.join(coarse.hint("merge"), list(key)))
+    look = look.select(*key, "x", "y", "least", F.col("near.cx").alias("gx"), F.col("near.cy").alias("gy"))
+    look = _near(look.join(fine.select(*key, "gx", "gy", "cells").hint("merge"), [*key, "gx", "gy"]), F.col("least"))
+    every = Window.partitionBy(*key, "x", "y")
+    look = look.select(*key, "x", "y", "near.*").withColumn("least", F.min("high").over(every)).where(_may(F.col("low"), F.col("least")))
+    found = look.select(*key, "x", "y", "cx", "cy").join(middles.hint("merge"), [*key, "cx", "cy"])
+    found = found.withColumn("rank_", F.row_number().over(every.orderBy(distance(F.col("mx"), F.col("my")).asc_nulls_last(), F.col(number).asc_nulls_last()))).where("rank_ = 1")
+
+    def back(left, other, by):
+        other = other.withColumnsRenamed({c: f"found_{c}" for c in by})
+        on = [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in by]
+        return left.join(other.hint("merge"), on).drop(*(f"found_{c}" for c in by))
+
+    pairs = back(points, found.select(*key, "x", "y", F.col(number).alias("nearest_")), [*key, "x", "y"])
+    pairs = pairs.join(right.withColumn("nearest_", F.col(number)).hint("merge"), [*key, "nearest_"])
+    names = [*key, *(c for c in points.columns if c not in key), *(c for c in right.columns if c not in key)]
+    return _best(pairs.select(*names), key, distance(mx, my), False, prefix)

@@ -58,3 +58,26 @@ def test_boxes_far_apart_are_no_pairs(spark, name):
     plan = run(d, d)._jdf.queryExecution().optimizedPlan().toString()
     assert "grid_cellx" in plan and "grid_celly" in plan
     assert run(d, d).count() == (60_000 if distance is None else 0)
+
+
+def test_nearest_to_point_equals_all_pairs(spark):
+    """In plain Python; clusters, copies, ties, far points; pages of one place only, without places, without items."""
+    r = random.Random(4)
+    at = lambda: r.choice([r.uniform(-50, 50), float(r.randrange(-9, 9)), r.uniform(0, 0.001), 1e6])
+    items = [(r.randrange(3), k, at(), at(), r.choice([0.0, 2.0]), 1.0) for k in range(500)] + [(7, k, None, None, 1.0, 1.0) for k in (901, 900)] + [(8, k, 5.0, 5.0, 1.0, 1.0) for k in range(700, 800)]
+    items += [(p, 990 + p, None, 1.0, 1.0, 1.0) for p in range(3)]
+    points = [(r.choice([0, 1, 2, 7, 8, 9]), k, at(), at()) for k in range(200)]
+    got = spatial.nearest_to_point(spark.createDataFrame(points, "page int, id int, x double, y double"), spark.createDataFrame(items, "page int, id int, x double, y double, w double, h double"), PAGE)
+    middle = lambda a, size: (a + (a + size)) / 2
+
+    def distance(x, y, i):
+        return float("inf") if i[2] is None or i[3] is None else ((middle(i[2], i[4]) - x) ** 2 + (middle(i[3], i[5]) - y) ** 2) ** 0.5
+
+    want = {(p, k): min((distance(x, y, i), i[1]) for i in items if i[0] == p) for p, k, x, y in points if p != 9}
+    assert {(g.page, g.id): (float("inf") if g.distance is None else g.distance, g.item_id) for g in got.collect()} == want
+
+
+def test_nearest_to_point_looks_at_few_items(spark):
+    d = spark.range(1000).select(F.lit(1).alias("page"), "id", (F.col("id") * 20.0).alias("x"), F.lit(0.0).alias("y"), F.lit(8.0).alias("w"), F.lit(8.0).alias("h"))
+    plan = spatial.nearest_to_point(d.select("page", "id", "x", "y"), d, PAGE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cx" in plan and "cy" in plan
