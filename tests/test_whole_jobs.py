@@ -91,3 +91,13 @@ def test_used_spans_are_not_broadcast(spark):
     rest = catalogue.queries()["consumed_anti_join"](spark, SF)
     plan = rest._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "LeftAnti" in plan
+
+
+def test_spans_without_tables_keep_nulls(spark):
+    """Two tables of a page that share a span; spans and pages without a number belong to no table."""
+    from quillspark.operators import tables
+
+    spans = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 3), (1, None), (2, 0), (None, 0)], "page int, span_idx int")
+    found = spark.createDataFrame([(1, [0, 1]), (1, [1, 2]), (None, [0]), (2, [])], "page int, spans array<int>")
+    got = {tuple(r) for r in tables.without_tables(spans, found, ("page",)).collect()}
+    assert got == {(1, 3), (1, None), (2, 0), (None, 0)}
