@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +53,8 @@ def _tokenizer_path(p: PackParams) -> str:
 
 #: The end of a word behind which the marks below are always tokens of their own: Latin or Cyrillic letters and digits.
 _LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xd0\xd1][\x80-\xbf])\Z")
-_MARKS = b",.;:!?"
+#: ASCII marks but those of special tokens.
+_MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Letters that stay letters, composed and one by one when lower case is taken; the dotted capital I is none of them.
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\x88\x8a-\xbe])+")
 
@@ -72,10 +74,12 @@ class WordEncoder:
 
     New words of Latin letters go to the library as one text of the characters that its byte level would give them; where
     tokens tell the end of a word, that cuts the ids. Other new words go as one text, a separator of one id between them.
-    A full cache becomes the old one, from which words still in use are taken over.
+    A full cache becomes the old one, from which words still in use are taken over. Frequent words have a small table of
+    their own, as most of a lookup's time is waiting for memory.
     """
 
     SEPARATOR = "\u00a9"
+    HOT = 16_384  # words that are looked up first
 
     def __init__(self, path: str, cache_words: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,8 +87,12 @@ class WordEncoder:
 
         self.tok, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
         self.old: dict[bytes, bytes] = {}
+        self.hot: dict[bytes, bytes] = {}  # some of the cache's
         ids = lambda t, x: t.encode(x, add_special_tokens=False).ids
-        self.plain = ids(self.tok, "Word, 7.") == ids(self.tok, "word , 7 .")  # the vocabulary is lower case and marks are apart
+        marks = _MARKS.decode()
+        ends = [*marks, *map("".join, zip(marks, marks[::-1])), marks]
+        # the vocabulary is lower case and marks are apart
+        self.plain = ids(self.tok, "Word, 7.") == ids(self.tok, "word , 7 .") and all(ids(self.tok, f"n{e}") == ids(self.tok, f"n {e}") for e in ends)
         one, sep = ids(self.tok, self.SEPARATOR), f"a {self.SEPARATOR} b"
         self.sep = one[0] if len(one) == 1 and ids(self.tok, sep) == ids(self.tok, "a") + one + ids(self.tok, "b") else None
         # words of Latin letters: lower case is all that normalising does to them, and white space all that splits them
@@ -117,8 +125,8 @@ class WordEncoder:
         return text.lower().split()
 
     def _joined(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
             text = f" {self.SEPARATOR} ".join([w.decode("utf-8", "replace") for w in part])
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.sep), len(ids)) * 4
@@ -134,12 +142,14 @@ class WordEncoder:
             plain = [w for w in rest if w.isalpha()]  # of bytes: a-z and A-Z
             others = new.difference(plain)
             own = [w for w in others if _LATIN.fullmatch(w)]
+            rest = list(others.difference(own))
             for words in (plain, own):
-                for i in range(0, len(words), 5000):
-                    got = self._by_end(words[i : i + 5000])
+                for i in range(0, len(words), 500):
+                    got = self._by_end(words[i : i + 500])
                     if got is not None:
-                        self.cache.update(zip(words[i : i + 5000], got))
-            rest = [w for w in others.difference(own)] + [w for w in (*plain, *own) if w not in self.cache]
+                        self.cache.update(zip(words[i : i + 500], got))
+                    else:
+                        rest += words[i : i + 500]
         mark, alone = self.SEPARATOR.encode(), rest
         if self.sep is not None:
             alone = [w for w in rest if mark in w]
@@ -147,31 +157,68 @@ class WordEncoder:
         for w, e in zip(alone, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)):
             self.cache[w] = array("I", e.ids).tobytes()
 
-    def _missing(self, words: set[bytes]) -> set[bytes]:
-        """Words that neither cache has; those in the old one are taken over."""
-        new = words.difference(self.cache)
-        known = new.intersection(self.old)
-        self.cache.update([(w, self.old[w]) for w in known])
-        return new.difference(known)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [self.split(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.old, self.cache = self.cache, {}
-        new = self._missing(set().union(*words))
-        cuts = []
+    def _missing(self, words: set[bytes]) -> None:
+        """Take over from the old cache what it has of these words; only the others stay in the set."""
+        old = self.old
+        known = [w for w in words if w in old] if old else []  # a set's own intersection would go through all of old
+        self.cache.update(zip(known, map(old.__getitem__, known)))
+        words.difference_update(known)
+
+    def _know(self, new: set[bytes]) -> None:
+        """Put the ids of words that the cache doesn't have into it. No tuples are kept, as these set off the garbage collector."""
+        self._missing(new)
+        cache, cuts, stems, marks = self.cache, [], [], []
         if self.plain:  # closing marks behind a letter are encoded apart
-            for w in [w for w in new if w[-1] in _MARKS]:
-                stem = w.rstrip(_MARKS)
-                if _LETTER.search(stem[-2:]):
-                    cuts.append((w, stem, w[len(stem) :]))
-            new.difference_update([c[0] for c in cuts])
-            new |= self._missing({x for c in cuts for x in c[1:]})
+            for w in new:
+                if w[-1] in _MARKS:
+                    stem = w.rstrip(_MARKS)
+                    if _LETTER.search(stem[-2:]):
+                        cuts.append(w)
+                        stems.append(stem)
+                        marks.append(w[len(stem) :])
+            new.difference_update(cuts)
+            parts = {x for x in (*stems, *set(marks)) if x not in cache}
+            self._missing(parts)
+            new |= parts
         self.learn(new)
-        cache = self.cache
-        cache.update([(w, cache[a] + cache[b]) for w, a, b in cuts])
         get = cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        cache.update(zip(cuts, map(bytes.__add__, map(get, stems), map(get, marks))))
+
+    def _warm(self, texts: list[bytes]) -> None:
+        """Put the words most frequent in these texts together, copied, as they are looked up faster so."""
+        seen = Counter()
+        for t in texts:
+            seen.update(self.split(t))
+        self.hot = {bytes(bytearray(w)): bytes(bytearray(self.cache[w])) for w, n in seen.most_common(self.HOT) if n > 1}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each word is looked up text by text; only places of new words are looked at again."""
+        if len(self.cache) > self.most:
+            self.old, self.cache, self.hot = self.cache, dict(self.hot), {}
+        hot, get, found, open_, new = self.hot.get, self.cache.get, [], [], set()
+        for t in texts:
+            words = self.split(t)
+            got, at = list(map(hot, words)), []
+            for i in [i for i, x in enumerate(got) if x is None]:
+                x = got[i] = get(words[i])
+                if x is None:
+                    at.append(i)
+            if at:
+                left = [words[i] for i in at]
+                new.update(left)
+                open_.append((len(found), at, left))
+                found.append(got)
+            else:
+                found.append(b"".join(got))
+        self._know(new)
+        for k, at, left in open_:
+            got = found[k]
+            for i, w in zip(at, left):
+                got[i] = self.cache[w]
+            found[k] = b"".join(got)
+        if not self.hot and sum(map(len, texts)) > 1 << 18:  # a few texts would tell little
+            self._warm(texts)
+        return found
 
 
 @functools.lru_cache(1)
@@ -191,7 +238,7 @@ def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     def run(batches):
         enc = word_encoder(path, cache)
         for b in batches:
-            for part in slices(b, 2, 1000):
+            for part in slices(b, 2, 1000, 1 << 19):  # small, so that words are still in the processor's caches
                 uid, doc, text = (part.column(i).to_pylist() for i in range(3))
                 out = [[] for _ in range(6)]
                 for u, d, ids in zip(uid, doc, enc.encode([x or b"" for x in text])):
