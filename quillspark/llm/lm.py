@@ -21,11 +21,11 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,27 +51,50 @@ class BrownParams:
 UNKNOWN = 255
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    """Lower-cased words; bytes split at ASCII white space and lower A-Z alone."""
-    return (text or b"").lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of binary texts in a row, and where each text's begin and the last one's end; bytes split at
+    ASCII white space and lower A-Z alone."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    flat, at = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
+    at = at - at[0]
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an edge leaves an empty word
+    if not full.all():
+        flat, at = flat.filter(pa.array(full)), np.append(0, np.cumsum(full))[at]
+    return flat, at
 
 
 def word_counts(train: DataFrame, flush: int) -> DataFrame:
     """(word, n) over all training texts; the empty word stands for the end of a document."""
 
-    def batch(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    def summed(parts):
+        words, counts = (pa.concat_arrays([p[i] for p in parts]) for i in range(2))
+        got = pa.table({"word": words, "n": counts}).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return got.column("word").chunk(0), got.column("n_sum").chunk(0)
+
+    def batch(words, counts):
+        return pa.RecordBatch.from_arrays([words, counts], names=["word", "n"])
 
     def run(batches):
-        counts: Counter = Counter()
+        parts, held, ends = [], 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(_tokens(t))
-                counts[b""] += 1
-                if len(counts) > flush:
-                    yield batch(counts)
-                    counts = Counter()
-        yield batch(counts)
+            ends += b.num_rows
+            for part in slices(b, 0, 2000):
+                words, _ = _words(part.column(0))
+                if not len(words):
+                    continue
+                got = pc.value_counts(words)
+                parts.append((got.field("values"), got.field("counts")))
+                held += len(got)
+                if held > 2 * flush or sum(p[0].nbytes for p in parts) > 1 << 28:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held > flush or parts[0][0].nbytes > 1 << 27:
+                        yield batch(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield batch(*summed(parts))
+        if ends:
+            yield batch(pa.array([b""], pa.binary()), pa.array([ends], pa.int64()))
 
     return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -178,13 +201,6 @@ def gains(r: np.ndarray, le: np.ndarray, own: np.ndarray, m: np.ndarray, old: np
     return out
 
 
-class _Numbers(dict):
-    """Number of a word; -1 for words outside the table."""
-
-    def __missing__(self, word):
-        return -1
-
-
 IDS = "uid long, doc_id long, held boolean, ids binary, tail array<binary>"
 
 
@@ -192,16 +208,16 @@ def numbered(rows: DataFrame, words) -> DataFrame:
     """rows (uid, doc_id, text as binary, held) -> IDS: the numbers of the words, -1 for those in tail, in order."""
 
     def run(batches):
-        number = _Numbers(zip(words.value, range(len(words.value))))
+        number = pa.array(words.value, pa.binary())
         for b in batches:
-            for part in slices(b, 2, 2000):
-                ids, tail = [], []
-                for t in part.column(2).to_pylist():
-                    ws = _tokens(t)
-                    k = np.fromiter(map(number.__getitem__, ws), "<i4", len(ws))
-                    ids.append(k.tobytes())
-                    tail.append([ws[i] for i in np.flatnonzero(k < 0).tolist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(ids, pa.binary()), pa.array(tail, pa.list_(pa.binary()))], names=["uid", "doc_id", "held", "ids", "tail"])
+            for part in slices(b, 2, 8000, 16 << 20):
+                flat, at = _words(part.column(2))
+                kinds = flat.dictionary_encode()
+                k = pc.index_in(kinds.dictionary, value_set=number).fill_null(-1).to_numpy().astype("<i4")[kinds.indices.to_numpy()]
+                out = np.append(0, np.cumsum(k < 0))[at].astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(k)])
+                tail = pa.ListArray.from_arrays(pa.array(out), flat.filter(pa.array(k < 0)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), ids, tail], names=["uid", "doc_id", "held", "ids", "tail"])
 
     return rows.mapInArrow(run, IDS)
 
@@ -352,44 +368,60 @@ def cluster(train: DataFrame, counts: np.ndarray, p: BrownParams) -> np.ndarray:
     return best
 
 
+def best_classes(sizes: np.ndarray, beside: np.ndarray, n: np.ndarray, m: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Class of the highest gain for words without one; -1 without a neighbour that has a class.
+
+    sizes: how many of the places in beside a word has, n: how often. A place is (class before + 1) * (classes + 1) +
+    class after + 1. once keeps the answers for words seen once, by their place, and -2 where there is none yet.
+    """
+    c = len(m)
+    start = np.cumsum(sizes) - sizes
+    single = (sizes == 1) & (n[start] == 1)
+    own = beside[start]  # of words seen once: their place
+    asked = ~single
+    new, first = np.unique(own[single], return_index=True)
+    asked[np.flatnonzero(single)[first[once[new] == -2]]] = True  # one word stands for all
+    word = np.repeat(np.cumsum(asked) - 1, sizes)
+    here = np.repeat(asked, sizes)
+    r, le = np.zeros((int(asked.sum()), c)), np.zeros((int(asked.sum()), c))
+    for x, k in ((r, beside % (c + 1) - 1), (le, beside // (c + 1) - 1)):
+        ok = here & (k >= 0)
+        np.add.at(x, (word[ok], k[ok]), n[ok])
+    out = np.full(len(sizes), -1, np.int32)
+    out[asked] = np.where(r.any(axis=1) | le.any(axis=1), gains(r, le, np.zeros(len(r)), m).argmax(axis=1), -1)
+    once[own[asked & single]] = out[asked & single]
+    out[single] = once[own[single]]
+    return out
+
+
 def tail_words(ids: DataFrame, of: np.ndarray, m: np.ndarray, p: BrownParams) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(places, words, endings). places: uid, k (the k-th such word of the text), word, e. words: word, n, cls of all
     training words without a number. endings: class of unseen words for each slot e."""
     c = p.classes
     sent = ids.sparkSession.sparkContext.broadcast((of, m))
+    end = np.zeros(1, "<i4").tobytes()
 
     def run(batches):
         of, _ = sent.value
         for b in batches:
             for part in slices(b, 2, 1 << 20, 16 << 20):
-                out: list[list] = [[] for _ in range(5)]
-                for uid, held, raw, tail in zip(*(col.to_pylist() for col in part.columns)):
-                    if not tail:
-                        continue
-                    k = np.append(np.frombuffer(raw, "<i4"), 0)
-                    at, cls = np.flatnonzero(k < 0), of[k].astype(np.int64)
-                    before = np.where(at > 0, cls[at - 1], 0)
-                    out[0] += [uid] * len(tail)
-                    out[1] += range(len(tail))
-                    out[2] += tail
-                    out[3] += ((before + 1) * (c + 1) + cls[at + 1] + 1).tolist()
-                    out[4] += [held] * len(tail)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()))], names=["uid", "k", "word", "beside", "held"])
+                tail = part.column(3)
+                size = np.diff(tail.offsets.to_numpy())
+                flat = np.frombuffer(end + end.join(part.column(2).to_pylist()) + end, "<i4")  # as _flat has them
+                at, cls = np.flatnonzero(flat < 0), of[flat].astype(np.int64)
+                uid, held = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), size) for i in range(2))
+                k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+                beside = (cls[at - 1] + 1) * (c + 1) + cls[at + 1] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(k.astype(np.int32)), tail.flatten(), pa.array(beside.astype(np.int32)), pa.array(held)], names=["uid", "k", "word", "beside", "held"])
 
     def choose(batches):
         _, m = sent.value
+        once = np.full((c + 1) ** 2, -2, np.int32)
         for b in batches:
             for part in (b.slice(at, 2000) for at in range(0, b.num_rows, 2000)):
-                sizes = np.diff(part.column(2).offsets.to_numpy())
                 got = part.column(2).flatten()
-                word = np.repeat(np.arange(part.num_rows), sizes)
-                beside, n = got.field("beside").to_numpy().astype(np.int64), got.field("n").to_numpy()
-                r, le = np.zeros((part.num_rows, c)), np.zeros((part.num_rows, c))
-                for x, k in ((r, beside % (c + 1) - 1), (le, beside // (c + 1) - 1)):
-                    np.add.at(x, (word[k >= 0], k[k >= 0]), n[k >= 0])
-                cls = gains(r, le, np.zeros(len(r)), m).argmax(axis=1)
-                known = r.any(axis=1) | le.any(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls.astype(np.int32), pa.int32(), mask=~known)], names=["word", "n", "cls"])
+                cls = best_classes(np.diff(part.column(2).offsets.to_numpy()), got.field("beside").to_numpy().astype(np.int64), got.field("n").to_numpy(), m, once)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, pa.int32(), mask=cls < 0)], names=["word", "n", "cls"])
 
     places = materialize(ids.select("uid", "held", "ids", "tail").mapInArrow(run, "uid long, k int, word binary, beside int, held boolean"), "lm-places")
     beside = places.where("NOT held").groupBy("word", "beside").agg(F.count(F.lit(1)).alias("n"))
